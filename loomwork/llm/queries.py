@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from loomwork.llm.exact_dedup import exact_dedup_digest
 from loomwork.llm.line_dedup import line_dedup_digest
 from loomwork.llm.simhash import simhash_components
+from loomwork.llm.substring_dedup import substring_dedup_digest
 from loomwork.llm.url_filter import filter_urls
 
 #: The rules that op10 judges by.
@@ -31,6 +32,10 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup_digest(table(spark, sf_dir, "documents"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup_digest(table(spark, sf_dir, "documents"))
 
@@ -43,6 +48,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_line_dedup": op2_line_dedup,
     "op6_simhash": op6_simhash,
+    "op7_substring_dedup": op7_substring_dedup,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_url_filter": op10_url_filter,
 }
@@ -74,6 +80,16 @@ ORACLES = {
         SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed,
                sha256(coalesce(kept, '')) AS kept_sha256
         FROM documents d LEFT JOIN k ON d.doc_id = k.doc_id""",
+    "op7_substring_dedup": r"""
+        WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+        w AS (SELECT doc_id, unnest(generate_series(1, len(words) - 19)) AS p, words FROM d WHERE len(words) >= 20),
+        r AS (SELECT doc_id, p, row_number() OVER (PARTITION BY array_to_string(words[p : p + 19], ' ') ORDER BY doc_id, p) AS n FROM w),
+        c AS (SELECT DISTINCT doc_id, unnest(generate_series(p, p + 19)) AS p FROM r WHERE n > 1),
+        e AS (SELECT doc_id, unnest(generate_series(1, len(words))) AS p, unnest(words) AS word FROM d),
+        k AS (SELECT e.doc_id, count(c.p) AS n_removed, string_agg(word, ' ' ORDER BY e.p) FILTER (c.p IS NULL) AS kept
+              FROM e LEFT JOIN c ON e.doc_id = c.doc_id AND e.p = c.p GROUP BY e.doc_id)
+        SELECT d.doc_id, len(words) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+        FROM d LEFT JOIN k ON d.doc_id = k.doc_id""",
     "op10_url_filter": rf"""
         WITH r(h, p, v) AS (VALUES {_RULE_ROWS}),
         a AS (SELECT page_id, CASE WHEN position('://' IN url) > 0 THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages),
