@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomwork.llm.shared import without
+
 #: Bytes of content that a task holds in memory at a time.
 BUCKET_BYTES = 16 << 20
 FAN_OUT_BITS = 4
@@ -163,7 +165,9 @@ def exact_dedup(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", b
     Texts are equal when identical after deleting every character 20 and 09-0D; null counts as empty. Of equal texts
     the row with the most code points in the original stays, then the smallest id; null ids come last. Rows that
     repeat an id with a text of the same length in the group are the same document: they stay or go together.
+    Columns of ``df`` that have these names are replaced; an empty table gives an empty result.
     """
+    df = without(df, "text_sha256", "keep_id", "group_size", "kept", "keep_length")
     groups = exact_groups(df.select(id_col, text_col), text_col, id_col, bucket_bytes)
     sha = F.sha2(normalized(F.col(text_col)).cast("binary"), 256)
     joined = df.withColumn("text_sha256", sha).join(groups, "text_sha256")

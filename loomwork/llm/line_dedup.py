@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.llm.shared import id_order
+from loomwork.llm.shared import id_order, without
 
 WIDTH = 3
 
@@ -38,8 +38,10 @@ def line_dedup(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", wi
 
     Lines are what lies between newline characters, compared whole; windows of ``width`` lines lie in one document.
     Null texts stay null (no lines); texts with fewer lines than ``width`` stay as they are. Null ids sort first. Rows
-    that repeat an id and text are one document: neither is a later occurrence of the other.
+    that repeat an id and text are one document: neither is a later occurrence of the other. Columns of ``df`` named like
+    the new ones are replaced; an empty table gives an empty result.
     """
+    df = without(df, "n_lines", "n_removed", "_text", "_order", "_key", "_covered")
     kept = [c for c in df.columns if c != text_col]
     base = df.select(*kept, F.col(text_col).alias("_text"), id_order(id_col).alias("_order"), F.xxhash64(F.col(text_col)).alias("_key"))
     slim = base.select(F.col("_order").alias("doc_order"), F.col("_key").alias("text_key"), F.col("_text").alias("text")).where("text is not null")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from loomwork.llm.exact_dedup import exact_dedup_digest
+from loomwork.llm.language_id import language_digest
 from loomwork.llm.line_dedup import line_dedup_digest
+from loomwork.llm.packing import ByteBpe, load_byte_bpe, packing_digest
 from loomwork.llm.simhash import simhash_components
 from loomwork.llm.substring_dedup import substring_dedup_digest
 from loomwork.llm.url_filter import filter_urls
@@ -28,6 +31,15 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup_digest(table(spark, sf_dir, "documents"))
 
 
+def byte_bpe(path: str | None = None) -> ByteBpe:
+    """The byte-level BPE of op4 and the pipeline; ``path`` may name another file of its kind."""
+    return load_byte_bpe(path or public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing_digest(table(spark, sf_dir, "documents"), byte_bpe())
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
 
@@ -36,6 +48,10 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup_digest(table(spark, sf_dir, "documents"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_digest(table(spark, sf_dir, "documents"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup_digest(table(spark, sf_dir, "documents"))
 
@@ -47,8 +63,10 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_line_dedup": op2_line_dedup,
+    "op4_packing": op4_packing,
     "op6_simhash": op6_simhash,
     "op7_substring_dedup": op7_substring_dedup,
+    "op8_language_id": op8_language_id,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_url_filter": op10_url_filter,
 }

@@ -25,12 +25,23 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, as the cluster names it."""
+    ensure_checkpoint_dir(spark)
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` from reliable storage: a lost executor costs no recomputation of what came before."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def without(df: DataFrame, *names: str) -> DataFrame:
+    """``df`` less the columns that an operator's own ones of these names (in any case) are to replace."""
+    return df.drop(*(c for c in df.columns if c.lower() in names))
+
+
 def id_order(column: str = "doc_id"):
     """A non-null long by which documents are ordered and joined; null ids come first."""
     return F.coalesce(F.col(column).cast("long"), F.lit(NULL_ID))

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomwork.llm.components import connected
-from loomwork.llm.shared import cut, id_order, slices
+from loomwork.llm.shared import NULL_ID, cut, id_order, slices, without
 
 SHINGLE, DISTANCE, SEED = 4, 4, 42
 #: (first bit, bits, radius) of each segment for a distance of at most 4.
@@ -49,17 +49,20 @@ def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> np.nda
     return out
 
 
-def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part in slices(batches, "text"):
-        counts = np.stack([fingerprint((t or "").encode()) for t in part.column("text").to_pylist()])
-        bits = np.packbits(counts[:, :64] * 2 > counts[:, 64:], axis=1, bitorder="little")
-        yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(bits.view("<i8")[:, 0])], names=["doc_id", "fp"])
+def _fingerprints(shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text"):
+            counts = np.stack([fingerprint((t or "").encode(), shingle) for t in part.column("text").to_pylist()])
+            bits = np.packbits(counts[:, :64] * 2 > counts[:, 64:], axis=1, bitorder="little")
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_key"), pa.array(bits.view("<i8")[:, 0])], names=["doc_id", "text_key", "fp"])
+
+    return run
 
 
-def fingerprints(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """``doc_id`` and ``fp``, the fingerprint as a long; null texts count as empty, which gives zero."""
-    slim = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return slim.mapInArrow(_fingerprints, "doc_id long, fp long")
+def fingerprints(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", shingle: int = SHINGLE) -> DataFrame:
+    """``doc_id``, ``text_key`` and ``fp``, the fingerprint as a long; null texts count as empty, which gives zero."""
+    slim = df.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
+    return slim.mapInArrow(_fingerprints(shingle), "doc_id long, text_key long, fp long")
 
 
 def buckets(distinct: DataFrame) -> DataFrame:
@@ -127,6 +130,16 @@ def fingerprint_links(distinct: DataFrame, distance: int = DISTANCE) -> DataFram
     return dealt.mapInArrow(_verify(distance), "a long, b long").where("a != b").distinct()
 
 
+def _components(prints: DataFrame) -> DataFrame:
+    """``prints`` with ``root``, which names the component, and ``component_order``, the smallest id in the order of ``id_order``."""
+    distinct = cut(prints.groupBy("fp").agg(F.min(id_order("doc_id")).alias("rep")))
+    groups = connected(fingerprint_links(distinct.select("fp")))
+    # a component's id is the smallest document id of its fingerprints; fingerprints without links stand alone
+    rooted = distinct.join(groups, distinct.fp == groups.node, "left").select("fp", "rep", F.coalesce("component", "fp").alias("root"))
+    smallest = rooted.groupBy("root").agg(F.min("rep").alias("component_order"))
+    return prints.join(rooted.join(smallest, "root").select("fp", "root", "component_order"), "fp")
+
+
 def simhash_components(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """One row per row of ``df``: ``doc_id``, ``fingerprint`` (16 hex digits), ``component_id``.
 
@@ -135,16 +148,23 @@ def simhash_components(df: DataFrame, text_col: str = "text", id_col: str = "doc
     component without being paired. Texts without words have fingerprint zero, linked like any other. Repeated rows
     stay; an empty table gives an empty result; other columns are ignored.
     """
-    prints = cut(fingerprints(df, text_col, id_col))
-    distinct = prints.groupBy("fp").agg(F.min(id_order("doc_id")).alias("rep"))
-    distinct = cut(distinct)
-    groups = connected(fingerprint_links(distinct.select("fp")))
-    # a component's id is the smallest document id of its fingerprints; fingerprints without links stand alone
-    rooted = distinct.join(groups, distinct.fp == groups.node, "left").select("fp", "rep", F.coalesce("component", "fp").alias("root"))
-    smallest = rooted.groupBy("root").agg(F.min("rep").alias("component_order"))
-    names = rooted.join(smallest, "root").select("fp", "component_order")
-    return prints.join(names, "fp").select(
+    return _components(cut(fingerprints(df, text_col, id_col))).select(
         "doc_id",
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
-        F.when(F.col("component_order") != F.lit(-(2**63)), F.col("component_order")).alias("component_id"),
+        F.when(F.col("component_order") != F.lit(NULL_ID), F.col("component_order")).alias("component_id"),
     )
+
+
+def near_duplicates(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """``df`` with ``kept``: true for one document of each component, that of the smallest id; all columns stay.
+
+    Rows that repeat an id and a text are one document and stay or go together; of several texts of the smallest id one
+    stays. Null ids come first. Only ids and hashes are compared; the texts are shuffled once, to be told. A column
+    ``kept`` of ``df`` is replaced; an empty table gives an empty result.
+    """
+    df = without(df, "kept", "_order", "_key", "_stays")
+    found = _components(cut(fingerprints(df, text_col, id_col)))
+    stays = found.where(id_order("doc_id") == F.col("component_order")).groupBy("root", "component_order").agg(F.min("text_key").alias("text_key"))
+    stays = stays.select(F.col("component_order").alias("_order"), F.col("text_key").alias("_key"), F.lit(True).alias("_stays"))
+    keyed = df.withColumns({"_order": id_order(id_col), "_key": F.xxhash64(text_col)})
+    return keyed.join(stays, ["_order", "_key"], "left").withColumn("kept", F.coalesce("_stays", F.lit(False))).drop("_order", "_key", "_stays")
