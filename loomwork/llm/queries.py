@@ -11,6 +11,7 @@ from loomwork.llm.line_dedup import line_dedup_digest
 from loomwork.llm.packing import ByteBpe, load_byte_bpe, packing_digest
 from loomwork.llm.simhash import simhash_components
 from loomwork.llm.substring_dedup import substring_dedup_digest
+from loomwork.llm.toxicity import toxicity_digest
 from loomwork.llm.url_filter import filter_urls
 
 #: The rules that op10 judges by.
@@ -27,6 +28,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup_digest(table(spark, sf_dir, "documents"))
 
@@ -62,6 +67,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op2_line_dedup": op2_line_dedup,
     "op4_packing": op4_packing,
     "op6_simhash": op6_simhash,
