@@ -9,6 +9,7 @@ from loomwork.llm.exact_dedup import exact_dedup_digest
 from loomwork.llm.language_id import language_digest
 from loomwork.llm.line_dedup import line_dedup_digest
 from loomwork.llm.packing import ByteBpe, load_byte_bpe, packing_digest
+from loomwork.llm.permutation_index import nearest_digest
 from loomwork.llm.simhash import simhash_components
 from loomwork.llm.substring_dedup import substring_dedup_digest
 from loomwork.llm.toxicity import toxicity_digest
@@ -41,6 +42,10 @@ def byte_bpe(path: str | None = None) -> ByteBpe:
     return load_byte_bpe(path or public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op3_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_digest(table(spark, sf_dir, "embeddings"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing_digest(table(spark, sf_dir, "documents"), byte_bpe())
 
@@ -69,6 +74,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_line_dedup": op2_line_dedup,
+    "op3_permutation_index": op3_permutation_index,
     "op4_packing": op4_packing,
     "op6_simhash": op6_simhash,
     "op7_substring_dedup": op7_substring_dedup,
