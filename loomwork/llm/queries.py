@@ -10,6 +10,7 @@ from loomwork.llm.language_id import language_digest
 from loomwork.llm.line_dedup import line_dedup_digest
 from loomwork.llm.packing import ByteBpe, load_byte_bpe, packing_digest
 from loomwork.llm.permutation_index import nearest_digest
+from loomwork.llm.sentencepiece_codec import load_pieces, sentencepiece_digest
 from loomwork.llm.simhash import simhash_components
 from loomwork.llm.substring_dedup import substring_dedup_digest
 from loomwork.llm.toxicity import toxicity_digest
@@ -50,6 +51,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing_digest(table(spark, sf_dir, "documents"), byte_bpe())
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_digest(table(spark, sf_dir, "documents"), load_pieces(public_tokenizers.path("piece_bpe_32k.model")))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
 
@@ -76,6 +81,7 @@ QUERIES = {
     "op2_line_dedup": op2_line_dedup,
     "op3_permutation_index": op3_permutation_index,
     "op4_packing": op4_packing,
+    "op5_sentencepiece": op5_sentencepiece,
     "op6_simhash": op6_simhash,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_language_id": op8_language_id,
