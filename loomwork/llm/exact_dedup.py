@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.llm.shared import without
+from loomwork.llm.shared import small_batches, without
 
 #: Bytes of content that a task holds in memory at a time.
 BUCKET_BYTES = 16 << 20
@@ -136,7 +136,7 @@ def exact_groups(df: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     The row to keep is the one with the most code points in the original, then the smallest id (null ids last).
     """
     text, content = F.coalesce(F.col(text_col), F.lit("")), normalized(F.col(text_col))
-    records = df.select(
+    records = small_batches(df).select(
         F.xxhash64(content).alias("hash"),
         content.cast("binary").alias("content"),
         F.lit(1).cast("long").alias("rows"),

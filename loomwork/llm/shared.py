@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Stands for a null id in orderings and joins, so that null ids sort first and match each other.
 NULL_ID = -(2**63)
+#: A task's memory is some tens of times this.
+BATCH = "4m"
 _ONE = np.uint64(1)
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)  # odd, hence invertible modulo 2**64
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -47,7 +49,15 @@ def id_order(column: str = "doc_id"):
     return F.coalesce(F.col(column).cast("long"), F.lit(NULL_ID))
 
 
-def slices(batches, column: str, max_bytes: int = 2 << 20):
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, after Spark was told to pass texts to Python in batches of ``BATCH`` at most, unless the user has set another bound."""
+    key, spark = "spark.sql.execution.arrow.maxBytesPerBatch", df.sparkSession
+    if spark.conf.get(key).lower() in ("67108864b", "64mb", "64m"):
+        spark.conf.set(key, BATCH)
+    return df
+
+
+def slices(batches, column: str, max_bytes: int = 1 << 20):
     """Arrow record batches cut so that ``column`` holds about ``max_bytes`` each, or one row if that is longer."""
     for batch in batches:
         if not batch.num_rows:
@@ -112,12 +122,20 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+class SpanHasher:
+    """64-bit polynomial hashes of spans of ``values``, from prefix sums; equal contents hash alike."""
+
+    def __init__(self, values: np.ndarray, seed: int = 0):
+        power, self.inverse = _powers(_BASES[seed], len(values) + 1)
+        self.sums = np.zeros(len(values) + 1, dtype=np.uint64)
+        np.cumsum((values.astype(np.uint64) + _ONE) * power[: len(values)], out=self.sums[1:])
+
+    def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return mix((self.sums[ends] - self.sums[starts]) * self.inverse[starts] + (ends - starts).astype(np.uint64))
+
+
 def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
-    """A 64-bit polynomial hash of ``values[start:end]`` for each span, from prefix sums; equal contents hash alike."""
-    power, inverse = _powers(_BASES[seed], len(values) + 1)
-    sums = np.zeros(len(values) + 1, dtype=np.uint64)
-    np.cumsum((values.astype(np.uint64) + _ONE) * power[: len(values)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+    return SpanHasher(values, seed)(starts, ends)
 
 
 def window_hashes(words: np.ndarray, width: int, seed: int = 0) -> np.ndarray:

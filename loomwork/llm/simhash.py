@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomwork.llm.components import connected
-from loomwork.llm.shared import NULL_ID, cut, id_order, slices, without
+from loomwork.llm.shared import NULL_ID, cut, id_order, slices, small_batches, without
 
 SHINGLE, DISTANCE, SEED = 4, 4, 42
 #: (first bit, bits, radius) of each segment for a distance of at most 4.
@@ -61,7 +61,7 @@ def _fingerprints(shingle: int):
 
 def fingerprints(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", shingle: int = SHINGLE) -> DataFrame:
     """``doc_id``, ``text_key`` and ``fp``, the fingerprint as a long; null texts count as empty, which gives zero."""
-    slim = df.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
+    slim = small_batches(df).select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
     return slim.mapInArrow(_fingerprints(shingle), "doc_id long, text_key long, fp long")
 
 

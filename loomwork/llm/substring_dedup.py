@@ -4,7 +4,8 @@ A window of the full width (20 words) can only repeat if what it contains repeat
 that, and so on below the full width) every surviving window is represented by the smallest hash among the shorter
 windows it contains: equal windows choose equally, so about one shorter window in six is posted. Posts that occur once
 alone end their windows; the windows of the others are extended to twice the length, until the full width is reached
-or nothing survives. Only full windows that survived are hashed (128 bits) and grouped over all documents.
+or nothing survives. Only full windows that survived are hashed (96 bits) and compared over all documents, in one
+exchange; those that a very frequent post stands for are salted, and their first occurrences are joined back.
 
 Whole texts that occur again are settled before: every window of a later copy starts earlier in the first copy.
 """
@@ -16,12 +17,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from loomwork.llm.shared import id_order, same_text, slices, span_hashes, utf8_bytes, window_hashes, word_spans
+from loomwork.llm.shared import id_order, mix, same_text, slices, small_batches, span_hashes, utf8_bytes, window_hashes, without, word_spans
 
 WINDOW, BASE = 20, 10
+#: A window that may occur more often than this, as the window that represents it does, is dealt over so many tasks.
+HOT, SALTS = 5_000, 32
+#: The lower half of a window's second hash gives way to its position: 96 bits remain to tell windows apart.
+_POSITION = (1 << 32) - 1
 _COPY = -1  # as a position: the whole text has an earlier copy
 
 
@@ -36,12 +43,12 @@ def levels(window: int = WINDOW, base: int = BASE) -> list[int]:
 
 def _smallest(grams: np.ndarray, count: int, width: int) -> tuple[np.ndarray, np.ndarray]:
     """For each of ``count`` starts the smallest of the ``width`` hashes from there on, and where it first is."""
-    best, at = grams[:count].copy(), np.arange(count)
+    best, at = grams[:count].copy(), np.zeros(count, dtype=np.int64)
     for k in range(1, width):
-        less = grams[k : k + count] < best
-        best[less] = grams[k : k + count][less]
-        at[less] = np.flatnonzero(less) + k
-    return best, at
+        np.minimum(best, grams[k : k + count], out=best)
+    for k in range(width - 1, -1, -1):
+        at[grams[k : k + count] == best] = k
+    return best, at + np.arange(count)
 
 
 class _Windows:
@@ -53,9 +60,14 @@ class _Windows:
         self.words, self.window = span_hashes(data, starts, ends), window
         self.count = max(0, len(self.words) - window + 1)
         self.alive = same_text(self.first_word, self.count, window) if self.count else np.zeros(0, dtype=bool)
+        self.post = None
         for length in done:
-            hits = batch.column(f"hits{length}").flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-            self.alive &= np.isin(self.represent(length)[0], hits)
+            self.post = self.represent(length)[0]
+            self.alive &= np.isin(self.post, self.listed(batch, f"hits{length}"))
+
+    @staticmethod
+    def listed(batch: pa.RecordBatch, column: str) -> np.ndarray:
+        return batch.column(column).flatten().to_numpy(zero_copy_only=False).view(np.uint64)
 
     def represent(self, length: int) -> tuple[np.ndarray, np.ndarray]:
         return _smallest(window_hashes(self.words, length), self.count, self.window - length + 1)
@@ -88,8 +100,12 @@ def _full(window: int, done: list[int]):
             text = w.text_of(at)
             h1, h2 = (span_hashes(w.words, at, at + window, seed).view(np.int64) for seed in (0, 1))
             take = pa.array(text)
-            columns = [pa.array(h1), pa.array(h2), part.column("doc_order").take(take), part.column("text_key").take(take), pa.array((at - w.first_word[text]).astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(columns, names=["h1", "h2", "doc_order", "text_key", "position"])
+            hot = np.isin(w.post[at], w.listed(part, "hot")) if done else np.ones(len(at), dtype=bool)
+            docs = mix(part.column("doc_order").to_numpy().view(np.uint64))
+            salt = np.where(hot, 1 + (docs[text] % np.uint64(SALTS)).astype(np.int64), 0)
+            tail = (h2 & ~_POSITION) | (at - w.first_word[text])  # a row is a few bytes shorter than with two columns
+            columns = [pa.array(h1), pa.array(tail), pa.array(salt.astype(np.int32)), part.column("doc_order").take(take), part.column("text_key").take(take)]
+            yield pa.RecordBatch.from_arrays(columns, names=["h1", "tail", "salt", "doc_order", "text_key"])
 
     return run
 
@@ -103,11 +119,14 @@ def later_windows(base: DataFrame, window: int = WINDOW, shortest: int = BASE) -
     texts = base.select("doc_order", "text_key", F.md5("text").alias("md5"))
     firsts = texts.groupBy("md5").agg(F.min("doc_order").alias("first"), F.count("*").alias("times")).where("times > 1")
     copies = texts.join(firsts.select("md5", "first"), "md5").where("doc_order > first").select("doc_order", "text_key")
-    posts_of, done, alive = base.select("doc_order", "text"), [], None
-    for length in levels(window, shortest):
+    posts_of, done, alive, lengths = base.select("doc_order", "text"), [], None, levels(window, shortest)
+    for length in lengths:
         posts = posts_of.mapInArrow(_post(window, length, done), "post long, doc_order long")
-        repeated = posts.groupBy("post").agg(F.count("*").alias("times")).where("times > 1").select("post")
-        hits = posts.join(repeated, "post").groupBy("doc_order").agg(F.collect_set("post").alias(f"hits{length}"))
+        repeated = posts.groupBy("post").agg(F.count("*").alias("times")).where("times > 1")
+        found = [F.collect_set("post").alias(f"hits{length}")]
+        if length == lengths[-1]:
+            found.append(F.collect_set(F.when(F.col("times") > HOT, F.col("post"))).alias("hot"))
+        hits = posts.join(repeated, "post").groupBy("doc_order").agg(*found)
         alive = hits if alive is None else alive.join(hits, "doc_order")
         done.append(length)
         posts_of = base.join(alive, "doc_order")
@@ -115,31 +134,38 @@ def later_windows(base: DataFrame, window: int = WINDOW, shortest: int = BASE) -
         survivors = base.join(copies.select("doc_order", F.lit(True).alias("copy")).distinct(), "doc_order", "left").where("copy is null").drop("copy")
     else:  # an id whose text is a later copy brings no window of its own
         survivors = base.join(alive.join(copies, "doc_order", "left_anti"), "doc_order")
-    full = survivors.mapInArrow(_full(window, done), "h1 long, h2 long, doc_order long, text_key long, position int")
-    first = full.groupBy("h1", "h2").agg(F.count("*").alias("times"), F.min(F.struct("doc_order", "position")).alias("first")).where("times > 1")
-    later = full.join(first.select("h1", "h2", "first"), ["h1", "h2"]).where(F.struct("doc_order", "position") > F.col("first"))
-    return later.select("doc_order", "text_key", "position").union(copies.select("doc_order", "text_key", F.lit(_COPY)))
+    full = survivors.mapInArrow(_full(window, done), "h1 long, tail long, salt int, doc_order long, text_key long")
+    # one exchange serves the first of each window and salt, their minima over the salts, and the comparison with both
+    position = F.col("tail").bitwiseAND(F.lit(_POSITION))
+    dealt = full.repartition("h1", "salt").withColumns({"h2": F.shiftright("tail", 32), "position": position, "at": F.struct("doc_order", position.alias("position"))})
+    local = dealt.withColumn("first", F.min("at").over(W.partitionBy("h1", "salt", "h2")))
+    salted = dealt.where("salt > 0").groupBy("h1", "h2", "salt").agg(F.min("at").alias("at"))
+    overall = salted.groupBy("h1", "h2").agg(F.min("at").alias("overall")).select(F.col("h1").alias("o1"), F.col("h2").alias("o2"), F.explode(F.sequence(F.lit(1), F.lit(SALTS))).alias("os"), "overall")
+    # the second hash is compared outside the join's keys, which are then those of the exchange
+    same = (F.col("h1") == F.col("o1")) & (F.col("salt") == F.col("os")) & (F.col("h2").bitwiseXOR(F.col("o2")) == 0)
+    later = local.join(overall, same, "left").where(F.col("at") > F.coalesce("overall", "first"))
+    return later.select("doc_order", "text_key", "position").union(copies.select("doc_order", "text_key", F.lit(_COPY).cast("long")))
 
 
 def _strip(window: int, schema: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text", 8 << 20):
+        for part in slices(batches, "text"):
+            later = part.column("later")
+            positions, ends = later.flatten().to_numpy(zero_copy_only=False), np.cumsum(pc.fill_null(pc.list_value_length(later), 0).to_numpy())
             n_words, n_removed, kept = [], [], []
-            for text, key, later in zip(*(part.column(c).to_pylist() for c in ("text", "text_key", "later")), strict=True):
-                words = (text or "").encode().split()
-                mine = np.array([x["position"] for x in later or () if x["text_key"] == key], dtype=np.int64)
+            for k in range(part.num_rows):
+                words = (part.column("text")[k].as_py() or "").encode().split()
+                mine = positions[ends[k - 1] if k else 0 : ends[k]]
                 n_words.append(len(words))
                 if len(mine) and len(words) >= window:
                     if mine.min() == _COPY:
                         words = []
                     else:
-                        depth = np.zeros(len(words) + 1, dtype=np.int32)
-                        np.add.at(depth, mine, 1)
-                        np.add.at(depth, mine + window, -1)
-                        words = [words[k] for k in np.flatnonzero(np.cumsum(depth[:-1]) == 0)]
+                        depth = np.bincount(mine, minlength=len(words) + 1) - np.bincount(mine + window, minlength=len(words) + 1)
+                        words = [words[k] for k in np.flatnonzero(np.cumsum(depth[: len(words)]) == 0)]
                 n_removed.append(n_words[-1] - len(words))
                 kept.append(b" ".join(words))
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in schema), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array([x.decode() for x in kept])], names=[*schema, "n_words", "n_removed", "kept_text"])
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in schema), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names=[*schema, "n_words", "n_removed", "kept_text"])
 
     return run
 
@@ -150,12 +176,18 @@ def substring_dedup(df: DataFrame, text_col: str = "text", id_col: str = "doc_id
     Words are runs of characters other than 20 and 09-0D. Each word is removed that a window of ``window`` consecutive
     words covers whose sequence also starts earlier: in a smaller id, or earlier in the same document. Windows are judged
     on the input. Null texts have no words. Null ids sort first. Rows that repeat an id and text are one document;
-    neither is an earlier one of the other. Other columns, whatever their names, pass through.
+    neither is an earlier one of the other. Columns of ``df`` named like the new ones are replaced, others pass through;
+    an empty table gives an empty result.
     """
+    df = without(small_batches(df), "n_words", "n_removed", "kept_text")
     carried = [c for c in df.columns if c != text_col]
-    base = df.select(F.struct(*carried).alias("row"), id_order(id_col).alias("doc_order"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
-    later = later_windows(base, window, shortest).groupBy("doc_order").agg(F.collect_list(F.struct("text_key", "position")).alias("later"))
-    joined = base.join(later, "doc_order", "left")
+    # the key tells texts of one id apart; where ids don't repeat, a constant costs nothing to shuffle
+    repeats = df.groupBy(id_order(id_col).alias("doc_order")).count().where("count > 1").limit(1).count()
+    key = F.xxhash64(text_col) if repeats else F.lit(0).cast("long")
+    base = df.select(F.struct(*carried).alias("row"), id_order(id_col).alias("doc_order"), key.alias("text_key"), F.col(text_col).alias("text"))
+    later = later_windows(base, window, shortest).groupBy(F.col("doc_order").alias("later_order"), F.col("text_key").alias("later_key")).agg(F.collect_list(F.col("position").cast("int")).alias("later"))
+    # the keys of the join are those by which the texts were dealt already
+    joined = base.join(later, (F.col("doc_order") == F.col("later_order")) & (F.col("text_key").bitwiseXOR(F.col("later_key")) == 0), "left").drop("later_order", "later_key")
     row = base.schema["row"].dataType.simpleString()
     out = joined.mapInArrow(_strip(window, ["row", "text"]), f"row {row}, text string, n_words long, n_removed long, kept_text string")
     return out.select(*(F.col("row")[c].alias(c) for c in carried), F.col("text").alias(text_col), "n_words", "n_removed", "kept_text")
