@@ -18,12 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.llm.shared import slices, span_hashes
+from loomwork.llm.shared import slices, small_batches, span_hashes
 
 #: Labelled documents that are learned from, of each language and on average: a share of its rows is chosen by hash.
 DOCS_PER_LANGUAGE = 2_000
 #: Entries of the model at most (some 100 bytes each); the rarest are left to backoff.
-MAX_ENTRIES = 400_000
+MAX_ENTRIES = 250_000
 ORDERS = (5, 4, 3, 2, 1)
 UNDETERMINED = "und"
 _LETTER: list[np.ndarray] = []
@@ -142,17 +142,17 @@ def fit_language_model(train: DataFrame, text_col: str = "text", lang_col: str =
     below = F.lit(0)
     for lang in langs:
         below = F.when(F.col("lang") == lang, int(min(1.0, docs_per_language / sizes[lang]) * (1 << 20))).otherwise(below)
-    counted = rows.where(F.col("draw") < below).select("text", "lang").mapInArrow(_counts, "kind int, key long, lang string, times long")
+    counted = small_batches(rows).where(F.col("draw") < below).select("text", "lang").mapInArrow(_counts, "kind int, key long, lang string, times long")
     table = counted.groupBy("kind", "key").agg(F.sum("times").alias("total"), *(F.sum(F.when(F.col("lang") == x, F.col("times")).otherwise(0)).alias(f"n{k}") for k, x in enumerate(langs)))
-    top = table.orderBy(F.desc("total"), "kind", "key").limit(max_entries).toPandas()
+    top = table.orderBy(F.desc("total"), "kind", "key").limit(max_entries).toArrow()
+    kinds, hashes = top["kind"].to_numpy(), top["key"].to_numpy().view(np.uint64)
+    counts = np.stack([top[f"n{k}"].to_numpy() for k in range(len(langs))], axis=1).astype(np.float64)
     keys, logs = {}, {}
     for kind in (0, *ORDERS):
-        part = top[top["kind"] == kind].copy()
-        part["key"] = part["key"].to_numpy().view(np.uint64)
-        part = part.sort_values("key")
-        keys[kind] = part["key"].to_numpy(dtype=np.uint64)
-        n = part[[f"n{k}" for k in range(len(langs))]].to_numpy(dtype=np.float64).reshape(-1, len(langs))
-        logs[kind] = np.log((n + 0.5) / (n.sum(axis=0) + 0.5 * len(n) + 1))
+        at = np.flatnonzero(kinds == kind)
+        at = at[np.argsort(hashes[at])]
+        n = counts[at]
+        keys[kind], logs[kind] = hashes[at], np.log((n + 0.5) / (n.sum(axis=0) + 0.5 * len(n) + 1))
     return LanguageModel(langs, keys, logs)
 
 
@@ -177,7 +177,8 @@ def identify_languages(df: DataFrame, model: LanguageModel, text_col: str = "tex
 
     # the annotations are strings here, so the kind of function is given by its type hints at run time
     identify.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return df.withColumn(into, F.arrow_udf(identify, "lang string, score double")(F.col(text_col)))
+    # called nondeterministic only lest a filter on the result makes Spark predict twice
+    return small_batches(df).withColumn(into, F.arrow_udf(identify, "lang string, score double").asNondeterministic()(F.col(text_col)))
 
 
 def held_out(id_col: str = "doc_id", folds: int = 4, fold: int = 2):

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.llm.shared import slices
+from loomwork.llm.shared import slices, small_batches
 
 CAPACITY, END_ID = 2048, 1
 #: Tokens of padding that a cut is worth: at a document's end, at a sentence's end, within a sentence.
@@ -221,7 +221,7 @@ def pack_documents(df: DataFrame, bpe: ByteBpe, text_col: str = "text", id_col:
                     yield rows(False)
         yield rows(True)
 
-    slim = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    slim = small_batches(df).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return slim.mapInArrow(run, SCHEMA)
 
 

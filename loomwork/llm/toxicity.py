@@ -244,15 +244,15 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_
     chosen = [known.where(F.col("_label") == k).orderBy(F.xxhash64("_id"), "_id").limit(per_label) for k in (0, 1)]
     chosen = F.broadcast(chosen[0].union(chosen[1]).groupBy("_id").agg(F.max("_label").alias("_label")))  # 2 * per_label rows at most
     usable = docs.where(F.length(text_col) <= max_chars).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    rows = usable.join(chosen, "_id").groupBy("_id").agg(F.min("_text").alias("text"), F.first("_label").alias("label")).toPandas()
-    rows["draw"] = rows["_id"].astype(str).map(lambda x: int(mix(np.array([hash_of(x)], dtype=np.uint64))[0]))
-    rows = rows.sort_values("draw")
-    rows = rows.iloc[_without_copies(rows["text"].tolist())]
-    y = rows["label"].to_numpy() == 1
+    rows = usable.join(chosen, "_id").groupBy("_id").agg(F.min("_text").alias("text"), F.first("_label").alias("label"))
+    rows = rows.orderBy(F.xxhash64(F.lit(1), "_id"), "_id").select("text", "label").toArrow()
+    texts, y = rows["text"].to_pylist(), rows["label"].to_numpy() == 1
+    own = _without_copies(texts)
+    texts, y = [texts[k] for k in own], y[own]
     if not len(y) or y.all() or not y.any():
         mean = float(y.mean()) if len(y) else 0.0
         return ToxicityModel(np.zeros(TABLE, dtype=np.float32), Chain(np.array([0.0, -30.0]), np.array([[0.0, -30.0], [0.0, -30.0]])), np.array([np.log(mean + 1e-9) - np.log(1 - mean + 1e-9), 0, 0]))
-    texts, test = rows["text"].tolist(), np.arange(len(y)) % 5 == 0
+    test = np.arange(len(y)) % 5 == 0
     tokens = Tokens([t for t, x in zip(texts, test, strict=True) if not x])
     weights, chain = train_crf(tokens, label_words(tokens, y[~test]).astype(np.int64))
     model = ToxicityModel(weights, chain, np.zeros(3))
@@ -261,11 +261,6 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_
     return model
 
 
-def hash_of(text: str) -> int:
-    data = np.frombuffer(text.encode(), dtype=np.uint8)
-    return int(span_hashes(data, np.array([0]), np.array([len(data)]))[0])
-
-
 def score_toxicity(df: DataFrame, model: ToxicityModel, text_col: str = "text", into: str = "toxicity", threshold: float = 0.5) -> DataFrame:
     """``df`` with a column ``into``: a struct of ``score`` (0 to 1) and ``spans`` (start, end, probability).
 
