@@ -27,8 +27,9 @@ def repeated_windows(df: DataFrame, width: int = WIDTH) -> DataFrame:
     spots = digests.select("doc_order", "text_key", "d", F.explode(F.sequence(F.lit(0), F.size("d") - width)).alias("position"))
     joined = F.concat_ws("|", *(F.col("d")[F.col("position") + k] for k in range(width)))
     windows = spots.select("doc_order", "text_key", "position", F.xxhash64(joined).alias("h1"), F.xxhash64(F.lit(7), joined).alias("h2"))
-    first = windows.groupBy("h1", "h2").agg(F.count("*").alias("times"), F.min(F.struct("doc_order", "position")).alias("first"))
-    first = first.where("times > 1").select("h1", "h2", "first")
+    # grouped under another key than the join's, so that the join gets exchanges which Spark splits where a window is hot
+    first = windows.groupBy(F.struct("h1", "h2").alias("k")).agg(F.count("*").alias("times"), F.min(F.struct("doc_order", "position")).alias("first"))
+    first = first.where("times > 1").select("k.h1", "k.h2", "first")
     later = windows.join(first, ["h1", "h2"]).where(F.struct("doc_order", "position") != F.col("first"))
     return later.select("doc_order", "text_key", "position")
 

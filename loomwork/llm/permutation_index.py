@@ -99,6 +99,13 @@ def _post(held, s: Settings, query: bool, files: int):
     return run
 
 
+def _first_rows(ids: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    """Of rows in order of their ids, those that don't repeat the id and vector of the row before."""
+    new = np.ones(len(ids), dtype=bool)
+    new[1:] = (ids[1:] != ids[:-1]) | (vectors[1:] != vectors[:-1]).any(axis=1)
+    return np.flatnonzero(new)
+
+
 def _search_cell(s: Settings, pivots: int, k: int, whole: bool):
     """The best ``k`` of one cell's vectors for each of its queries.
 
@@ -114,13 +121,16 @@ def _search_cell(s: Settings, pivots: int, k: int, whole: bool):
             x = _matrix(vectors["vector"].combine_chunks().take(pa.array(by_id)))
             q = _matrix(queries["vector"].combine_chunks())
             orders = np.frombuffer(b"".join(vectors["order"].to_pylist()), dtype=np.int16).reshape(len(ids), -1)[by_id]
+            once = _first_rows(ids, x)
+            ids, x, orders = ids[once], x[once], orders[once]
             asked = np.frombuffer(b"".join(queries["order"].to_pylist()), dtype=np.int16).reshape(len(query_ids), -1)
             stored = orders.shape[1]
             place = np.full((pivots, len(ids)), stored, dtype=np.int16)
             np.put_along_axis(place, orders.T.astype(np.int64), np.broadcast_to(np.arange(stored, dtype=np.int16)[:, None], (stored, len(ids))), axis=0)
             near, at, want = q @ x.T, queries["place"].to_numpy(), np.arange(asked.shape[1], dtype=np.int16)[:, None]
             slack = 1e-9 * (1 + np.abs(near).max())
-            for n in range(len(query_ids)):
+            own = np.argsort(query_ids, kind="stable")
+            for n in own[_first_rows(query_ids[own], q[own])].tolist():
                 seen = place[asked[n]]
                 mine = ids != query_ids[n]
                 mine &= orders[:, 0] == key[0].as_py() if whole else ~(seen[: at[n]] < s.posted).any(axis=0)
@@ -169,7 +179,8 @@ def nearest(df: DataFrame, is_query, k: int = 20, vector_col: str = "embedding",
 
     ``score`` is the inner product of the original vectors in double precision; ranks count from 1, nearest first, ties
     to the smaller id. Vectors that are null, zero, of another size than most, or hold null or non-finite components take
-    no part, nor do null ids. Rows that repeat an id count as that row, not as its neighbour. A query whose files hold
+    no part, nor do null ids. ``is_query`` is a condition on ``vec_id``, whatever ``id_col`` is called. Rows that repeat an id
+    and a vector count once, and no row is the neighbour of its own id. A query whose files hold
     fewer than ``k`` others looks into all files, so that ``k`` are found if there are so many. An empty table gives an
     empty result; other columns are ignored.
     """
@@ -179,10 +190,10 @@ def nearest(df: DataFrame, is_query, k: int = 20, vector_col: str = "embedding",
     wanted = int(min(s.most_pivots, max(s.least_pivots, math.isqrt(facts["n"]))))
     # a bounded sample by the hash of the id; pivots are different vectors
     drawn = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(4 * wanted).select("vector").collect()
-    sample = np.array([r["vector"] for r in drawn], dtype=np.float64).reshape(len(drawn), -1)
-    keep = np.sort(np.unique(sample, axis=0, return_index=True)[1])[:wanted] if len(drawn) else []
-    if not len(keep):
+    if not drawn:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    sample = np.array([r["vector"] for r in drawn], dtype=np.float64)
+    keep = np.sort(np.unique(sample, axis=0, return_index=True)[1])[:wanted]
     held = spark.sparkContext.broadcast(_Pivots(sample[keep], float(facts["longest2"])))
     queries = rows.where(is_query)
     found = cut(_search(rows, queries, held, len(keep), k, s, min(s.probed, len(keep))))

@@ -122,7 +122,8 @@ def later_windows(base: DataFrame, window: int = WINDOW, shortest: int = BASE) -
     posts_of, done, alive, lengths = base.select("doc_order", "text"), [], None, levels(window, shortest)
     for length in lengths:
         posts = posts_of.mapInArrow(_post(window, length, done), "post long, doc_order long")
-        repeated = posts.groupBy("post").agg(F.count("*").alias("times")).where("times > 1")
+        # counted under another key than the join's, so that the join gets exchanges which Spark splits where a post is hot
+        repeated = posts.groupBy(F.struct("post").alias("k")).agg(F.count("*").alias("times")).where("times > 1").select("k.post", "times")
         found = [F.collect_set("post").alias(f"hits{length}")]
         if length == lengths[-1]:
             found.append(F.collect_set(F.when(F.col("times") > HOT, F.col("post"))).alias("hot"))
@@ -130,10 +131,10 @@ def later_windows(base: DataFrame, window: int = WINDOW, shortest: int = BASE) -
         alive = hits if alive is None else alive.join(hits, "doc_order")
         done.append(length)
         posts_of = base.join(alive, "doc_order")
-    if alive is None:
-        survivors = base.join(copies.select("doc_order", F.lit(True).alias("copy")).distinct(), "doc_order", "left").where("copy is null").drop("copy")
-    else:  # an id whose text is a later copy brings no window of its own
-        survivors = base.join(alive.join(copies, "doc_order", "left_anti"), "doc_order")
+    # a text that is a later copy brings no window of its own
+    survivors = (base if alive is None else base.join(alive, "doc_order")).alias("s")
+    same = (F.col("s.doc_order") == F.col("c.doc_order")) & (F.col("s.text_key").bitwiseXOR(F.col("c.text_key")) == 0)
+    survivors = survivors.join(copies.alias("c"), same, "left_anti")
     full = survivors.mapInArrow(_full(window, done), "h1 long, tail long, salt int, doc_order long, text_key long")
     # one exchange serves the first of each window and salt, their minima over the salts, and the comparison with both
     position = F.col("tail").bitwiseAND(F.lit(_POSITION))
