@@ -99,13 +99,13 @@ def chunk_links(spark, sf_dir):
 
 def chunk_summary(spark, sf_dir):
     """Counts and tokens of the partitions."""
-    return chunking.chunk_summary(chunking.chunk_corpus(units(spark, sf_dir)), "retrieval_setting")
+    return chunking.chunk_summary(chunking.chunk_corpus(units(spark, sf_dir).persist()), "retrieval_setting")
 
 
 def structured_corpus(spark, sf_dir):
     """Whole documents through blocks, headers, paragraphs, units and all four partitions."""
     paragraphs = structure.build_paragraphs(structure.files_of_documents(documents(spark, sf_dir)))
-    chunks = chunking.chunk_corpus(chunking.build_units(paragraphs))
+    chunks = chunking.chunk_corpus(chunking.build_units(paragraphs).persist())
     return chunks.select("chunk_id", "retrieval_setting", "parent_id", "token_count_est", "char_start_in_doc", "char_end_in_doc", F.md5("text").alias("text_md5"))
 
 
@@ -141,7 +141,9 @@ def hier_search(spark, sf_dir):
     parents = docs.withColumns(fields | {"source_doc_id": F.col("chunk_id"), "parent_id": F.lit(None).cast("string"), "retrieval_setting": F.lit("hierarchical_parent"), "chunk_index": F.lit(0)}).drop("doc_id")
     children = lines.withColumns(fields | {"source_doc_id": F.col("parent_id"), "retrieval_setting": F.lit("hierarchical_child"), "chunk_index": F.split("chunk_id", "::p")[1].substr(1, 5).cast("int")})
     chunks = parents.unionByName(children).persist()
-    _, hits = retrieval.hierarchical_retrieve(benchmark_queries(spark, sf_dir), chunks)
+    asked = benchmark_queries(spark, sf_dir)
+    best = retrieval.search_parents(asked, chunks, index=retrieval.fit_partition(chunks, "hierarchical_parent").persisted()).persist()
+    hits = retrieval.rerank_children(asked, best, chunks, index=retrieval.fit_partition(chunks, "hierarchical_child").persisted())
     return hits.select("query_id", "rank", "chunk_id", "parent_id", F.round("score", 9).alias("score"))
 
 
