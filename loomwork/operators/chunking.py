@@ -61,7 +61,7 @@ def build_units(paragraphs: DataFrame) -> DataFrame:
     rows = paragraphs.where(strip(F.col("text")) != "").withColumn("segments", _segments(F.col("text")))
     rows = rows.withColumns({"whole": F.col("segments").isNull(), "segments": F.coalesce("segments", F.array(strip(F.col("text"))))})
     rows = rows.withColumn("starts", F.when(F.col("whole"), F.array(F.lit(0))).otherwise(_starts(F.col("text"), F.col("segments"))))
-    rows = rows.select("*", F.posexplode("segments").alias("n", "segment"))
+    rows = rows.select("*", F.posexplode_outer("segments").alias("n", "segment"))
     start = F.col("char_start_in_doc") + F.col("starts")[F.col("n")]
     end = F.when(F.col("whole"), F.col("char_end_in_doc")).otherwise(start + F.length("segment"))
     kept = ["node_id", "node_type", "section_path", "section_path_str", "chapter_label", "section_label", "part_label", "source_file", "source_file_index", "paragraph_type"]
@@ -130,7 +130,7 @@ def _cut(gathered: DataFrame, s: ChunkSetting, node_type: str) -> DataFrame:
     """A row per chunk with its number ``k`` among its key's, and the tokens that it shares with its neighbours."""
     tokens = F.transform("units", lambda u: u["token_count_est"])
     ranges = pack_with_overlap(tokens, s.target_tokens, s.overlap_tokens, s.min_tokens) if s.overlap_tokens else pack_without_overlap(tokens, s.target_tokens, s.min_tokens)
-    rows = gathered.withColumn("ranges", ranges).select("*", F.posexplode("ranges").alias("k", "r"))
+    rows = gathered.withColumn("ranges", ranges).select("*", F.posexplode_outer("ranges").alias("k", "r"))
 
     def shared(first: Column, stop: Column) -> Column:
         """Tokens of the units from ``first`` up to ``stop``, 0 if there are none."""

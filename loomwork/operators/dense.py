@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from loomwork.functions.text import let, terms
+
 BLOCK_QUERIES, BLOCK_VECTORS = 1024, 16_384
 
 
@@ -27,8 +29,8 @@ def squared_distance(a: Column, b: Column) -> Column:
 
 def normalize(vector: Column) -> Column:
     """Length one; a zero vector stays."""
-    norm = F.sqrt(dot(vector, vector))
-    return F.when(norm == 0, vector.cast("array<double>")).otherwise(F.transform(vector, lambda x: x.cast("double") / norm))
+    scaled = lambda v: let(F.sqrt(dot(v, v)), lambda n: F.when(n == 0, v.cast("array<double>")).otherwise(F.transform(v, lambda x: x.cast("double") / n)))
+    return let(vector, scaled)
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
@@ -83,11 +85,12 @@ def with_prefix(text: Column, model: str, prefix: str) -> Column:
 
 def hashed_embedding(text: Column, size: int = 64) -> Column:
     """A deterministic stand-in for a trained encoder: signed counts of hashed terms, of length one."""
-    from loomwork.functions.text import terms
 
-    hashes = F.transform(terms(text), lambda t: F.xxhash64(t))
-    at = lambda i: F.aggregate(hashes, F.lit(0.0), lambda s, h: s + F.when(F.pmod(h, F.lit(size)) == i, F.when(F.shiftright(h, 40).bitwiseAND(F.lit(1)) == 1, 1.0).otherwise(-1.0)).otherwise(0.0))
-    return normalize(F.transform(F.sequence(F.lit(0), F.lit(size - 1)), at))
+    def counts(hashes: Column) -> Column:
+        signed = lambda h: F.when(F.shiftright(h, 40).bitwiseAND(F.lit(1)) == 1, 1.0).otherwise(-1.0)
+        return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.aggregate(F.filter(hashes, lambda h: F.pmod(h, F.lit(size)) == i), F.lit(0.0), lambda s, h: s + signed(h)))
+
+    return normalize(let(F.transform(terms(text), lambda t: F.xxhash64(t)), counts))
 
 
 def embed(df: DataFrame, encoder=None, text_col: str = "text", into: str = "embedding") -> DataFrame:

@@ -17,6 +17,10 @@ from loomwork.operators.packing_folds import merge_small, pack_by_words
 MAX_BLOCK_WORDS, TARGET_WORDS, MIN_WORDS = 300, 140, 80
 INTRO = ("intro", "introduction", "preface", "foreword", "prologue", "epilogue")
 SUFFIX = ".words.txt"
+#: Page numbers and rules that a block may begin with, and where long blocks are cut: before numbers, and after a sentence before a run of titles.
+LEADING = (r"\A\|\s*\d+\s+", r"\A\d+\s*\n", r"\A_+\s*\z")
+NUMBERED = r"\s+(\d+\.\s+)"
+TITLED = r"(?<=[.?!])\s+((?:[A-Z][a-z]+(?:\s+[A-Z][a-z]+){0,5}|[A-Z]{2,}(?:\s+[A-Z]{2,}){0,5}))\s+"
 #: Between paragraphs of a document, in characters.
 GAP = 2
 
@@ -30,7 +34,7 @@ def normalize_whitespace(text: Column) -> Column:
 def normalize_block(block: Column) -> Column:
     lines = F.filter(F.transform(F.split(plain_characters(block), "\n"), strip), lambda x: x != "")
     b = F.array_join(lines, "\n")
-    for pattern in (r"\A\|\s*\d+\s+", r"\A\d+\s*\n", r"\A_+\s*\z"):
+    for pattern in LEADING:
         b = F.regexp_replace(b, pattern, "")
     return strip(F.regexp_replace(b, "[ \t]{2,}", " "))
 
@@ -46,8 +50,8 @@ def split_oversized(block: Column, most: int = MAX_BLOCK_WORDS, target: int = TA
 
 
 def _regrouped(flat: Column, most: int, target: int, least: int) -> Column:
-    marked = F.regexp_replace(flat, r"\s+(\d+\.\s+)", "\n\n$1")
-    marked = F.regexp_replace(marked, r"(?<=[.?!])\s+((?:[A-Z][a-z]+(?:\s+[A-Z][a-z]+){0,5}|[A-Z]{2,}(?:\s+[A-Z]{2,}){0,5}))\s+", "\n\n$1 ")
+    marked = F.regexp_replace(flat, NUMBERED, "\n\n$1")
+    marked = F.regexp_replace(marked, TITLED, "\n\n$1 ")
     parts = F.filter(F.transform(F.split(marked, r"\n\s*\n"), strip), lambda p: p != "")
 
     def regroup(part: Column) -> Column:
@@ -117,7 +121,7 @@ NODE = ["source_file", "source_file_index", "node_id", "node_type", "section_pat
 def build_paragraphs(files: DataFrame) -> DataFrame:
     """The paragraphs of all documents with their numbers and character offsets; files without blocks have none."""
     named = structure_from_name(files)
-    rows = named.select("doc_id", "doc_title", *NODE, F.posexplode(attach_headers(file_blocks(F.col("text")))).alias("local", "p"))
+    rows = named.select("doc_id", "doc_title", *NODE, F.posexplode_outer(attach_headers(file_blocks(F.col("text")))).alias("local", "p")).where("p is not null")  # outer, lest a derived filter computes all of it again
     order = W.partitionBy("doc_id").orderBy("source_file_index", "source_file", "local")
     text, size = F.col("p.text"), F.length("p.text")
     before = F.coalesce(F.sum(size + GAP).over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).cast("int")
@@ -183,7 +187,7 @@ def line_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     name = F.concat(F.lit("doc"), F.col(id_col).cast("string"))
     lines = F.filter(F.transform(F.split(F.col(text_col), "\n"), strip), lambda x: x != "")
-    rows = docs.select(name.alias("source_doc_id"), F.posexplode(lines).alias("n", "text"))
+    rows = docs.select(name.alias("source_doc_id"), F.posexplode_outer(lines).alias("n", "text")).where("text is not null")
     before = F.coalesce(F.sum(F.length("text") + GAP).over(W.partitionBy("source_doc_id").orderBy("n").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).cast("int")
     return rows.select(
         "source_doc_id", F.col("source_doc_id").alias("source_title"), before.alias("char_start_in_doc"), (before + F.length("text")).alias("char_end_in_doc"), F.col("n").alias("parent_paragraph_id"),

@@ -9,27 +9,13 @@ from loomwork.operators import chunking, packing_folds, structure, validation
 
 
 def naive(tokens, target, overlap, least):
-    """The windows of a loop that takes, tops up and steps back, as first written down."""
-    out, start = [], 0
-    while start < len(tokens):
-        end, total = start, 0
-        while end < len(tokens) and not (end > start and total + tokens[end] > target):
-            total, end = total + tokens[end], end + 1
-        while total < least and end < len(tokens):
-            total, end = total + tokens[end], end + 1
-        out.append((start, end))
-        if end >= len(tokens):
-            break
-        if not overlap:
-            start = end
-            continue
-        back, new = 0, end
-        while new > start:
-            if back + tokens[new - 1] > overlap and new < end:
-                break
-            new -= 1
-            back += tokens[new]
-        start = max(start + 1, end - 1) if new == start else new
+    """The windows by their definition: sums over slices for every place."""
+    out, start, n = [], 0, len(tokens)
+    while start < n:
+        stop = next(e for e in range(start + 1, n + 1) if e == n or (sum(tokens[start : e + 1]) > target and sum(tokens[start:e]) >= least))
+        out.append((start, stop))
+        carried = next((b for b in range(start, stop) if sum(tokens[b:stop]) <= overlap), stop - 1) if overlap else stop
+        start = n if stop == n else carried if carried > start else max(start + 1, stop - 1)
     return out
 
 
