@@ -22,6 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,7 +34,8 @@ UNKNOWN_PENALTY = 10.0
 #: Units of more characters are merged one by one.
 LONG = 96
 #: Distinct units whose division a task remembers at most.
-REMEMBERED = 300_000
+REMEMBERED = 500_000
+_ENCODERS: dict[int, Encoder] = {}  # of a worker process, which goes on to further tasks
 
 
 class Codes:
@@ -66,6 +68,7 @@ class PieceModel:
         keys = codes.key(starts, ends)
         order = np.argsort(keys)
         self.keys, self.ids, self.check = keys[order], ids[order], codes.check(starts, ends)[order]
+        self.digest = hash((tuple(self.pieces), self.scores.tobytes()))
         self.by_text = {self.pieces[k]: int(k) for k in ids}
         self.longest = int((ends - starts).max())
         self.floor = float(self.scores[ids].min()) - UNKNOWN_PENALTY
@@ -285,17 +288,23 @@ class Encoder:
 
 
 class Decoder:
-    """The text of ids: pieces joined, byte pieces read as UTF-8, U+2581 as space, less the one before the text."""
+    """Texts of ids: pieces joined, byte pieces read as UTF-8, U+2581 as space, less the one before the text."""
 
     def __init__(self, model: PieceModel):
-        self.bytes = [p.encode() if o else b"" for p, o in zip(model.pieces, model.ordinary, strict=True)]
+        parts = [p.encode() if o else b"" for p, o in zip(model.pieces, model.ordinary, strict=True)]
         for b, k in enumerate(model.byte_ids):
             if k >= 0:
-                self.bytes[k] = bytes([b])
-        self.bytes[model.unknown] = " ⁇ ".encode()
+                parts[k] = bytes([b])
+        parts[model.unknown] = " ⁇ ".encode()
+        self.size = np.array([len(p) for p in parts])
+        self.begin = np.cumsum(self.size) - self.size
+        self.bytes = np.frombuffer(b"".join(parts), dtype=np.uint8)
 
-    def __call__(self, ids: list[int]) -> str:
-        return b"".join([self.bytes[k] for k in ids]).decode("utf-8", "replace").replace(SPACE, " ").removeprefix(" ")
+    def __call__(self, ids) -> str:
+        ids = np.asarray(ids, dtype=np.int64)
+        size = self.size[ids]
+        at = np.arange(size.sum()) + np.repeat(self.begin[ids] - (np.cumsum(size) - size), size)
+        return self.bytes[at].tobytes().decode("utf-8", "replace").replace(SPACE, " ").removeprefix(" ")
 
 
 def encode_texts(df: DataFrame, model: PieceModel, text_col: str = "text", into: str = "ids") -> DataFrame:
@@ -307,7 +316,11 @@ def encode_texts(df: DataFrame, model: PieceModel, text_col: str = "text", into:
     held = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        encode = Encoder(held.value)
+        model = held.value
+        if model.digest not in _ENCODERS:
+            _ENCODERS.clear()
+            _ENCODERS[model.digest] = Encoder(model)
+        encode = _ENCODERS[model.digest]
         for texts in batches:
             found, sizes = [np.zeros(0, dtype=np.int64)], []
             for part in slices([pa.RecordBatch.from_arrays([texts], names=["text"])], "text"):
@@ -328,7 +341,9 @@ def decode_ids(df: DataFrame, model: PieceModel, ids_col: str = "ids", into: str
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         read = Decoder(held.value)
         for ids in batches:
-            yield pa.array([None if x is None else read(x) for x in ids.to_pylist()], pa.string())
+            values, starts = ids.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy())])
+            known = ids.is_valid().to_pylist()
+            yield pa.array([read(values[starts[k] : starts[k + 1]]) if ok else None for k, ok in enumerate(known)], pa.string())
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return small_batches(df).withColumn(into, F.arrow_udf(run, "string").asNondeterministic()(F.col(ids_col)))
@@ -340,7 +355,7 @@ def sentencepiece_digest(docs: DataFrame, model: PieceModel) -> DataFrame:
     return found.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_ids"),
-        F.crc32(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary")).alias("ids_crc32"),
+        F.xxhash64("ids").alias("ids_xxhash64"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
         (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"),
     )
