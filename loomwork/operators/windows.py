@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -68,7 +70,26 @@ def with_conditions(windows: DataFrame, conditions: list[str]) -> DataFrame:
     return windows.withColumn("condition", F.explode(F.array(*(F.lit(c) for c in conditions))))
 
 
+def _stored(df: DataFrame) -> DataFrame:
+    """``df`` from reliable storage in the folder of ``spark.checkpoint.dir`` (a temporary one serves local tests only)."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+    return df.checkpoint(eager=True)
+
+
 def numbered(df: DataFrame, into: str, *order: str, key: str | None = None) -> DataFrame:
-    """Row numbers from 0 in the given order, of each key (or, for small tables, of all rows)."""
-    w = W.partitionBy(key) if key else W.partitionBy()
-    return df.withColumn(into, F.row_number().over(w.orderBy(*order)) - 1)
+    """Row numbers from 0 in the given order, of each key or of all rows; the same at every size.
+
+    Rows are dealt by ranges of key and order, so that no key lies whole in one task; what is summed up is one row for each range and key in it.
+    """
+    keys = [key] if key else []
+    dealt = _stored(df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order).withColumn("_at", F.monotonically_increasing_id()))
+    dealt = dealt.withColumn("_range", F.shiftright("_at", 33))
+    held = dealt.groupBy("_range", *keys).agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.partitionBy(*keys).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    held = held.select(F.col("_range").alias("_of"), *(F.col(k).alias("_key") for k in keys), (before - F.col("_first")).alias("_shift"))
+    same = F.col("_range") == F.col("_of")
+    if key:
+        same = same & F.col(key).eqNullSafe(F.col("_key"))
+    return dealt.join(held, same).select(*df.columns, (F.col("_at") + F.col("_shift")).cast("int").alias(into))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomwork.operators import chunking, cleaning, dense, structure, validation
+from loomwork.operators import chunking, cleaning, dense, structure, validation, windows
 from loomwork.operators.retrieval import fit_partition
 from loomwork.operators.tfidf import TfIdfIndex
 from loomwork.sources import sinks
@@ -42,8 +42,7 @@ def build(files: DataFrame, path: str, clean: bool = True) -> Corpus:
 
 def with_book_order(chunks: DataFrame) -> DataFrame:
     """Chunks with the place of their document among all, by name (documents are numbered from their distinct names)."""
-    names = chunks.select("source_doc_id").distinct()
-    numbered = names.withColumn("book_order", F.row_number().over(W.orderBy("source_doc_id")) - 1) if names.limit(100_001).count() <= 100_000 else names.withColumn("book_order", F.lit(None).cast("int"))
+    numbered = windows.numbered(chunks.select("source_doc_id").distinct(), "book_order", "source_doc_id")
     return chunks.join(numbered, "source_doc_id")
 
 
