@@ -1,7 +1,8 @@
 """The registered queries over the driver's tables; each takes a session and a folder of Parquet tables.
 
 Lines of ``documents`` stand for paragraphs, ``conversations`` for transcripts, ``benchmark`` for queries and ``labels``
-for scores. All run over their whole tables.
+for scores. All run over their whole tables, but for the four reports of graded scores (``_graded``): their SQL takes
+turns 0 to 2 of each conversation, one for each condition, and leaves later turns out.
 """
 
 from __future__ import annotations
