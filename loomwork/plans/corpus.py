@@ -5,7 +5,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomwork.operators import chunking, cleaning, dense, structure, validation, windows
@@ -48,10 +47,9 @@ def with_book_order(chunks: DataFrame) -> DataFrame:
 
 def embed(chunks: DataFrame, path: str, model: str = "hashed", prefix: str = "", encoder=None) -> DataFrame:
     """Chunks with unit vectors and a row number in their partition, in a folder per setting."""
-    text = dense.with_prefix(F.col("text"), model, prefix)
-    rows = dense.embed(chunks.withColumn("_passage", text), encoder, "_passage").drop("_passage")
-    order = W.partitionBy("retrieval_setting").orderBy("source_doc_id", "chunk_index")
-    rows = rows.withColumns({"embedding_row": F.row_number().over(order) - 1, "embedding_partition": F.col("retrieval_setting")})
+    numbered = windows.numbered(chunks, "embedding_row", "source_doc_id", "chunk_index", key="retrieval_setting")
+    rows = dense.embed(numbered.withColumn("_passage", dense.with_prefix(F.col("text"), model, prefix)), encoder, "_passage").drop("_passage")
+    rows = rows.withColumn("embedding_partition", F.col("retrieval_setting"))
     sinks.write_partitions(rows, path)
     return chunks.sparkSession.read.parquet(path)
 

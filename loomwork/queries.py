@@ -269,10 +269,9 @@ def orphan_children(spark, sf_dir):
 
 
 def embedding_report(spark, sf_dir):
-    """Embedded rows by label, numbered."""
+    """Embedded rows by label, the first and the last by their ids."""
     rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("chunk_id"), F.col("label").alias("embedding_partition"), "embedding", "vec_id")
-    rows = windows.numbered(rows, "embedding_row", "vec_id", key="embedding_partition")
-    return validation.embedding_report(rows)
+    return validation.embedding_report(rows, row="vec_id")
 
 
 QUERIES = {f.__name__: f for f in (

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomwork.operators import windows
 from loomwork.plans import corpus
+from loomwork.queries import QUERIES
 
 
 def test_book_order_of_many_documents(spark):
@@ -24,3 +25,21 @@ def test_numbers_match_a_window(spark):
         got = windows.numbered(rows, "r", "n", key=key)
         assert got.columns == want.columns and sorted(got.collect(), key=str) == sorted(want.collect(), key=str)
     assert windows.numbered(rows.limit(0), "r", "n").count() == 0
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_report_of_vectors_deals_no_rows_by_label(spark):
+    assert "Window" not in plan(QUERIES["embedding_report"](spark, "/root/testdata/sf0.001"))
+
+
+def test_embedded_rows_are_numbered_in_ranges(spark, tmp_path, monkeypatch):
+    chunks = spark.createDataFrame([(f"d{n % 7}", n, "small_fixed" if n % 4 else "medium_overlap", f"text {n}") for n in range(200)], "source_doc_id string, chunk_index int, retrieval_setting string, text string").repartition(3)
+    seen = []
+    monkeypatch.setattr(corpus.sinks, "write_partitions", lambda df, path: (seen.append(plan(df)), df.write.parquet(path)))
+    got = corpus.embed(chunks, str(tmp_path / "e")).drop("embedding", "embedding_partition")
+    want = chunks.withColumn("embedding_row", F.row_number().over(W.partitionBy("retrieval_setting").orderBy("source_doc_id", "chunk_index")) - 1)
+    assert sorted(got.select(want.columns).collect()) == sorted(want.collect())
+    assert "row_number" not in seen[0]
