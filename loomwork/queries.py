@@ -223,7 +223,7 @@ def score_summary(spark, sf_dir):
 
 def auto_grade(spark, sf_dir):
     """The documents as answers to benchmark texts, graded."""
-    asked = benchmark_queries(spark, sf_dir)
+    asked = benchmark_queries(spark, sf_dir).where(F.abs("query_id") < 20)  # no other id is a remainder
     rows = documents(spark, sf_dir).withColumn("query_id", F.col("doc_id") % 20).join(F.broadcast(asked), "query_id")
     sheet = rows.select(F.concat(F.lit("v0"), F.lpad((F.col("doc_id") % 12 + 1).cast("string"), 2, "0"), F.lit("_"), F.col("doc_id").cast("string")).alias("file"), F.col("lang").alias("condition"), "query", F.col("text").alias("generated_response"), F.concat(F.col("source"), F.lit(" ; "), F.substring("query", 1, 40)).alias("top_retrieval_sources"))
     return scoring.auto_grade(sheet).drop("query", "generated_response", "top_retrieval_sources")
