@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.llm.shared import small_batches, without
+from loomwork.llm.shared import free_names, small_batches, without
 
 #: Bytes of content that a task holds in memory at a time.
 BUCKET_BYTES = 16 << 20
@@ -165,14 +165,16 @@ def exact_dedup(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", b
     Texts are equal when identical after deleting every character 20 and 09-0D; null counts as empty. Of equal texts
     the row with the most code points in the original stays, then the smallest id; null ids come last. Rows that
     repeat an id with a text of the same length in the group are the same document: they stay or go together.
-    Columns of ``df`` that have these names are replaced; an empty table gives an empty result.
+    Columns of ``df`` that have these names are replaced, all others stay; an empty table gives an empty result. Ids must
+    be whole numbers, or text that reads as such. A content is held whole in a task, however long it is.
     """
-    df = without(df, "text_sha256", "keep_id", "group_size", "kept", "keep_length")
-    groups = exact_groups(df.select(id_col, text_col), text_col, id_col, bucket_bytes)
+    df = without(df, "text_sha256", "keep_id", "group_size", "kept")
+    (longest,) = free_names(df, "keep_length")
+    groups = exact_groups(df.select(id_col, text_col), text_col, id_col, bucket_bytes).withColumnRenamed("keep_length", longest)
     sha = F.sha2(normalized(F.col(text_col)).cast("binary"), 256)
     joined = df.withColumn("text_sha256", sha).join(groups, "text_sha256")
-    kept = F.col(id_col).cast("long").eqNullSafe(F.col("keep_id")) & (F.length(F.coalesce(F.col(text_col), F.lit(""))) == F.col("keep_length"))
-    return joined.withColumn("kept", kept).drop("keep_length")
+    kept = F.col(id_col).cast("long").eqNullSafe(F.col("keep_id")) & (F.length(F.coalesce(F.col(text_col), F.lit(""))) == F.col(longest))
+    return joined.withColumn("kept", kept).drop(longest)
 
 
 def exact_dedup_digest(docs: DataFrame) -> DataFrame:

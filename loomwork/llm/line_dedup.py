@@ -7,10 +7,10 @@ that they cover are merged per document and taken out of its text.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.llm.shared import id_order, without
+from loomwork.llm.shared import free_names, id_order, without
 
 WIDTH = 3
 
@@ -34,30 +34,58 @@ def repeated_windows(df: DataFrame, width: int = WIDTH) -> DataFrame:
     return later.select("doc_order", "text_key", "position")
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def without_covered(lines: Column, positions: Column, width: int) -> Column:
+    """``lines`` less the ``width`` lines from each of the sorted ``positions`` on, in time that grows with the lines alone.
+
+    Covered stretches are merged: one begins at a position that the one before does not reach; what lies between two is sliced.
+    """
+
+    def cut(x: Column) -> Column:
+        first, last = F.lit(0), F.size(x["at"]) - 1
+        begins = F.filter(x["at"], lambda p, i: (i == first) | (p > F.get(x["at"], i - 1) + width))
+        ends = F.filter(x["at"], lambda p, i: (i == last) | (F.get(x["at"], i + 1) > p + width))
+        return _let(F.struct(x["lines"].alias("lines"), begins.alias("begins"), ends.alias("ends")), between)
+
+    def between(x: Column) -> Column:
+        start = lambda k: F.when(k == 0, 0).otherwise(F.get(x["ends"], k - 1) + width)
+        stop = lambda k: F.coalesce(F.get(x["begins"], k), F.size(x["lines"]))
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.size(x["begins"])), lambda k: F.slice(x["lines"], start(k) + 1, stop(k) - start(k))))
+
+    return _let(F.struct(lines.alias("lines"), positions.alias("at")), cut)
+
+
 def line_dedup(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", width: int = WIDTH) -> DataFrame:
     """``df`` with ``text_col`` less its repeated lines, plus ``n_lines`` and ``n_removed``.
 
     Lines are what lies between newline characters, compared whole; windows of ``width`` lines lie in one document.
     Null texts stay null (no lines); texts with fewer lines than ``width`` stay as they are. Null ids sort first. Rows
     that repeat an id and text are one document: neither is a later occurrence of the other. Columns of ``df`` named like
-    the new ones are replaced; an empty table gives an empty result.
+    the two new ones are replaced, all others stay; an empty table gives an empty result. Ids must be whole numbers, or
+    text that reads as such. A text's lines are held as one row, however many they are.
     """
-    df = without(df, "n_lines", "n_removed", "_text", "_order", "_key", "_covered")
+    df = without(df, "n_lines", "n_removed")
     kept = [c for c in df.columns if c != text_col]
-    base = df.select(*kept, F.col(text_col).alias("_text"), id_order(id_col).alias("_order"), F.xxhash64(F.col(text_col)).alias("_key"))
-    slim = base.select(F.col("_order").alias("doc_order"), F.col("_key").alias("text_key"), F.col("_text").alias("text")).where("text is not null")
+    raw, order, key, covered = free_names(df, "_text", "_order", "_key", "_covered")
+    base = df.select(*kept, F.col(text_col).alias(raw), id_order(id_col).alias(order), F.xxhash64(F.col(text_col)).alias(key))
+    slim = base.select(F.col(order).alias("doc_order"), F.col(key).alias("text_key"), F.col(raw).alias("text")).where("text is not null")
     later = repeated_windows(slim, width)
-    spots = F.array_distinct(F.flatten(F.transform(F.collect_set("position"), lambda p: F.sequence(p, p + width - 1))))
-    covered = later.groupBy(F.col("doc_order").alias("_order"), F.col("text_key").alias("_key")).agg(spots.alias("_covered"))
-    joined = base.join(covered, ["_order", "_key"], "left")
-    lines = F.split("_text", "\n")
-    rest = F.filter(lines, lambda x, i: ~F.array_contains(F.col("_covered"), i))
-    cleaned = F.when(F.col("_covered").isNull(), F.col("_text")).otherwise(F.array_join(rest, "\n"))
+    spots = later.groupBy(F.col("doc_order").alias(order), F.col("text_key").alias(key)).agg(F.sort_array(F.collect_set("position")).alias(covered))
+    joined = base.join(spots, [order, key], "left")
+    lines = F.split(raw, "\n")
+    rest = F.when(F.col(covered).isNull(), lines).otherwise(without_covered(lines, F.col(covered), width))
+    both = _let(F.struct(F.size(lines).alias("n"), rest.alias("rest")), lambda x: F.struct(x["n"].alias("n"), (x["n"] - F.size(x["rest"])).alias("gone"), F.array_join(x["rest"], "\n").alias("text")))
+    (found,) = free_names(base, "_found")
+    joined = joined.withColumn(found, F.when(F.col(raw).isNotNull(), both))
     return joined.select(
         *kept,
-        cleaned.alias(text_col),
-        F.when(F.col("_text").isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
-        F.coalesce(F.size("_covered"), F.lit(0)).cast("long").alias("n_removed"),
+        F.col(found)["text"].alias(text_col),
+        F.coalesce(F.col(found)["n"], F.lit(0)).cast("long").alias("n_lines"),
+        F.coalesce(F.col(found)["gone"], F.lit(0)).cast("long").alias("n_removed"),
     )
 
 

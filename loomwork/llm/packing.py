@@ -39,35 +39,38 @@ SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, seq
 
 @dataclass
 class ByteBpe:
-    """A byte-level BPE vocabulary as read from a tokenizer file: token bytes and ids. Special tokens aren't part of it."""
+    """A byte-level BPE vocabulary as read from a tokenizer file: token bytes and ids, and the special tokens' texts and ids."""
 
     pattern: str
     ranks: dict[bytes, int]
+    special: dict[str, int]
     source: str
 
     def encoder(self):
-        """A function from a text to its ids. The faster of two libraries with equal results refuses runs of a million blanks."""
+        """A function from a text to the ids that the file's own library gives it, where a special token's text is that token.
+
+        The faster of two libraries with equal results refuses runs of a million blanks.
+        """
         import tiktoken
         import tokenizers
 
-        fast = tiktoken.Encoding("byte_bpe", pat_str=self.pattern, mergeable_ranks=self.ranks, special_tokens={})
+        fast = tiktoken.Encoding("byte_bpe", pat_str=self.pattern, mergeable_ranks=self.ranks, special_tokens=self.special)
         whole = None
 
         def encode(text: str) -> np.ndarray:
             nonlocal whole
             try:
-                return fast.encode_to_numpy(text, disallowed_special=())
+                return fast.encode_to_numpy(text, allowed_special="all")
             except ValueError:
                 if whole is None:
                     whole = tokenizers.Tokenizer.from_str(self.source)
-                    whole.encode_special_tokens = True
                 return np.array(whole.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
         return encode
 
     def tables(self) -> tuple[np.ndarray, np.ndarray]:
         """For each id whether its bytes end a sentence, and whether they begin with white space."""
-        size = max(self.ranks.values()) + 1
+        size = max(*self.ranks.values(), *self.special.values()) + 1
         ends, begins = np.zeros(size, dtype=bool), np.zeros(size, dtype=bool)
         for token, k in self.ranks.items():
             ends[k] = token.rstrip(b"\"')]")[-1:] in (b".", b"!", b"?") or token.endswith(b"\n")
@@ -86,9 +89,9 @@ def load_byte_bpe(path: str) -> ByteBpe:
     shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     hidden = [b for b in range(256) if b not in set(shown)]
     byte_of = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
-    special = {t["id"] for t in model.get("added_tokens", ())}
-    ranks = {bytes(byte_of[c] for c in token): k for token, k in model["model"]["vocab"].items() if k not in special}
-    return ByteBpe(public_tokenizers.PATTERN, ranks, source)
+    special = {t["content"]: t["id"] for t in model.get("added_tokens", ())}
+    ranks = {bytes(byte_of[c] for c in token): k for token, k in model["model"]["vocab"].items() if k not in special.values()}
+    return ByteBpe(public_tokenizers.PATTERN, ranks, special, source)
 
 
 def cut_points(ids: np.ndarray, doc_ends: np.ndarray, ends: np.ndarray, begins: np.ndarray, stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray]:
@@ -196,12 +199,13 @@ class _Stream:
 def pack_documents(df: DataFrame, bpe: ByteBpe, text_col: str = "text", id_col: str = "doc_id", capacity: int = CAPACITY, end_id: int = END_ID, block: int = BLOCK) -> DataFrame:
     """Pieces of documents in sequences of at most ``capacity`` tokens: ``doc_id, start, length, ids, doc_tokens, sequence_id, offset``.
 
-    A document's ids are those of its whole text, then ``end_id``; strings that look like special tokens are ordinary
-    text. ``ids`` holds a piece's ids as little-endian unsigned 32-bit numbers; pieces of a sequence follow each other
+    A document's ids are those of its whole text, as the tokenizer file's library gives them, then ``end_id``; the text of
+    a special token is that token. ``ids`` holds a piece's ids as little-endian unsigned 32-bit numbers; pieces of a sequence follow each other
     from offset 0 without gaps and in the order of the partition's rows, so ``df`` should give its rows in a
     repeatable order, as files do. A sequence lies within one partition, whose number is in the upper bits of
     ``sequence_id``. Null and empty texts have the end mark alone; null ids stay null; repeated rows are packed each;
-    an empty table gives an empty result; other columns are ignored. ``capacity`` is a power of two.
+    an empty table gives an empty result; other columns are ignored. Ids must be whole numbers, or text that reads as
+    such. A document's ids are held whole in a task, however long it is. ``capacity`` is a power of two.
     """
     held = df.sparkSession.sparkContext.broadcast(bpe)
 

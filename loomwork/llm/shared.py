@@ -13,18 +13,21 @@ from pyspark.sql import functions as F
 NULL_ID = -(2**63)
 #: A task's memory is some tens of times this.
 BATCH = "4m"
-_ONE = np.uint64(1)
-_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)  # odd, hence invertible modulo 2**64
+_PRIME, _BITS = np.uint64(2**31 - 1), np.uint64(31)
+_BASES = (0x1E3779B9, 0x42B2AE3D, 0x27D4EB4F, 0x165667B1)  # two for each seed
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 IS_SPACE = np.zeros(256, dtype=bool)
 IS_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """The cluster names the shared folder in ``spark.checkpoint.dir``; a temporary one serves local tests only."""
+    """The cluster names the shared folder in ``spark.checkpoint.dir``; a temporary one serves local masters only."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -44,6 +47,16 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.drop(*(c for c in df.columns if c.lower() in names))
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each with as many underscores behind it as keep it apart from the columns of ``df`` (in any case)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def id_order(column: str = "doc_id"):
     """A non-null long by which documents are ordered and joined; null ids come first."""
     return F.coalesce(F.col(column).cast("long"), F.lit(NULL_ID))
@@ -102,19 +115,29 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def _powers(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The powers of ``base`` and of its inverse modulo the prime."""
     have = _POWERS.get(base)
     if have is None or len(have[0]) < size:
-        size = max(size, 1 << 16)
+        size, prime = max(size, 1 << 16), int(_PRIME)
 
         def run(b: int) -> np.ndarray:
-            out = np.full(size, b, dtype=np.uint64)
-            out[0] = 1
-            return np.multiply.accumulate(out)
-
-        have = _POWERS[base] = (run(base), run(pow(base, -1, 2**64)))
+            out = np.ones(size, dtype=np.uint32)
+            done = 1
+            while done < size:  # what is known, times the power that comes next
+                more = min(done, size - done)
+                out[done : done + more] = out[:more].astype(np.uint64) * np.uint64(pow(b, done, prime)) % _PRIME
+                done += more
+            return out
+
+        have = _POWERS[base] = (run(base), run(pow(base, -1, prime)))
     return have[0][:size], have[1][:size]
 
 
+def _fold(x: np.ndarray) -> np.ndarray:
+    """Smaller numbers of the same remainder modulo the prime 2**31 - 1."""
+    return (x & _PRIME) + (x >> _BITS)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads every input bit."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -123,15 +146,31 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class SpanHasher:
-    """64-bit polynomial hashes of spans of ``values``, from prefix sums; equal contents hash alike."""
+    """62-bit polynomial hashes of spans of ``values`` from prefix sums, modulo a prime and to two bases; equal contents hash alike.
+
+    Of 64-bit values each base takes other bits; others are to be less than 2**31 - 1.
+    """
 
     def __init__(self, values: np.ndarray, seed: int = 0):
-        power, self.inverse = _powers(_BASES[seed], len(values) + 1)
-        self.sums = np.zeros(len(values) + 1, dtype=np.uint64)
-        np.cumsum((values.astype(np.uint64) + _ONE) * power[: len(values)], out=self.sums[1:])
+        self.lanes, step = [], 1 << 14  # in parts that stay in a processor's cache
+        for lane in (0, 1):
+            power, inverse = _powers(_BASES[2 * seed + lane], len(values) + 1)
+            sums = np.zeros(len(values) + 1, dtype=np.uint64)
+            for k in range(0, len(values), step):
+                part = values[k : k + step]
+                own = (part >> np.uint64(33 * lane)) & _PRIME if values.dtype == np.uint64 else part.astype(np.uint64) + np.uint64(1)
+                own *= power[k : k + len(own)]
+                np.cumsum(_fold(own), out=sums[k + 1 : k + 1 + len(own)])
+                sums[k + 1 : k + 1 + len(own)] += sums[k]
+            self.lanes.append((sums, inverse))
 
     def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return mix((self.sums[ends] - self.sums[starts]) * self.inverse[starts] + (ends - starts).astype(np.uint64))
+        out = np.zeros(len(starts), dtype=np.uint64)
+        for sums, inverse in self.lanes:
+            part = _fold(_fold(_fold(_fold(sums[ends] - sums[starts])) * inverse[starts]))
+            part = np.where(part >= _PRIME, part - _PRIME, part)
+            out = (out << _BITS) | part
+        return mix(out + (ends - starts).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
 def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:

@@ -7,7 +7,7 @@ alone end their windows; the windows of the others are extended to twice the len
 or nothing survives. Only full windows that survived are hashed (96 bits) and compared over all documents, in one
 exchange; those that a very frequent post stands for are salted, and their first occurrences are joined back.
 
-Whole texts that occur again are settled before: every window of a later copy starts earlier in the first copy.
+Whole texts that occur again (by SHA-256) are settled before: every window of a later copy starts earlier in the first copy.
 """
 
 from __future__ import annotations
@@ -57,7 +57,7 @@ class _Windows:
     def __init__(self, batch: pa.RecordBatch, window: int, done: list[int]):
         data, offsets = utf8_bytes(batch.column("text"))
         starts, ends, self.first_word = word_spans(data, offsets)
-        self.words, self.window = span_hashes(data, starts, ends), window
+        self.words, self.window, self._spans = span_hashes(data, starts, ends), window, (data, starts, ends)
         self.count = max(0, len(self.words) - window + 1)
         self.alive = same_text(self.first_word, self.count, window) if self.count else np.zeros(0, dtype=bool)
         self.post = None
@@ -69,6 +69,10 @@ class _Windows:
     def listed(batch: pa.RecordBatch, column: str) -> np.ndarray:
         return batch.column(column).flatten().to_numpy(zero_copy_only=False).view(np.uint64)
 
+    def digests(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Two hashes of the full windows at these places, of words that were hashed apart as well."""
+        return span_hashes(self.words, at, at + self.window), span_hashes(span_hashes(*self._spans, seed=1), at, at + self.window, seed=1)
+
     def represent(self, length: int) -> tuple[np.ndarray, np.ndarray]:
         return _smallest(window_hashes(self.words, length), self.count, self.window - length + 1)
 
@@ -98,7 +102,7 @@ def _full(window: int, done: list[int]):
             if not len(at):
                 continue
             text = w.text_of(at)
-            h1, h2 = (span_hashes(w.words, at, at + window, seed).view(np.int64) for seed in (0, 1))
+            h1, h2 = (h.view(np.int64) for h in w.digests(at))
             take = pa.array(text)
             hot = np.isin(w.post[at], w.listed(part, "hot")) if done else np.ones(len(at), dtype=bool)
             docs = mix(part.column("doc_order").to_numpy().view(np.uint64))
@@ -116,9 +120,10 @@ def later_windows(base: DataFrame, window: int = WINDOW, shortest: int = BASE) -
     ``base`` has ``doc_id, doc_order, text_key, text``. It is dealt by ``doc_order`` alone, always with these columns, so that
     one exchange serves every level and the caller.
     """
-    texts = base.select("doc_order", "text_key", F.md5("text").alias("md5"))
-    firsts = texts.groupBy("md5").agg(F.min("doc_order").alias("first"), F.count("*").alias("times")).where("times > 1")
-    copies = texts.join(firsts.select("md5", "first"), "md5").where("doc_order > first").select("doc_order", "text_key")
+    texts = base.select("doc_order", "text_key", F.unhex(F.sha2("text", 256)).alias("digest"))
+    # copies are counted before the shuffle and under another key than the join's, so that Spark can split a text of very many copies
+    firsts = texts.groupBy(F.struct("digest").alias("k")).agg(F.min("doc_order").alias("first"), F.count("*").alias("times")).where("times > 1")
+    copies = texts.join(firsts.select("k.digest", "first"), "digest").where("doc_order > first").select("doc_order", "text_key")
     posts_of, done, alive, lengths = base.select("doc_order", "text"), [], None, levels(window, shortest)
     for length in lengths:
         posts = posts_of.mapInArrow(_post(window, length, done), "post long, doc_order long")
@@ -178,7 +183,8 @@ def substring_dedup(df: DataFrame, text_col: str = "text", id_col: str = "doc_id
     words covers whose sequence also starts earlier: in a smaller id, or earlier in the same document. Windows are judged
     on the input. Null texts have no words. Null ids sort first. Rows that repeat an id and text are one document;
     neither is an earlier one of the other. Columns of ``df`` named like the new ones are replaced, others pass through;
-    an empty table gives an empty result.
+    an empty table gives an empty result. Ids must be whole numbers, or text that reads as such. A text is worked off in
+    one task, in memory of some hundred bytes a word.
     """
     df = without(small_batches(df), "n_words", "n_removed", "kept_text")
     carried = [c for c in df.columns if c != text_col]

@@ -111,15 +111,15 @@ def bpe():
     return packing.load_byte_bpe(public_tokenizers.path("byte_bpe_50k.json"))
 
 
-TEXTS = [None, "", "a", "Hello world. It's 12 o'clock!\n\nNew — line é 漢字 \U0001f600", "x" * 9000, " " * 5000, "One sentence here. " * 3000, "no end " * 4000, "<|endoftext|> is text"]
+TEXTS = [None, "", "a", "Hello world. It's 12 o'clock!\n\nNew — line é 漢字 \U0001f600", "x" * 9000, " " * 5000, "One sentence here. " * 3000, "no end " * 4000, "<|endoftext|> is text", "<|endoftext|><|endoftext|>", "a <|endoftext|>\n\n <|endoftext| >b", "x<|startoftext|>"]
 
 
 def test_ids_are_the_tokenizers_own(bpe):
     from tokenizers import Tokenizer
 
     own = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    own.encode_special_tokens = True
     encode = bpe.encoder()
+    assert encode("a <|endoftext|> b").tolist() == [64, 220, 50256, 275]
     for t in TEXTS[1:]:
         assert encode(t).tolist() == own.encode(t, add_special_tokens=False).ids
     assert len(encode(" " * 1_200_000)) > 0  # one library refuses this, the other takes over
