@@ -4,8 +4,9 @@ A word that the model knows is scored by its log frequency in each language. A w
 the longest character n-grams (5 down to 1, word boundaries included) of which it knows any, scored likewise; a word of
 unknown characters says nothing. A document's languages are compared by the sums over its words.
 
-The counts are made by Spark over a bounded sample of labelled rows, are added up before the shuffle and give one
-broadcast table of a bounded size; every document is then scored where it lies, without a shuffle.
+The counts are made by Spark over a bounded sample of labelled rows and are added up before the shuffle. Every word and
+n-gram of the sample is in the model, which the sample's bound keeps small enough to broadcast; every document is then
+scored where it lies, without a shuffle. Long texts are worked off in parts that end between words.
 """
 
 from __future__ import annotations
@@ -22,8 +23,8 @@ from loomwork.llm.shared import slices, small_batches, span_hashes
 
 #: Labelled documents that are learned from, of each language and on average: a share of its rows is chosen by hash.
 DOCS_PER_LANGUAGE = 2_000
-#: Entries of the model at most (some 100 bytes each); the rarest are left to backoff.
-MAX_ENTRIES = 250_000
+#: Characters that are worked off at a time (or one word, if that is longer).
+PART = 1 << 18
 ORDERS = (5, 4, 3, 2, 1)
 UNDETERMINED = "und"
 _LETTER: list[np.ndarray] = []
@@ -62,12 +63,32 @@ class Words:
         return span_hashes(self.codes, at, at + order, seed=1), which
 
 
+def parts(texts: list[str | None], size: int = PART) -> Iterator[tuple[list[int], list[str]]]:
+    """Parts of the texts, and of which text each is, about ``size`` characters at a time; parts end between words."""
+    which, found, room = [], [], size
+    for k, text in enumerate(texts):
+        start, text = 0, text or ""
+        while start < len(text):
+            stop = min(len(text), start + room)
+            while stop < len(text) and text[stop].isalpha():
+                stop += 1
+            which.append(k)
+            found.append(text[start:stop])
+            room, start = room - (stop - start), stop
+            if room <= 0:
+                yield which, found
+                which, found, room = [], [], size
+    if found:
+        yield which, found
+
+
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in slices(batches, "text"):
         langs = part.column("lang").to_pylist()
         texts = part.column("text").to_pylist()
-        for lang in sorted(set(langs)):
-            words = Words([t for t, x in zip(texts, langs, strict=True) if x == lang])
+        own = ((x, p) for x in sorted(set(langs)) for _, p in parts([t for t, y in zip(texts, langs, strict=True) if y == x]))
+        for lang, pieces in own:
+            words = Words(pieces)
             times = np.bincount(words.which, minlength=len(words.hashes))
             found = [(0, words.hashes, times)]
             for order in ORDERS:
@@ -119,32 +140,40 @@ class LanguageModel:
         return out
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        words = Words(texts)
-        n_words = np.bincount(words.text, minlength=len(texts))
+        """The language of each text and its share; of equal sums the first language in order wins."""
+        n_words, total = np.zeros(len(texts), dtype=np.int64), np.zeros((len(texts), max(1, len(self.langs))))
+        for which, pieces in parts(texts):
+            words, which = Words(pieces), np.array(which)
+            of_text = which[words.text]
+            n_words += np.bincount(of_text, minlength=len(texts))
+            if self.langs:
+                by_word = self.score(words)[words.which]
+                total += np.stack([np.bincount(of_text, weights=by_word[:, k], minlength=len(texts)) for k in range(len(self.langs))], axis=1)
         if not self.langs:
             return [UNDETERMINED] * len(texts), np.zeros(len(texts))
-        by_word = self.score(words)[words.which]
-        total = np.stack([np.bincount(words.text, weights=by_word[:, k], minlength=len(texts)) for k in range(len(self.langs))], axis=1)
         best = total.argmax(axis=1)
         share = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
         names = [self.langs[b] if n else UNDETERMINED for b, n in zip(best.tolist(), n_words.tolist(), strict=True)]
         return names, np.where(n_words > 0, share, 0.0)
 
 
-def fit_language_model(train: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", docs_per_language: int = DOCS_PER_LANGUAGE, max_entries: int = MAX_ENTRIES) -> LanguageModel:
-    """Learn from rows with text and language, from about ``docs_per_language`` rows of each language, chosen by their id's hash."""
+def fit_language_model(train: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", docs_per_language: int = DOCS_PER_LANGUAGE) -> LanguageModel:
+    """Learn from rows with text and language, from about ``docs_per_language`` rows of each language, chosen by their id's hash.
+
+    The whole texts of these rows count, and everything in them is kept: the model grows with the number of languages and
+    of rows of each. Rows without text or language are left out; repeated rows count as often as they occur.
+    """
     rows = train.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
     rows = rows.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"), F.pmod(F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), F.lit(1 << 20)).alias("draw"))
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     langs = sorted(sizes)
     if not langs:
         return LanguageModel([], {}, {})
-    below = F.lit(0)
-    for lang in langs:
-        below = F.when(F.col("lang") == lang, int(min(1.0, docs_per_language / sizes[lang]) * (1 << 20))).otherwise(below)
+    limits = F.create_map(*(F.lit(x) for lang in langs for x in (lang, int(min(1.0, docs_per_language / sizes[lang]) * (1 << 20)))))
+    below = F.element_at(limits, F.col("lang"))
     counted = small_batches(rows).where(F.col("draw") < below).select("text", "lang").mapInArrow(_counts, "kind int, key long, lang string, times long")
-    table = counted.groupBy("kind", "key").agg(F.sum("times").alias("total"), *(F.sum(F.when(F.col("lang") == x, F.col("times")).otherwise(0)).alias(f"n{k}") for k, x in enumerate(langs)))
-    top = table.orderBy(F.desc("total"), "kind", "key").limit(max_entries).toArrow()
+    table = counted.groupBy("kind", "key").agg(*(F.sum(F.when(F.col("lang") == x, F.col("times")).otherwise(0)).alias(f"n{k}") for k, x in enumerate(langs)))
+    top = table.toArrow()
     kinds, hashes = top["kind"].to_numpy(), top["key"].to_numpy().view(np.uint64)
     counts = np.stack([top[f"n{k}"].to_numpy() for k in range(len(langs))], axis=1).astype(np.float64)
     keys, logs = {}, {}
@@ -161,7 +190,7 @@ def identify_languages(df: DataFrame, model: LanguageModel, text_col: str = "tex
 
     Texts that are null or have no letter are ``und`` with score 0, as is every text if nothing was learned. A text in
     which nothing is known gives equal shares and the first language in order. Rows, other columns and repeated rows
-    stay as they are; an empty table gives an empty result.
+    stay as they are (a column named ``into`` is replaced); an empty table gives an empty result.
     """
     held = df.sparkSession.sparkContext.broadcast(model)
 

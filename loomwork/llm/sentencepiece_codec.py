@@ -239,9 +239,9 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.keys, self.begin, self.count, self.ids = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        self.keys, self.checks, self.begin, self.count, self.ids = *(np.zeros(0, dtype=np.uint64) for _ in range(2)), *(np.zeros(0, dtype=np.int64) for _ in range(3))
 
-    def _learn(self, codes: Codes, keys: np.ndarray, starts: np.ndarray, size: np.ndarray) -> None:
+    def _learn(self, codes: Codes, keys: np.ndarray, checks: np.ndarray, starts: np.ndarray, size: np.ndarray) -> None:
         """Divide new units and keep the answers."""
         ids, owner = [], []
         for length in np.unique(size):
@@ -258,7 +258,8 @@ class Encoder:
         self.ids = np.concatenate([self.ids, np.concatenate(ids)[order]])
         merged = np.concatenate([self.keys, keys])
         order = np.argsort(merged)
-        self.keys, self.begin, self.count = merged[order], np.concatenate([self.begin, begin])[order], np.concatenate([self.count, count])[order]
+        self.keys, self.checks = merged[order], np.concatenate([self.checks, checks])[order]
+        self.begin, self.count = np.concatenate([self.begin, begin])[order], np.concatenate([self.count, count])[order]
 
     def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of each text; null counts as empty."""
@@ -273,16 +274,25 @@ class Encoder:
         starts = np.flatnonzero(begins)
         stops = np.append(starts[1:], len(codes))
         keys, first, which = np.unique(codes.key(starts, stops), return_index=True, return_inverse=True)
-        if len(self.keys) + len(keys) > REMEMBERED:
+        checks = codes.check(starts, stops)
+        clash = bool((checks != checks[first][which]).any())
+        if clash:  # different units have one key: each unit stands for itself, and nothing is remembered
+            keys, first, which, checks = np.arange(len(starts), dtype=np.uint64), np.arange(len(starts)), np.arange(len(starts)), np.zeros(len(starts), dtype=np.uint64)
             self._forget()
-        at = np.searchsorted(self.keys, keys)
-        known = self.keys[np.minimum(at, len(self.keys) - 1)] == keys if len(self.keys) else np.zeros(len(keys), dtype=bool)
+        checks = checks[first]
+        at = np.minimum(np.searchsorted(self.keys, keys), max(0, len(self.keys) - 1))
+        known = self.keys[at] == keys if len(self.keys) else np.zeros(len(keys), dtype=bool)
+        if len(self.keys) + len(keys) > REMEMBERED or (self.checks[at[known]] != checks[known]).any():
+            self._forget()
+            known[:] = False
         if not known.all():
             new = first[~known]
-            self._learn(codes, keys[~known], starts[new], (stops - starts)[new])
+            self._learn(codes, keys[~known], checks[~known], starts[new], (stops - starts)[new])
             at = np.searchsorted(self.keys, keys)
         begin, times = self.begin[at][which], self.count[at][which]
         ids = self.ids[np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + np.repeat(begin, times)]
+        if clash:
+            self._forget()
         of_text = np.searchsorted(ends, starts, side="right")
         return np.split(ids, np.cumsum(np.bincount(of_text, weights=times, minlength=len(texts)).astype(np.int64))[:-1])
 
@@ -310,7 +320,7 @@ class Decoder:
 def encode_texts(df: DataFrame, model: PieceModel, text_col: str = "text", into: str = "ids") -> DataFrame:
     """``df`` with ``into``, the ids of each whole text as ``array<int>``.
 
-    Null and empty texts have no ids. U+2581 in a text can't be told from a space afterwards, as in the model's own
+    Null and empty texts have no ids; a text is encoded whole in one task, in memory of some hundred bytes a character. U+2581 in a text can't be told from a space afterwards, as in the model's own
     library. A column named ``into`` is replaced; repeated rows stay; an empty table gives an empty result.
     """
     held = df.sparkSession.sparkContext.broadcast(model)

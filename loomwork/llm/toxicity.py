@@ -6,8 +6,9 @@ marginal probability; a document's score is a logistic function of the largest m
 offending offsets are the runs of words whose marginal is at least one half.
 
 Labels are of documents, so words are labelled first: those of toxic documents that have a feature which many toxic
-and hardly any clean documents have. Everything is learned on the driver from a bounded sample; every document is
-then scored where it lies, without a shuffle.
+and hardly any clean documents have; near copies count as one document there. Everything is learned on the driver from
+a bounded number of labelled rows, whole texts of any length; every document is then scored where it lies, without a
+shuffle.
 """
 
 from __future__ import annotations
@@ -21,10 +22,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomwork.llm.language_id import held_out
-from loomwork.llm.shared import mix, slices, small_batches, span_hashes, window_hashes
+from loomwork.llm.shared import SpanHasher, mix, slices, small_batches, window_hashes
 
-#: Labelled documents to learn from at most, of either label, and the length up to which they are used.
-PER_LABEL, MAX_CHARS = 1_200, 10_000
+#: Labelled documents to learn from at most, of either label.
+PER_LABEL = 1_200
 TABLE = 1 << 21
 PREFIXES, SUFFIXES = (2, 3, 4, 5, 6, 7, 8), (3, 4)
 #: A feature marks toxic words if at least this share of the toxic documents has it (and so many), and this many times the share of the clean ones.
@@ -51,25 +52,28 @@ class Tokens:
         data = np.frombuffer(b"\n".join([*parts, b""]), dtype=np.uint8)
         edge = np.flatnonzero(np.diff(np.concatenate([[0], _INSIDE[data].view(np.int8), [0]])))
         self.starts, self.stops = edge[::2], edge[1::2]
-        begin = np.concatenate([[0], np.cumsum([len(p) + 1 for p in parts])])
-        self.text = np.searchsorted(begin, self.starts, side="right") - 1
+        self._begin = np.concatenate([[0], np.cumsum([len(p) + 1 for p in parts])])
+        self.text = np.searchsorted(self._begin, self.starts, side="right") - 1
         self.first = np.concatenate([[True], self.text[1:] != self.text[:-1]])[: len(self.text)]
-        self.words = span_hashes(data, self.starts, self.stops)
-        columns, size = [self._place(self.words, 0)], self.stops - self.starts
+        self._hash, self._data = SpanHasher(data), data
+        self.words = self._hash(self.starts, self.stops)
+
+    def columns(self) -> Iterator[np.ndarray]:
+        """Each word's place for one feature after the other: the word, its beginnings, its endings, and its neighbours."""
+        size = self.stops - self.starts
+        yield self._place(self.words, 0)
         for k in PREFIXES:
-            stop = np.minimum(self.stops, self.starts + k)
-            columns.append(np.where(size >= k, self._place(span_hashes(data, self.starts, stop), k), 0))
-        self.own = len(columns)  # these may mark a toxic word by themselves
+            yield np.where(size >= k, self._place(self._hash(self.starts, np.minimum(self.stops, self.starts + k)), k), 0)
         for k in SUFFIXES:
-            start = np.maximum(self.starts, self.stops - k)
-            columns.append(np.where(size >= k, self._place(span_hashes(data, start, self.stops), 16 + k), 0))
-        before, after = np.roll(self.words, 1), np.roll(self.words, -1)
-        last = np.roll(self.first, -1)
-        columns.append(np.where(self.first, 1, self._place(before, 32)))
-        columns.append(np.where(last, 2, self._place(after, 33)))
-        self.features = np.stack(columns, axis=1).astype(np.int32)
-        self._chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-        self._begin = begin
+            yield np.where(size >= k, self._place(self._hash(np.maximum(self.starts, self.stops - k), self.stops), 16 + k), 0)
+        yield np.where(self.first, 1, self._place(np.roll(self.words, 1), 32))
+        yield np.where(np.roll(self.first, -1), 2, self._place(np.roll(self.words, -1), 33))
+
+    def emission(self, weights: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(self.words))
+        for column in self.columns():
+            out += weights[column]
+        return out
 
     @staticmethod
     def _place(hashes: np.ndarray, kind: int) -> np.ndarray:
@@ -78,8 +82,8 @@ class Tokens:
 
     def offsets(self, at: np.ndarray) -> np.ndarray:
         """Bytes to characters of the text that they lie in."""
-        text = np.searchsorted(self._begin, at, side="right") - 1
-        return self._chars[at] - self._chars[self._begin[text]]
+        chars = np.concatenate([[0], np.cumsum((self._data & 0xC0) != 0x80)])
+        return chars[at] - chars[self._begin[np.searchsorted(self._begin, at, side="right") - 1]]
 
 
 @dataclass
@@ -155,7 +159,7 @@ class ToxicityModel:
         tokens = Tokens(texts)
         if not len(tokens.words):
             return tokens, np.zeros(0)
-        return tokens, self.chain.run(self.weights[tokens.features].sum(axis=1, dtype=np.float64), tokens.first)[0]
+        return tokens, self.chain.run(tokens.emission(self.weights), tokens.first)[0]
 
     def score(self, tokens: Tokens, marginal: np.ndarray, count: int) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(_summary(tokens, marginal, count) @ self.scale, -500, 500)))
@@ -168,53 +172,88 @@ def _summary(tokens: Tokens, marginal: np.ndarray, count: int) -> np.ndarray:
     return np.stack([np.ones(count), largest, np.log1p(total)], axis=1)
 
 
-def _without_copies(texts: list[str], width: int = 3, draws: int = 8) -> list[int]:
-    """Indices of texts of which no earlier one shares three of eight minima of hashed word triples."""
+def copy_groups(texts: list[str], width: int = 3, draws: int = 8) -> np.ndarray:
+    """A number for each text; texts that share three of eight minima of hashed word triples with an earlier one have its number."""
     seen: dict[tuple[int, int], list[int]] = {}
-    out = []
+    group = np.arange(len(texts))
     for k, text in enumerate(texts):
         words = Tokens([text]).words
         grams = window_hashes(words, width) if len(words) >= width else words
         keys = [(d, int(mix(grams + np.uint64(d)).min())) for d in range(draws)] if len(grams) else []
         shared = [j for key in keys for j in seen.get(key, ())]
-        if shared and max(np.unique(shared, return_counts=True)[1]) >= 3:
-            continue
+        if shared:
+            texts_of, times = np.unique(shared, return_counts=True)
+            if times.max() >= 3:
+                group[k] = texts_of[times.argmax()]
+                continue
         for key in keys:
             seen.setdefault(key, []).append(k)
-        out.append(k)
-    return out
-
-
-def label_words(tokens: Tokens, toxic: np.ndarray) -> np.ndarray:
-    """Which words of the toxic documents count as toxic: those with a feature that marks toxic documents."""
-    own = tokens.features[:, [0, *range(2, tokens.own)]]  # two bytes are too few to tell
-    pairs = np.unique(np.repeat(tokens.text, own.shape[1]) * TABLE + own.ravel())
-    in_toxic = toxic[pairs // TABLE]
-    held, clean = (np.bincount(pairs[x] % TABLE, minlength=TABLE) for x in (in_toxic, ~in_toxic))
-    n_toxic, n_clean = max(1, toxic.sum()), max(1, (~toxic).sum())
-    marks = (held >= max(MIN_DOCS, MIN_SHARE * n_toxic)) & (clean / n_clean * LIFT <= held / n_toxic)
+    return group
+
+
+class Sample:
+    """The words of labelled texts, as a list of feature columns, a few texts at a time lest all hashes are held at once."""
+
+    def __init__(self, texts: list[str], size: int = 1 << 20):
+        self.count, columns, text, first, start = len(texts), [], [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=bool)], 0
+        while start < len(texts):
+            stop, room = start + 1, size - len(texts[start])
+            while stop < len(texts) and len(texts[stop]) <= room:
+                room -= len(texts[stop])
+                stop += 1
+            tokens = Tokens(texts[start:stop])
+            columns.append([c.astype(np.int32) for c in tokens.columns()])
+            text.append(tokens.text + start)
+            first.append(tokens.first)
+            start = stop
+        self.text, self.first = np.concatenate(text), np.concatenate(first)
+        self.columns = [np.concatenate(c) for c in zip(*columns, strict=True)]
+
+
+def label_words(sample: Sample, toxic: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Which words of the toxic documents count as toxic: those with a feature that marks toxic documents. ``weight`` is a document's share."""
+    own = [sample.columns[k] for k in (0, *range(2, len(PREFIXES) + 1))]  # two bytes are too few to tell
+    held, clean = np.zeros(TABLE), np.zeros(TABLE)
+    for column in own:
+        pairs = np.unique(sample.text * TABLE + column)
+        text, place = pairs // TABLE, pairs % TABLE
+        held += np.bincount(place, weights=weight[text] * toxic[text], minlength=TABLE)
+        clean += np.bincount(place, weights=weight[text] * ~toxic[text], minlength=TABLE)
+    n_toxic, n_clean = max(1.0, weight[toxic].sum()), max(1.0, weight[~toxic].sum())
+    marks = (held >= np.maximum(MIN_DOCS, MIN_SHARE * n_toxic) - 1e-9) & (clean / n_clean * LIFT <= held / n_toxic)
     marks[:8] = False
-    return marks[own].any(axis=1) & toxic[tokens.text]
+    found = np.zeros(len(sample.text), dtype=bool)
+    for column in own:
+        found |= marks[column]
+    return found & toxic[sample.text]
 
 
-def train_crf(tokens: Tokens, tags: np.ndarray, rounds: int = 25, rate: float = 0.5, decay: float = 1e-5) -> tuple[np.ndarray, Chain]:
+def train_crf(sample: Sample, tags: np.ndarray, rounds: int = 25, rate: float = 0.5, decay: float = 1e-5) -> tuple[np.ndarray, Chain]:
     """Weights that maximise the tags' likelihood, by gradient steps scaled with their history."""
-    used = np.flatnonzero(np.bincount(tokens.features.ravel(), minlength=TABLE))
+    seen = np.zeros(TABLE, dtype=bool)
+    for column in sample.columns:
+        seen[column] = True
+    used = np.flatnonzero(seen)
     rank = np.zeros(TABLE, dtype=np.int32)
     rank[used] = np.arange(len(used))
-    features = rank[tokens.features]
+    columns, first = [rank[c] for c in sample.columns], sample.first
     weights, chain, count = np.zeros(len(used)), Chain(np.array([0.0, -4.0]), np.array([[0.0, -4.0], [0.0, -2.0]])), len(tags)
     history, chain_history = np.full(len(used), 1e-8), np.full(6, 1e-8)
     before = np.roll(tags, 1)
-    observed = np.array([(~tokens.first & (before == i) & (tags == j)).sum() for i in (0, 1) for j in (0, 1)] + [(tokens.first & (tags == j)).sum() for j in (0, 1)])
+    observed = np.array([(~first & (before == i) & (tags == j)).sum() for i in (0, 1) for j in (0, 1)] + [(first & (tags == j)).sum() for j in (0, 1)])
     for _ in range(rounds):
-        p, pair = chain.run(weights[features].sum(axis=1), tokens.first)
-        gradient = np.bincount(features.ravel(), weights=np.repeat(p - tags, features.shape[1]), minlength=len(used)) / count + decay * weights
+        emission = np.zeros(count)
+        for column in columns:
+            emission += weights[column]
+        p, pair = chain.run(emission, first)
+        gradient, miss = decay * weights, (p - tags) / count
+        for column in columns:
+            gradient += np.bincount(column, weights=miss, minlength=len(used))
         history += gradient**2
         weights -= rate * gradient / np.sqrt(history)
-        inner = pair[:, ~tokens.first].sum(axis=1)
-        at_first = p[tokens.first].sum()
-        expected = np.concatenate([inner, [tokens.first.sum() - at_first, at_first]])
+        inner = pair[:, ~first].sum(axis=1)
+        at_first = p[first].sum()
+        expected = np.concatenate([inner, [first.sum() - at_first, at_first]])
         step = (expected - observed) / count
         chain_history += step**2
         step = rate * 0.2 * step / np.sqrt(chain_history)
@@ -224,40 +263,46 @@ def train_crf(tokens: Tokens, tags: np.ndarray, rounds: int = 25, rate: float =
     return table, chain
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> np.ndarray:
-    """Newton's method with a small quadratic penalty; either label weighs as it occurs."""
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 50) -> np.ndarray:
+    """Newton's method with a small quadratic penalty; ``weight`` says how much each row counts."""
     w = np.zeros(x.shape[1])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        hessian = (x * (p * (1 - p))[:, None]).T @ x + 0.05 * np.eye(len(w))
-        w += np.linalg.solve(hessian, x.T @ (y - p) - 0.05 * w)
+        hessian = (x * (weight * p * (1 - p))[:, None]).T @ x + 0.05 * np.eye(len(w))
+        w += np.linalg.solve(hessian, x.T @ (weight * (y - p)) - 0.05 * w)
     return w
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", label_col: str = "toxic", per_label: int = PER_LABEL, max_chars: int = MAX_CHARS) -> ToxicityModel:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", label_col: str = "toxic", per_label: int = PER_LABEL) -> ToxicityModel:
     """Learn from ``labels`` (id and 0 or 1) of ``docs``: of each label ``per_label`` rows at most, by the hash of their id.
 
-    Of these, documents over ``max_chars`` and near copies are left out. Four fifths train the chain, the rest fits the
-    logistic function. Without both labels every score is the labels' mean (0 if there are none).
+    Whole texts of these rows are used, whatever their length: the driver holds them and some sixty bytes a word. Four
+    fifths train the chain, the rest (near copies lie on one side) fits the logistic function, in which the labels weigh
+    as they occur among all labelled rows. Of several texts of an id the first in order counts, of several labels the
+    larger. Without both labels every score is the labels' mean (0 if there are none).
     """
     known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label")).where("_id is not null and _label in (0, 1)")
+    totals = {r["_label"]: r["n"] for r in known.groupBy("_label").agg(F.count("*").alias("n")).collect()}
     chosen = [known.where(F.col("_label") == k).orderBy(F.xxhash64("_id"), "_id").limit(per_label) for k in (0, 1)]
     chosen = F.broadcast(chosen[0].union(chosen[1]).groupBy("_id").agg(F.max("_label").alias("_label")))  # 2 * per_label rows at most
-    usable = docs.where(F.length(text_col) <= max_chars).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    usable = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where("_text is not null")
     rows = usable.join(chosen, "_id").groupBy("_id").agg(F.min("_text").alias("text"), F.first("_label").alias("label"))
     rows = rows.orderBy(F.xxhash64(F.lit(1), "_id"), "_id").select("text", "label").toArrow()
     texts, y = rows["text"].to_pylist(), rows["label"].to_numpy() == 1
-    own = _without_copies(texts)
-    texts, y = [texts[k] for k in own], y[own]
     if not len(y) or y.all() or not y.any():
         mean = float(y.mean()) if len(y) else 0.0
         return ToxicityModel(np.zeros(TABLE, dtype=np.float32), Chain(np.array([0.0, -30.0]), np.array([[0.0, -30.0], [0.0, -30.0]])), np.array([np.log(mean + 1e-9) - np.log(1 - mean + 1e-9), 0, 0]))
-    test = np.arange(len(y)) % 5 == 0
-    tokens = Tokens([t for t, x in zip(texts, test, strict=True) if not x])
-    weights, chain = train_crf(tokens, label_words(tokens, y[~test]).astype(np.int64))
+    group = copy_groups(texts)
+    share = 1 / np.bincount(group, minlength=len(group))[group]
+    test = np.cumsum(group == np.arange(len(group)))[group] % 5 == 1  # every fifth group
+    sample = Sample([t for t, x in zip(texts, test, strict=True) if not x])
+    weights, chain = train_crf(sample, label_words(sample, y[~test], share[~test]).astype(np.int64))
     model = ToxicityModel(weights, chain, np.zeros(3))
-    unseen = [t for t, x in zip(texts, test, strict=True) if x]
-    model.scale = _logistic(_summary(*model.tag(unseen), len(unseen)), y[test].astype(np.float64))
+    # texts one by one, as a long one needs its own room
+    summary = np.concatenate([_summary(*model.tag([t]), 1) for t, x in zip(texts, test, strict=True) if x])
+    own = y[test]
+    weight = np.where(own, totals[1] / max(1, own.sum()), totals[0] / max(1, (~own).sum()))
+    model.scale = _logistic(summary, own.astype(np.float64), weight / weight.mean())
     return model
 
 
@@ -267,7 +312,7 @@ def score_toxicity(df: DataFrame, model: ToxicityModel, text_col: str = "text",
     Spans are runs of neighbouring words whose marginals reach ``threshold``, as offsets in characters of the text, with
     the largest marginal. Null, empty and wordless texts have no spans and the score of a text in which nothing was
     found. Other columns and repeated rows stay as they are (a column named ``into`` is replaced); an empty table gives
-    an empty result.
+    an empty result. A text is one chain, worked off whole in one task in memory of some two hundred bytes a word.
     """
     held = df.sparkSession.sparkContext.broadcast(model)
 

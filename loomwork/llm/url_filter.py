@@ -1,9 +1,11 @@
 """URL filters: a blocked Bloom filter of the listed canonical keys in front of an exact hash join.
 
-Everything is DataFrame work. A page's candidate keys are its host's suffixes (label by label) combined with the
-prefixes of its path at the lengths that the rules use. The Bloom filter is an array of 256-bit blocks (four longs):
-a key sets one bit in each of the four words of one block, so that a probe touches one array element. Only the keys
-that pass are joined with the rules, which removes the false positives and yields the longest rule that fits.
+Everything is DataFrame work. A page's candidate keys are its host's last labels (as many as any rule has) combined with
+the prefixes of its path at the lengths that the rules use. The Bloom filter is a table of 256-bit blocks (four longs): a
+key sets one bit in each of the four words of one block, so that a probe is one row of a join by the block's number. The
+table has a bounded number of rows and is broadcast. Only the keys that pass are joined with the rules, which removes the
+false positives; the best rule of each page is then joined back to it, and nothing else of a page is shuffled but its id
+and URL.
 """
 
 from __future__ import annotations
@@ -14,8 +16,9 @@ from pyspark.sql import functions as F
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: The rule list is broadcast up to this many rows (some 100 bytes each); a longer one is shuffled to the keys.
 BROADCAST_RULES = 200_000
-#: Blocks of the Bloom filter at most: 32 MB. Longer lists only raise the share of false positives.
-MAX_BLOCKS = 1 << 20
+#: Blocks of the Bloom filter at most, 40 bytes each and so some 10 MB; beyond eight million rules only the share of false positives rises.
+MAX_BLOCKS = 1 << 18
+KEYS_PER_BLOCK = 8
 
 
 def after_scheme(url: Column) -> Column:
@@ -43,33 +46,27 @@ def _bit(key_hash: Column, word: int) -> Column:
 
 
 def bloom_blocks(keys: DataFrame, column: str, blocks: int) -> DataFrame:
-    """One row with ``bloom``: the blocks as ``array<struct<w0..w3>>``, absent ones filled with zeros."""
+    """``block, w0, w1, w2, w3``: a row for each block in which a key sets bits."""
     h = F.xxhash64(F.col(column))
     set_bits = keys.select(_block(h, blocks).alias("block"), *(_bit(h, w).alias(f"w{w}") for w in range(4)))
-    filled = set_bits.groupBy("block").agg(*(F.bit_or(f"w{w}").alias(f"w{w}") for w in range(4)))
-    words = F.struct(*(F.col(f"w{w}") for w in range(4)))
-    entries = filled.agg(F.map_from_entries(F.collect_list(F.struct("block", words.alias("words")))).alias("at"))
-    none = F.struct(*(F.lit(0).cast("long").alias(f"w{w}") for w in range(4)))
-    return entries.select(F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda i: F.coalesce(F.col("at")[i], none)).alias("bloom"))
+    return set_bits.groupBy("block").agg(*(F.bit_or(f"w{w}").alias(f"w{w}") for w in range(4)))
 
 
-def may_contain(bloom: Column, key: Column, blocks: int) -> Column:
-    h = F.xxhash64(key)
-    block = bloom[_block(h, blocks)]
-    found = F.lit(True)
+def may_contain(rows: DataFrame, column: str, bloom: DataFrame, blocks: int) -> DataFrame:
+    """The rows whose key in ``column`` the filter may contain; ``bloom`` has ``blocks`` rows at most and is broadcast."""
+    h = F.xxhash64(F.col(column))
+    joined = rows.withColumn("block", _block(h, blocks)).join(F.broadcast(bloom), "block")
     for w in range(4):
-        bit = _bit(h, w)
-        found = found & (block[f"w{w}"].bitwiseAND(bit) == bit)
-    return found
+        joined = joined.where(F.col(f"w{w}").bitwiseAND(_bit(h, w)) == _bit(h, w))
+    return joined.select(*rows.columns)
 
 
-def candidate_keys(host: Column, path: Column, lengths: list[int]) -> Column:
-    """Every ``suffix of host + prefix of path`` that a rule could be, as structs (key, rule host); whole labels only."""
-    labels = F.split(host, r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+def candidate_keys(host: Column, path: Column, labels: int, lengths: list[int]) -> Column:
+    """Every ``suffix of host + prefix of path`` that a rule could be; suffixes are of 1 to ``labels`` whole labels, or the host."""
+    parts = F.slice(F.reverse(F.split(host, r"\.")), 1, labels)
+    upto = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.reverse(F.slice(parts, 1, n)), "."))
     prefixes = F.filter(F.array(*(F.when(F.length(path) >= n, F.substring(path, 1, n)) for n in lengths)), lambda p: p.isNotNull())
-    pairs = F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: F.concat(s, F.lit("\u0000"), p)))
-    return F.flatten(pairs)
+    return F.flatten(F.transform(upto, lambda s: F.transform(prefixes, lambda p: F.concat(s, F.lit("\u0000"), p))))
 
 
 def filter_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", default: str = "allow") -> DataFrame:
@@ -78,8 +75,9 @@ def filter_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url
     ``rules`` has ``host``, ``path`` and ``verdict``. A rule fits its host and every subdomain if the path starts with
     the rule's; the longest ``host + path`` wins, then the longer host. A page that no rule fits is not listed: its
     ``rule`` is null and its ``verdict`` is ``default``. Null URLs and URLs without ``://`` have empty host and path.
-    Repeated rows stay as often as they occur; an empty table gives an empty result; other columns are ignored. A rule
-    that is listed twice counts once (of two verdicts, the first in order).
+    Rows stay as often as they occur, null ids too; an empty table gives an empty result; other columns are ignored. A
+    rule that is listed twice counts once (of two verdicts, the first in order). URLs may be of any length: the work is in
+    proportion to it, and to the labels and path lengths of the rules.
     """
     rules = rules.select(
         F.translate(F.coalesce(F.col("host"), F.lit("")), UPPER, LOWER).alias("rule_host"),
@@ -88,28 +86,23 @@ def filter_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url
     )
     rules = rules.groupBy("rule_host", "rule_path").agg(F.min("rule_verdict").alias("rule_verdict"))
     rules = rules.withColumn("rule_key", F.concat("rule_host", F.lit("\u0000"), "rule_path"))
-    facts = rules.agg(F.count("*").alias("n"), F.collect_set(F.length("rule_path")).alias("lengths")).first()
-    blocks = max(1, min(MAX_BLOCKS, facts["n"] // 8 + 1))
+    facts = rules.agg(F.count("*").alias("n"), F.max(F.size(F.split("rule_host", r"\."))).alias("labels"), F.collect_set(F.length("rule_path")).alias("lengths")).first()
+    blocks = max(1, min(MAX_BLOCKS, facts["n"] // KEYS_PER_BLOCK + 1))
     listed = F.broadcast(rules) if facts["n"] <= BROADCAST_RULES else rules
 
-    seen = pages.groupBy(F.col(id_col), F.col(url_col).alias("_url")).agg(F.count("*").alias("_times"))
-    parts = seen.select(id_col, "_times", "_url", url_host(F.col("_url")).alias("host"), url_path(F.col("_url")).alias("path"))
-    probed = parts.join(F.broadcast(bloom_blocks(rules, "rule_key", blocks)))  # one row, at most MAX_BLOCKS * 32 bytes
-    keys = candidate_keys(F.col("host"), F.col("path"), sorted(facts["lengths"]) or [0])
-    hits = probed.select(id_col, "_times", "_url", "host", "path", F.filter(keys, lambda k: may_contain(F.col("bloom"), k, blocks)).alias("hits"))
-    exact = hits.select(id_col, "_times", "_url", "host", "path", F.explode_outer("hits").alias("rule_key")).join(listed, "rule_key", "left")
-    rank = F.when(F.col("rule_host").isNotNull(), F.struct(F.length("rule_host") + F.length("rule_path"), F.length("rule_host")))
-    best = exact.groupBy(id_col, "_url").agg(
-        F.first("_times").alias("_times"),
-        F.first("host").alias("host"),
-        F.first("path").alias("path"),
-        F.max_by(F.struct(F.concat("rule_host", "rule_path").alias("rule"), "rule_verdict"), rank).alias("best"),
-    )
-    return best.select(
-        id_col,
-        "host",
-        "path",
+    rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"))
+    keys = candidate_keys(url_host(F.col("url")), url_path(F.col("url")), facts["labels"] or 1, sorted(facts["lengths"]) or [0])
+    probes = rows.select("id", "url", F.explode(keys).alias("rule_key"))
+    hits = may_contain(probes, "rule_key", bloom_blocks(rules, "rule_key", blocks), blocks).join(listed, "rule_key")
+    rank = F.struct(F.length("rule_host") + F.length("rule_path"), F.length("rule_host"))
+    # grouped under another key than the join's, so that Spark can split a page that is repeated very often
+    best = hits.groupBy(F.struct("id", "url").alias("page")).agg(F.max_by(F.struct(F.concat("rule_host", "rule_path").alias("rule"), "rule_verdict"), rank).alias("best"))
+    best = best.select(F.col("page.id").alias("best_id"), F.col("page.url").alias("best_url"), "best")
+    joined = rows.join(best, F.col("id").eqNullSafe(F.col("best_id")) & F.col("url").eqNullSafe(F.col("best_url")), "left")
+    return joined.select(
+        F.col("id").alias(id_col),
+        url_host(F.col("url")).alias("host"),
+        url_path(F.col("url")).alias("path"),
         F.col("best.rule").alias("rule"),
         F.coalesce("best.rule_verdict", F.lit(default)).alias("verdict"),
-        F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_copy"),
-    ).drop("_copy")
+    )
