@@ -13,8 +13,9 @@ def connected(links: DataFrame, left: str = "a", right: str = "b", rounds: int =
 
     Large-star links each larger neighbour to the smallest of a node's neighbourhood, small-star each smaller one and the
     node itself. The links converge to stars in a logarithmic number of rounds; the sum of the smaller ends tells when
-    nothing changes. Minima are aggregated before the shuffle, so a hub costs one row per partition, and the join that
-    hands them back is one that Spark splits when a key is skewed.
+    nothing changes. Minima are aggregated before the shuffle, so a hub costs one row per partition; they are grouped
+    under another key than that of the join that hands them back, so that the join gets exchanges which Spark splits when
+    a key is skewed.
     """
     edges = links.select(F.greatest(left, right).alias("u"), F.least(left, right).alias("v")).where("u != v").distinct()
     edges, before = cut(edges), None
@@ -24,9 +25,9 @@ def connected(links: DataFrame, left: str = "a", right: str = "b", rounds: int =
             break
         before = state
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        low = both.groupBy(F.struct("u").alias("k")).agg(F.min("v").alias("m")).select("k.u", F.least("k.u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        down = large.groupBy("u").agg(F.min("v").alias("m"))
+        down = large.groupBy(F.struct("u").alias("k")).agg(F.min("v").alias("m")).select("k.u", "m")
         small = large.join(down, "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(down.select("u", "m")).where("u != v").distinct()
         edges = cut(small)

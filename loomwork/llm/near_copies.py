@@ -1,13 +1,20 @@
-"""Near copies by the Jaccard similarity of their shingles.
+"""Near copies by a similarity of shingles: SimHash with long fingerprints and multi-index hashing, then the exact similarity.
 
-Candidates share a band of minimum hashes; 25 bands of 7 find a pair of similarity 0.8 in 997 of 1,000 cases, more
-similar ones more often. Texts that bands connect form a group; within it the similarity is computed from whole sets of
-shingle hashes, so that bands never link texts by themselves. Only the texts of such groups are read a second time.
+At a Jaccard similarity of 0.8 about 15 % of a fingerprint's bits differ, far too many for the segments of one of 64 bits.
+Fingerprints are made as long as it takes here: ``segments`` of some bits each, so many that all but one in a thousand
+pairs of the similarity agree in one of them at least, and so long that a bucket of the table holds some hundred members.
+Pairs of a bucket are verified by 128 further bits. Each bit is, as in any SimHash, the sign of a sum over the shingles of
++1 or -1 by their hashes; all sums of a text come from one fast Walsh-Hadamard transform of its hashed shingles.
+
+What fingerprints connect is only a candidate. The similarity of a group's texts is computed from whole sets of shingle
+hashes: first against the group's smallest text, then, for those that it doesn't settle, in cells of bounded size.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -16,11 +23,37 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomwork.llm.components import connected
-from loomwork.llm.shared import cut, id_order, mix, slices, small_batches, without
+from loomwork.llm.shared import cut, free_names, id_order, mix, slices, small_batches, without
+from loomwork.llm.simhash import bucket_links
 
 SHINGLE, SIMILARITY, SEED = 5, 0.8, 42
-BANDS, ROWS = 25, 7
-_ODD, _XOR = (np.random.default_rng(SEED).integers(0, 2**64, (2, BANDS * ROWS, 1), dtype=np.uint64) | np.array([[[1]], [[0]]], dtype=np.uint64))
+#: The share of pairs of the similarity that may share no segment, and members of a bucket (as a power of two) that are aimed at.
+MISSED, BUCKET_BITS = 0.001, 9
+LEAST_BITS, CHECK_BITS = 12, 128
+#: Sums of one transform, which are taken as bits in a fixed random order.
+SUMS = 1 << 12
+_ORDER = np.random.default_rng(SEED).permutation(SUMS)
+#: Texts and bytes of shingle hashes in a cell's block.
+CELL_TEXTS, CELL_BYTES = 256, 4 << 20
+
+
+@dataclass(frozen=True)
+class Shape:
+    """How many segments of how many bits a fingerprint has, and how many of its check bits may differ."""
+
+    segments: int
+    bits: int
+    distance: int
+
+
+def shape(count: int, similarity: float = SIMILARITY) -> Shape:
+    """For so many texts: bits grow with their logarithm, and segments with what a segment of so many bits misses."""
+    differs = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    bits = max(LEAST_BITS, count.bit_length() - BUCKET_BITS)
+    agrees = (1 - differs) ** bits
+    segments = 1 if agrees >= 1 else math.ceil(math.log(MISSED) / math.log(1 - agrees))
+    spread = math.sqrt(CHECK_BITS * differs * (1 - differs))
+    return Shape(segments, bits, math.ceil(CHECK_BITS * differs + 3.5 * spread))
 
 
 def shingle_hashes(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
@@ -36,23 +69,43 @@ def shingle_hashes(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
     return np.unique(np.fromiter((xxhash.xxh64_intdigest(joined[a:b], SEED) for a, b in spans), dtype=np.uint64))
 
 
-def bands(hashes: np.ndarray) -> np.ndarray:
-    """A hash of each band of minimum hashes."""
-    least = np.full(BANDS * ROWS, 2**64 - 1, dtype=np.uint64)
-    for k in range(0, len(hashes), 1 << 11):  # bounded memory for very long texts
-        np.minimum(least, ((hashes[k : k + (1 << 11)] ^ _XOR) * _ODD).min(axis=1), out=least)
-    out = np.arange(BANDS, dtype=np.uint64)
-    for row in least.reshape(BANDS, ROWS).T:
-        out = mix(out * np.uint64(0x9E3779B97F4A7C15) + row)
-    return out
+def fingerprints(sets: list[np.ndarray], size: int) -> np.ndarray:
+    """``size`` bits (as 0 and 1) for each set of hashes."""
+    out = []
+    for draw in range(-(-size // SUMS)):
+        sums = np.zeros((len(sets), SUMS), dtype=np.float32)
+        for k, hashes in enumerate(sets):
+            h = mix(hashes + np.uint64(draw))
+            sums[k] = np.bincount((h & np.uint64(SUMS - 1)).astype(np.int64), weights=1.0 - 2.0 * (h >> np.uint64(63)), minlength=SUMS)
+        width = 1
+        while width < SUMS:
+            pair = sums.reshape(len(sets), -1, 2, width)
+            sums = np.stack([pair[:, :, 0] + pair[:, :, 1], pair[:, :, 0] - pair[:, :, 1]], axis=2).reshape(len(sets), SUMS)
+            width *= 2
+        sums = sums[:, _ORDER]
+        out.append(sums + np.roll(sums, 1, axis=1) / SUMS > 0)  # where a sum is zero, its neighbour decides
+    return np.ascontiguousarray(np.concatenate(out, axis=1)[:, :size])
 
 
-def _sketches(shingle: int):
+def _sketches(shingle: int, form: Shape):
+    size = CHECK_BITS + form.segments * form.bits
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text"):
-            found = np.concatenate([bands(shingle_hashes((t or "").encode(), shingle)) for t in part.column("text").to_pylist()])
-            ends = pa.array(np.arange(0, len(found) + 1, BANDS), pa.int32())
-            yield pa.RecordBatch.from_arrays([part.column("order"), part.column("node"), pa.ListArray.from_arrays(ends, pa.array(found.view(np.int64)))], names=["order", "node", "bands"])
+        last: set[int] = set()
+        for part in slices(batches, "text", 1 << 18):
+            nodes = part.column("node").to_pylist()
+            keep = [k for k, n in enumerate(nodes) if n not in last and nodes.index(n) == k]  # copies in a task go
+            last = set(nodes) if len(last) > 100_000 else last.union(nodes)
+            if not keep:
+                continue
+            texts = part.column("text")
+            bits = fingerprints([shingle_hashes((texts[k].as_py() or "").encode(), shingle) for k in keep], size)
+            check = np.ascontiguousarray(np.packbits(bits[:, :CHECK_BITS], axis=1)).view(np.int64)
+            weight = np.int64(1) << np.arange(form.bits, dtype=np.int64)
+            value = bits[:, CHECK_BITS:].reshape(len(keep), form.segments, form.bits) @ weight
+            keys = mix((value + (np.arange(form.segments, dtype=np.int64) << 48)).astype(np.uint64)).view(np.int64)
+            ends = pa.array(np.arange(0, keys.size + 1, form.segments), pa.int32())
+            yield pa.RecordBatch.from_arrays([part.column("node").take(pa.array(keep)), pa.array(check[:, 0]), pa.array(check[:, 1]), pa.ListArray.from_arrays(ends, pa.array(keys.ravel()))], names=["node", "c0", "c1", "keys"])
 
     return run
 
@@ -66,6 +119,20 @@ def _sets(shingle: int):
     return run
 
 
+def _alike(similarity: float):
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for left, right in batches:
+            found = []
+            for a, b in zip(left, right, strict=True):
+                x, y = (np.frombuffer(v.as_py(), dtype=np.uint64) for v in (a, b))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                found.append(both >= similarity * (len(x) + len(y) - both) - 1e-6)
+            yield pa.array(found, pa.bool_())
+
+    run.__annotations__ = {"batches": Iterator[tuple[pa.Array, pa.Array]], "return": Iterator[pa.Array]}
+    return F.arrow_udf(run, "boolean").asNondeterministic()
+
+
 def roots_of_group(nodes: np.ndarray, sets: list[np.ndarray], similarity: float) -> np.ndarray:
     """For each text of a group the smallest node that links of at least ``similarity`` lead to.
 
@@ -99,14 +166,14 @@ def _roots(similarity: float):
         return pa.RecordBatch.from_arrays([pa.array(own), pa.array(found)], names=["node", "root"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, nodes, sets = None, [], []
+        cell, nodes, sets = None, [], []
         for batch in batches:
-            for c, node, hashes in zip(*(batch.column(k).to_pylist() for k in ("component", "node", "hashes")), strict=True):
-                if c != group and nodes:
+            for *key, node, hashes in zip(*(batch.column(k).to_pylist() for k in ("component", "i", "j", "node", "hashes")), strict=True):
+                if key != cell and nodes:
                     yield settle(nodes, sets)
                     nodes, sets = [], []
-                group = c
-                if not nodes or nodes[-1] != node:  # repeated texts follow each other
+                cell = key
+                if not nodes or nodes[-1] != node:  # a text may be on both sides of a cell
                     nodes.append(node)
                     sets.append(hashes)
         if nodes:
@@ -115,23 +182,55 @@ def _roots(similarity: float):
     return run
 
 
+def exact_roots(sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """``node, root`` for ``sets`` (``component, node, hashes``, a row for each node; a component is its smallest node): what links of at least ``similarity`` connect.
+
+    Texts are compared with the component's own first. Where that leaves texts over, these meet all texts of their
+    component, in cells of a block of theirs and a block of the others.
+    """
+    sets = cut(sets)
+    hubs = sets.where("node = component").select("component", F.col("hashes").alias("hub"))
+    judged = sets.where("node <> component").join(hubs, "component")
+    judged = cut(judged.select("component", "node", F.length("hashes").alias("bytes"), _alike(similarity)("hashes", "hub").alias("linked")))
+    open_ = judged.where("not linked")
+    if open_.isEmpty():
+        return sets.select("node", F.col("component").alias("root"))
+    parts = lambda count, size: F.greatest(F.ceil(count / CELL_TEXTS), F.ceil(size / CELL_BYTES), F.lit(1)).cast("int")
+    left = F.col("linked").cast("int")
+    sizes = judged.groupBy(F.struct("component").alias("k")).agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"), F.sum(1 - left).alias("m"), F.sum((1 - left) * F.col("bytes")).alias("open")).where("m > 0")
+    sizes = cut(sizes.select("k.component", parts(F.col("n") + 1, F.col("bytes")).alias("nj"), parts(F.col("m"), F.col("open")).alias("ni")))
+    held = sets.join(sizes, "component")
+    place = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    others = held.select("component", "node", "hashes", place("nj").alias("j"), every("ni").alias("i"))
+    mine = held.join(open_.select("node"), "node").select("component", "node", "hashes", place("ni").alias("i"), every("nj").alias("j"))
+    cells = mine.unionByName(others).repartition("component", "i", "j").sortWithinPartitions("component", "i", "j", "node")
+    more = cells.select("component", "i", "j", "node", "hashes").mapInArrow(_roots(similarity), "node long, root long").where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+    settled = judged.where("linked").join(sizes, "component", "left_semi").select(F.col("node").alias("a"), F.col("component").alias("b"))
+    found = connected(more.union(settled)).select("node", F.col("component").alias("root"))
+    alone = sets.join(sizes, "component", "left_anti").select("node", F.col("component").alias("root"))
+    return alone.union(found)
+
+
 def near_copies(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """``df`` with ``kept``: true for one document, that of the smallest id, of each group that links of at least ``similarity`` connect.
 
     Rows that repeat an id and a text are one document and stay or go together; of several texts of the smallest id one
     stays. Null ids come first, null texts count as empty, texts without words are copies of each other. All columns
-    stay; a column ``kept`` of ``df`` is replaced; an empty table gives an empty result.
+    stay; a column ``kept`` of ``df`` is replaced; an empty table gives an empty result. Ids must be whole numbers, or
+    text that reads as such. A text is held whole in a task with its hashes, some tens of bytes a word.
     """
-    df = without(df, "kept", "_order", "_key", "_gone")
+    df = without(df, "kept")
+    order, key, mark = free_names(df, "_order", "_key", "_gone")
     slim = small_batches(df).select(id_order(id_col).alias("order"), F.xxhash64(text_col).alias("node"), F.col(text_col).alias("text"))
-    prints = cut(slim.mapInArrow(_sketches(shingle), "order long, node long, bands array<long>"))
-    posts = prints.select("node", F.explode("bands").alias("band"))
-    hubs = posts.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub <> last").select("band", "hub")
-    groups = cut(connected(posts.join(hubs, "band").where("node <> hub").select("hub", "node").distinct(), "hub", "node"))
+    form = shape(slim.count(), similarity)
+    prints = cut(slim.select("node", "text").mapInArrow(_sketches(shingle, form), "node long, c0 long, c1 long, keys array<long>"))
+    posts = prints.select("node", "c0", "c1", F.explode("keys").alias("bucket"))
+    groups = cut(connected(bucket_links(posts, ["c0", "c1"], form.distance)))
     dealt = slim.join(groups, "node").select("component", "node", "text").mapInArrow(_sets(shingle), "component long, node long, hashes binary")
-    roots = dealt.repartition("component").sortWithinPartitions("component", "node").mapInArrow(_roots(similarity), "node long, root long")
-    rows = cut(prints.select("order", "node").join(roots, "node", "left").select("order", "node", F.coalesce("root", "node").alias("root")))
-    first = rows.groupBy("root").agg(F.min(F.struct("order", "node")).alias("first"))
-    gone = rows.join(first, "root").where(F.struct("order", "node") != F.col("first")).select(F.col("order").alias("_order"), F.col("node").alias("_key"), F.lit(True).alias("_gone")).distinct()
-    keyed = df.withColumns({"_order": id_order(id_col), "_key": F.xxhash64(text_col)})
-    return keyed.join(gone, ["_order", "_key"], "left").withColumn("kept", F.col("_gone").isNull()).drop("_order", "_key", "_gone")
+    roots = exact_roots(dealt.dropDuplicates(["component", "node"]), similarity)
+    rows = cut(slim.select("order", "node").join(roots, "node", "left").select("order", "node", F.coalesce("root", "node").alias("root")))
+    first = rows.groupBy(F.struct("root").alias("k")).agg(F.min(F.struct("order", "node")).alias("first")).select("k.root", "first")
+    gone = rows.join(first, "root").where(F.struct("order", "node") != F.col("first")).select(F.col("order").alias(order), F.col("node").alias(key), F.lit(True).alias(mark)).distinct()
+    keyed = df.withColumns({order: id_order(id_col), key: F.xxhash64(text_col)})
+    return keyed.join(gone, [order, key], "left").withColumn("kept", F.col(mark).isNull()).drop(order, key, mark)

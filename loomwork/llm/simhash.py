@@ -1,15 +1,20 @@
 """SimHash near-duplicates by multi-index hashing.
 
-A fingerprint's 64 bits are cut into three segments of 21, 21 and 22 bits. Two fingerprints that differ in at most four
-bits differ in at most one bit of one of the first two segments, or agree in the third (else they would differ in two,
-two and one bits at least). The table holds each fingerprint under its three segment values; each fingerprint probes
-the Hamming balls of radius one around its first two values. Of the ball only the centre and the flips from 0 to 1 are
-enumerated: the other flips are the partner's. Whole distances are then verified within each table bucket.
+A fingerprint is cut into segments. With three of them (21, 21 and 22 bits), two fingerprints that differ in at most four
+bits differ in at most one bit of one of the first two, or agree in the third (else they would differ in two, two and one
+bits at least). The table holds each fingerprint under its segment values; each fingerprint probes the Hamming balls of
+its segments' radii. Of a ball only the flips from 0 to 1 are enumerated: the other flips are the partner's, and both meet
+in the bitwise "or" of their values. Whole distances are then verified within each bucket of the table. Longer segments
+and larger balls are taken for more fingerprints, so that buckets stay small.
+
+Buckets are counted first; those of more members than a block are cut into blocks, each pair of which is compared in a
+task of its own. Links that are handed on are all of a small bucket, else a spanning forest.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -18,13 +23,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomwork.llm.components import connected
-from loomwork.llm.shared import NULL_ID, cut, id_order, slices, small_batches, without
+from loomwork.llm.shared import NULL_ID, cut, free_names, id_order, mix, slices, small_batches, without
 
 SHINGLE, DISTANCE, SEED = 4, 4, 42
-#: (first bit, bits, radius) of each segment for a distance of at most 4.
-SEGMENTS = ((0, 21, 1), (21, 21, 1), (42, 22, 0))
-#: Buckets up to this size are compared pair by pair; larger ones by searching from member to member.
-SMALL_BUCKET = 64
+#: (first bit, bits, radius) of each segment for a distance of at most 4: for few fingerprints, and for more than MANY.
+SEGMENTS, LONG_SEGMENTS, MANY = ((0, 21, 1), (21, 21, 1), (42, 22, 0)), ((0, 32, 2), (32, 32, 1)), 1 << 25
+#: Members of a block; buckets up to TINY are compared pair by pair all at once, up to SMALL as a matrix, else by searching from member to member.
+BLOCK, SMALL, TINY = 2048, 256, 16
+#: Buckets of more than a block are listed in a broadcast table up to this number.
+BROADCAST_BUCKETS = 100_000
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
@@ -65,78 +72,116 @@ def fingerprints(df: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     return slim.mapInArrow(_fingerprints(shingle), "doc_id long, text_key long, fp long")
 
 
-def buckets(distinct: DataFrame) -> DataFrame:
-    """Rows ``bucket, fp`` of the table and of the probes; the bucket holds the segment's number and value."""
-    found = []
-    for number, (first, bits, radius) in enumerate(SEGMENTS):
-        value = F.shiftrightunsigned("fp", first).bitwiseAND(F.lit((1 << bits) - 1))
-        keys = [value]
-        if radius:
-            keys += [F.when(value.bitwiseAND(F.lit(1 << b)) == 0, value.bitwiseOR(F.lit(1 << b))) for b in range(bits)]
-        found.append(F.array_compact(F.array(*(k.bitwiseOR(F.lit(number << 32)) for k in keys))))
-    return distinct.select("fp", F.explode(F.concat(*found)).alias("bucket"))
+def _masks(bits: int, radius: int) -> np.ndarray:
+    """The flips of at most ``radius`` of so many bits."""
+    return np.array([sum(1 << b for b in found) for n in range(radius + 1) for found in combinations(range(bits), n)], dtype=np.uint64)
 
 
-def _links_of_bucket(values: np.ndarray, distance: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links within one large bucket: each search step compares one member with the rest."""
-    rest, out = np.unique(values), []
+def _posts(segments):
+    """Rows ``bucket, node`` of the table and of the probes; the bucket mixes the segment's number and value."""
+    masks = [_masks(bits, radius) for _, bits, radius in segments]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 1024):
+                fp = batch.column("node").slice(k, 1024).to_numpy().view(np.uint64)
+                found, owner = [], []
+                for number, ((first, bits, _), flips) in enumerate(zip(segments, masks, strict=True)):
+                    value = (fp >> np.uint64(first)) & np.uint64((1 << bits) - 1)
+                    row, flip = np.nonzero((value[:, None] & flips) == 0)
+                    found.append(mix((value[row] | flips[flip]) + np.uint64(number << 48)))
+                    owner.append(row)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(fp[np.concatenate(owner)].view(np.int64))], names=["bucket", "node"])
+
+    return run
+
+
+def _forest(words: np.ndarray, distance: int) -> np.ndarray:
+    """Pairs of rows of ``words`` that span what links connect; each search step compares one row with those not reached yet."""
+    rest, out = np.arange(len(words)), []
     while len(rest):
         frontier, rest = [rest[0]], rest[1:]
         while frontier and len(rest):
             at = frontier.pop()
-            near = np.bitwise_count(rest ^ at) <= distance
+            near = np.bitwise_count(words[rest] ^ words[at]).sum(axis=1, dtype=np.int32) <= distance
             frontier.extend(rest[near])
-            out.extend((int(at), int(x)) for x in rest[near])
+            out.append(np.stack([np.full(near.sum(), at), rest[near]], axis=1))
             rest = rest[~near]
-    return out
-
-
-def _verify(distance: int):
-    def links(bucket: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
-        edge = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-        size = np.diff(np.append(edge, len(bucket)))
-        left, right = [], []
-        for k in np.flatnonzero(size > SMALL_BUCKET):
-            pairs = _links_of_bucket(fp[edge[k] : edge[k] + size[k]], distance)
-            left.append(np.array([p[0] for p in pairs], dtype=np.uint64))
-            right.append(np.array([p[1] for p in pairs], dtype=np.uint64))
-        small = np.repeat(size <= SMALL_BUCKET, size)
-        for lag in range(1, int(min(SMALL_BUCKET, size.max(initial=1)))):  # neighbours at each lag, over all small buckets
-            at = np.flatnonzero(small[lag:] & (bucket[lag:] == bucket[:-lag]))
-            at = at[np.bitwise_count(fp[at] ^ fp[at + lag]) <= distance]
-            left.append(fp[at])
-            right.append(fp[at + lag])
-        a, b = (np.concatenate([np.zeros(0, dtype=np.uint64), *x]).view(np.int64) for x in (left, right))
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+    return np.concatenate([np.zeros((0, 2), dtype=np.int64), *out])
+
+
+def _links_of_bucket(words: np.ndarray, distance: int) -> np.ndarray:
+    """Pairs of rows within the distance: all if there are few, else a spanning forest of them."""
+    if len(words) <= SMALL:
+        pairs = np.argwhere(np.triu(np.bitwise_count(words[:, None] ^ words[None]).sum(axis=2, dtype=np.int32) <= distance, 1))
+        if len(pairs) <= 4 * len(words):
+            return pairs
+    return _forest(words, distance)
+
+
+def _verify(columns: list[str], distance: int):
+    def links(cell: np.ndarray, node: np.ndarray, words: np.ndarray) -> pa.RecordBatch:
+        edge = np.flatnonzero(np.concatenate([[True], (cell[1:] != cell[:-1]).any(axis=1)]))
+        size = np.diff(np.append(edge, len(cell)))
+        found = [edge[k] + _links_of_bucket(words[edge[k] : edge[k] + size[k]], distance) for k in np.flatnonzero(size > TINY)]
+        which = np.repeat(np.where(size <= TINY, np.arange(len(size)), -1), size)
+        for lag in range(1, int(size[size <= TINY].max(initial=1))):  # neighbours at each lag, over all tiny buckets
+            at = np.flatnonzero((which[lag:] == which[:-lag]) & (which[lag:] >= 0))
+            at = at[np.bitwise_count(words[at] ^ words[at + lag]).sum(axis=1, dtype=np.int32) <= distance]
+            found.append(np.stack([at, at + lag], axis=1))
+        pairs = np.concatenate([np.zeros((0, 2), dtype=np.int64), *found])
+        return pa.RecordBatch.from_arrays([pa.array(node[pairs[:, 0]]), pa.array(node[pairs[:, 1]])], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, fp = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
+        cell, node, words = np.zeros((0, 3), dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros((0, len(columns)), dtype=np.uint64)
         for batch in batches:
-            bucket = np.concatenate([bucket, batch.column("bucket").to_numpy()])
-            fp = np.concatenate([fp, batch.column("fp").to_numpy().view(np.uint64)])
-            done = int(np.searchsorted(bucket, bucket[-1])) if len(bucket) else 0  # the last bucket may go on
-            if done:
-                yield links(bucket[:done], fp[:done])
-                bucket, fp = bucket[done:], fp[done:]
-        if len(bucket):
-            yield links(bucket, fp)
+            new = [np.stack([batch.column(c).to_numpy().astype(np.int64) for c in names], axis=1) for names in (("bucket", "i", "j"), columns)]
+            cell, node, words = np.concatenate([cell, new[0]]), np.concatenate([node, batch.column("node").to_numpy()]), np.concatenate([words, new[1].view(np.uint64)])
+            done = np.flatnonzero((cell[1:] != cell[:-1]).any(axis=1))  # the last cell may go on
+            if len(done):
+                stop = done[-1] + 1
+                yield links(cell[:stop], node[:stop], words[:stop])
+                cell, node, words = cell[stop:], node[stop:], words[stop:]
+        if len(cell):
+            yield links(cell, node, words)
 
     return run
 
 
-def fingerprint_links(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """Links ``a, b`` between different fingerprints, at least a spanning forest of each component."""
-    dealt = buckets(distinct).repartition("bucket").sortWithinPartitions("bucket", "fp")
-    return dealt.mapInArrow(_verify(distance), "a long, b long").where("a != b").distinct()
+def bucket_links(posts: DataFrame, columns: list[str], distance: int, block: int = BLOCK) -> DataFrame:
+    """Links ``a, b`` between the nodes of a bucket whose ``columns`` (64 bits each) differ in at most ``distance`` bits, or a spanning forest of them.
+
+    ``posts`` has ``bucket``, ``node`` and the columns. A bucket of more than ``block`` rows is cut into blocks by the nodes'
+    hashes, and every pair of blocks is a cell of its own.
+    """
+    own = list(dict.fromkeys(["node", *columns]))
+    large = posts.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > block)
+    large = cut(large.select("bucket", F.ceil(F.col("n") / block).cast("int").alias("blocks")))
+    count = large.count()
+    if count:
+        held = posts.join(F.broadcast(large) if count <= BROADCAST_BUCKETS else large, "bucket", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+        held = held.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).select("bucket", *own, "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+        cells = held.select("bucket", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), *own)
+    else:
+        cells = posts.select("bucket", F.lit(0).alias("i"), F.lit(0).alias("j"), *own)
+    dealt = cells.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "node")
+    return dealt.mapInArrow(_verify(columns, distance), "a long, b long").where("a != b").distinct()
+
+
+def fingerprint_links(distinct: DataFrame, count: int) -> DataFrame:
+    """Links ``a, b`` between different fingerprints (``fp``) of at most four bits' distance, at least a spanning forest of each component."""
+    posts = distinct.select(F.col("fp").alias("node")).mapInArrow(_posts(LONG_SEGMENTS if count > MANY else SEGMENTS), "bucket long, node long")
+    return bucket_links(posts, ["node"], DISTANCE)
 
 
 def _components(prints: DataFrame) -> DataFrame:
     """``prints`` with ``root``, which names the component, and ``component_order``, the smallest id in the order of ``id_order``."""
     distinct = cut(prints.groupBy("fp").agg(F.min(id_order("doc_id")).alias("rep")))
-    groups = connected(fingerprint_links(distinct.select("fp")))
+    groups = connected(fingerprint_links(distinct, distinct.count()))
     # a component's id is the smallest document id of its fingerprints; fingerprints without links stand alone
     rooted = distinct.join(groups, distinct.fp == groups.node, "left").select("fp", "rep", F.coalesce("component", "fp").alias("root"))
-    smallest = rooted.groupBy("root").agg(F.min("rep").alias("component_order"))
+    # grouped under another key than the join's, which Spark can split then where a component is large
+    smallest = rooted.groupBy(F.struct("root").alias("k")).agg(F.min("rep").alias("component_order")).select("k.root", "component_order")
     return prints.join(rooted.join(smallest, "root").select("fp", "root", "component_order"), "fp")
 
 
@@ -146,7 +191,8 @@ def simhash_components(df: DataFrame, text_col: str = "text", id_col: str = "doc
     ``component_id`` is the smallest id reachable by links, the row's own included; null ids come first, so that a
     component with a null id has a null ``component_id``. Equal texts have equal fingerprints and meet in one
     component without being paired. Texts without words have fingerprint zero, linked like any other. Repeated rows
-    stay; an empty table gives an empty result; other columns are ignored.
+    stay; an empty table gives an empty result; other columns are ignored. Ids must be whole numbers, or text that reads
+    as such. A text is held whole in a task, its shingles are hashed in parts.
     """
     return _components(cut(fingerprints(df, text_col, id_col))).select(
         "doc_id",
@@ -160,11 +206,12 @@ def near_duplicates(df: DataFrame, text_col: str = "text", id_col: str = "doc_id
 
     Rows that repeat an id and a text are one document and stay or go together; of several texts of the smallest id one
     stays. Null ids come first. Only ids and hashes are compared; the texts are shuffled once, to be told. A column
-    ``kept`` of ``df`` is replaced; an empty table gives an empty result.
+    ``kept`` of ``df`` is replaced, all others stay; an empty table gives an empty result. Texts may be of any length.
     """
-    df = without(df, "kept", "_order", "_key", "_stays")
+    df = without(df, "kept")
+    order, key, mark = free_names(df, "_order", "_key", "_stays")
     found = _components(cut(fingerprints(df, text_col, id_col)))
     stays = found.where(id_order("doc_id") == F.col("component_order")).groupBy("root", "component_order").agg(F.min("text_key").alias("text_key"))
-    stays = stays.select(F.col("component_order").alias("_order"), F.col("text_key").alias("_key"), F.lit(True).alias("_stays"))
-    keyed = df.withColumns({"_order": id_order(id_col), "_key": F.xxhash64(text_col)})
-    return keyed.join(stays, ["_order", "_key"], "left").withColumn("kept", F.coalesce("_stays", F.lit(False))).drop("_order", "_key", "_stays")
+    stays = stays.select(F.col("component_order").alias(order), F.col("text_key").alias(key), F.lit(True).alias(mark))
+    keyed = df.withColumns({order: id_order(id_col), key: F.xxhash64(text_col)})
+    return keyed.join(stays, [order, key], "left").withColumn("kept", F.coalesce(mark, F.lit(False))).drop(order, key, mark)

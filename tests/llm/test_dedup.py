@@ -158,16 +158,56 @@ def test_every_pair_within_four_bits_meets():
         b = a
         for bit in rng.sample(range(64), rng.randint(0, 4)):
             b ^= 1 << bit
-        met = []
-        for first, bits, radius in simhash.SEGMENTS:
-            x, y = (v >> first & ((1 << bits) - 1) for v in (a, b))
-            met.append((x ^ y).bit_count() <= radius)
-        assert any(met)
+        for segments in (simhash.SEGMENTS, simhash.LONG_SEGMENTS):
+            met = []
+            for first, bits, radius in segments:
+                x, y = (v >> first & ((1 << bits) - 1) for v in (a, b))
+                met.append((x ^ y).bit_count() <= radius)
+            assert any(met)
+
+
+@pytest.mark.parametrize("segments", [simhash.SEGMENTS, simhash.LONG_SEGMENTS])
+def test_close_fingerprints_share_a_bucket(segments):
+    rng = random.Random(2)
+    pairs = []
+    for _ in range(200):
+        a = rng.getrandbits(64)
+        pairs.append((a, a ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 4)))))
+    nodes = np.array(pairs, dtype=np.uint64).ravel()
+    (got,) = simhash._posts(segments)(iter([pa.RecordBatch.from_arrays([pa.array(nodes.view(np.int64))], names=["node"])]))
+    held = {}
+    for bucket, node in zip(got["bucket"].to_pylist(), got["node"].to_numpy().view(np.uint64).tolist(), strict=True):
+        held.setdefault(node, set()).add(bucket)
+    assert all(held[a] & held[b] for a, b in pairs)
+
+
+def test_hot_buckets_are_cut_into_blocks(spark):
+    rng = random.Random(4)
+    values = [rng.getrandbits(7) for _ in range(90)]
+    posts = spark.createDataFrame([(1, v) for v in values] + [(2, 1000)], "bucket long, node long")
+    parent = {v: v for v in values}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for block in (1000, 10, 3):
+        for v in values:
+            parent[v] = v
+        for r in simhash.bucket_links(posts, ["node"], 1, block).collect():
+            assert (r["a"] ^ r["b"]).bit_count() <= 1
+            parent[find(r["a"])] = find(r["b"])
+        for a in values:
+            for b in values:
+                if (a ^ b).bit_count() <= 1:
+                    assert find(a) == find(b)
 
 
 def test_large_buckets_lose_no_link():
     values = np.array(sorted({random.Random(k).getrandbits(6) for k in range(200)}), dtype=np.uint64)
-    links = simhash._links_of_bucket(values, 1)
+    links = values[simhash._forest(values[:, None], 1)].tolist()
+    assert len(simhash._links_of_bucket(values[:, None], 1)) >= len(links)
     parent = {int(v): int(v) for v in values}
 
     def find(x):
