@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from tests.llm.test_dedup import brute_simhash, brute_substrings, squeeze
+from tests.llm.test_dedup import brute_substrings, squeeze
+from tests.llm.test_language import PlainLanguages
+from tests.llm.test_near_copies import kept_by_brute_force
 
 
 def test_stages_on_a_small_corpus(spark, tmp_path):
@@ -39,22 +41,18 @@ def test_pipeline_matches_brute_force(spark):
     sf = "/root/testdata/sf0.001"
     got = corpus_pipeline.run(spark, sf).collect()
     docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
-    docs = [(k, t) for k, t in docs if t and any(c.isalpha() for c in t)]
+    labels = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    plain = PlainLanguages([(t, labels[k]) for k, t in docs if t is not None and labels[k] is not None])
+    docs = [(k, t) for k, t in docs if t and plain.predict(t)[0] != "und" and plain.predict(t)[1] >= 0.5]
     best = {}
     for k, t in docs:
         best[squeeze(t)] = min(best.get(squeeze(t), (1, 0)), (-len(t), k))
     docs = [(k, t) for k, t in docs if best[squeeze(t)] == (-len(t), k)]
-    prints, group = brute_simhash(docs, 4), list(range(len(docs)))
-    for _ in docs:
-        for i in range(len(docs)):
-            group[i] = min(group[j] for j in range(len(docs)) if (prints[i] ^ prints[j]).bit_count() <= 4)
-    ids = [k for k, _ in docs]
-    first = {g: min(k for k, x in zip(ids, group, strict=True) if x == g) for g in group}
-    docs = [d for d, g in zip(docs, group, strict=True) if first[g] == d[0]]
+    kept = kept_by_brute_force(docs)  # every pair of a Jaccard similarity of 0.8 over five words is a link
+    docs = [d for d in docs if d[0] in kept]
     cut = brute_substrings(docs, 20)
     docs = [(k, t if cut[k][1] == 0 else cut[k][2]) for k, t in docs if cut[k][1] == 0 or cut[k][1] < cut[k][0]]
     own = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    own.encode_special_tokens = True
     assert {r["doc_id"] for r in got} == {k for k, _ in docs}
     for k, t in docs:
         tokens = np.array([*own.encode(t, add_special_tokens=False).ids, 1], dtype="<u4")
