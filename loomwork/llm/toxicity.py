@@ -191,6 +191,15 @@ def copy_groups(texts: list[str], width: int = 3, draws: int = 8) -> np.ndarray:
     return group
 
 
+def _sides(group: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows train the chain and which fit the logistic function: every fifth group, else every fifth row; all for both where labels are too few."""
+    rows = np.arange(len(group))
+    for test in (np.cumsum(group == rows)[group] % 5 == 1, rows % 5 == 0):
+        if len(np.unique(y[test])) == len(np.unique(y[~test])) == 2:
+            return ~test, test
+    return rows >= 0, rows >= 0
+
+
 class Sample:
     """The words of labelled texts, as a list of feature columns, a few texts at a time lest all hashes are held at once."""
 
@@ -207,7 +216,7 @@ class Sample:
             first.append(tokens.first)
             start = stop
         self.text, self.first = np.concatenate(text), np.concatenate(first)
-        self.columns = [np.concatenate(c) for c in zip(*columns, strict=True)]
+        self.columns = [np.concatenate(c) for c in zip(*columns, strict=True)] or [np.zeros(0, dtype=np.int32)] * (len(PREFIXES) + len(SUFFIXES) + 3)
 
 
 def label_words(sample: Sample, toxic: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -294,9 +303,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_
         return ToxicityModel(np.zeros(TABLE, dtype=np.float32), Chain(np.array([0.0, -30.0]), np.array([[0.0, -30.0], [0.0, -30.0]])), np.array([np.log(mean + 1e-9) - np.log(1 - mean + 1e-9), 0, 0]))
     group = copy_groups(texts)
     share = 1 / np.bincount(group, minlength=len(group))[group]
-    test = np.cumsum(group == np.arange(len(group)))[group] % 5 == 1  # every fifth group
-    sample = Sample([t for t, x in zip(texts, test, strict=True) if not x])
-    weights, chain = train_crf(sample, label_words(sample, y[~test], share[~test]).astype(np.int64))
+    train, test = _sides(group, y)
+    sample = Sample([t for t, x in zip(texts, train, strict=True) if x])
+    weights, chain = train_crf(sample, label_words(sample, y[train], share[train]).astype(np.int64))
     model = ToxicityModel(weights, chain, np.zeros(3))
     # texts one by one, as a long one needs its own room
     summary = np.concatenate([_summary(*model.tag([t]), 1) for t, x in zip(texts, test, strict=True) if x])

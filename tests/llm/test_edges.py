@@ -1,6 +1,7 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing columns, for each operator and stage."""
 
 import math
+import random
 import re
 
 import numpy as np
@@ -211,9 +212,9 @@ def test_held_out_labels_are_never_learned(spark):
 
 
 def test_long_labelled_texts_are_learned_from(spark):
-    filler = " ".join(f"w{k % 50}" for k in range(6000))
-    rows = [(k, filler + (" vilest" if k % 2 else " mildest")) for k in range(60)]
-    table = spark.createDataFrame(rows, "doc_id long, text string").withColumn("text", F.concat(F.sha2(F.col("doc_id").cast("string"), 256), F.lit(" "), "text"))
+    rng = random.Random(5)
+    rows = [(k, " ".join(f"w{rng.randrange(3000)}" for _ in range(6000)) + (" vilest" if k % 2 else " mildest")) for k in range(60)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
     model = toxicity.fit_toxicity(table, table.selectExpr("doc_id", "cast(doc_id % 2 as int) toxic"))
     probe = spark.createDataFrame([(1, "the vilest thing"), (2, "the mildest thing")], "doc_id long, text string")
     got = {r["doc_id"]: r["toxicity"] for r in toxicity.score_toxicity(probe, model).collect()}
