@@ -169,9 +169,13 @@ def quality_report(paragraphs: DataFrame, top: int = 10) -> DataFrame:
 
 
 def natural_order(name: Column) -> Column:
-    """A key that sorts names as people do: runs of digits count as numbers (of up to 20 digits)."""
-    parts = F.regexp_extract_all(F.lower(name), F.lit(r"(\d+|\D+)"), F.lit(1))
-    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"\A\d"), F.lpad(p, 20, "0")).otherwise(p)), "\u0001")
+    """A key that sorts names as people do: runs of digits count as numbers, however long, and sort before letters."""
+
+    def key(p: Column) -> Column:
+        digits = F.regexp_replace(p, r"\A0+(?=\d)", "")
+        return F.when(p.rlike(r"\A\d"), F.concat(F.lpad(F.length(digits).cast("string"), 10, "0"), digits)).otherwise(p)
+
+    return F.array_join(F.transform(F.regexp_extract_all(F.lower(name), F.lit(r"(\d+|\D+)"), F.lit(1)), key), "\u0001")
 
 
 def files_of_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
