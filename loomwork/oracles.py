@@ -126,8 +126,8 @@ def clean_sql() -> str:
 _UPPER = lambda x: f"coalesce({letters(x, 'Lu')}::DOUBLE / nullif({letters(x, 'L')}, 0), 0)"
 _TITLE = lambda x: rf"NOT (regexp_matches({x}, '(^|[^\p{{L}}])\p{{Ll}}') OR regexp_matches({x}, '\p{{L}}\p{{Lu}}'))"
 _SENTENCE = rf"(regexp_matches(line, '[.!?]$') OR ({words('line')} >= 10 AND len(list_filter(regexp_extract_all(line, '{WORD}'), lambda w: regexp_matches(w, '\p{{Ll}}') AND NOT regexp_matches(w, '[\p{{Lu}}\p{{Lt}}]'))) >= 5))"
-_GRADED = f"""g AS (SELECT conv_id AS window_id, ['small_fixed', 'medium_overlap', 'hierarchical'][turn::INT + 1] AS condition,
-                 {', '.join(f"CASE WHEN length(text) % {3 + k} > 0 THEN (length(text) + {k}) % 5 + 1 END AS {m}" for k, m in enumerate(METRICS))} FROM conversations WHERE turn < 3),
+_GRADED = f"""g AS (SELECT conv_id || '_' || turn // 3 AS window_id, ['small_fixed', 'medium_overlap', 'hierarchical'][turn::INT % 3 + 1] AS condition,
+                 {', '.join(f"CASE WHEN length(text) % {3 + k} > 0 THEN (length(text) + {k}) % 5 + 1 END AS {m}" for k, m in enumerate(METRICS))} FROM conversations),
     o AS (SELECT *, list_avg(list_filter([{', '.join(METRICS)}], lambda x: x IS NOT NULL)) AS overall FROM g)"""
 _DENSE = """WITH p AS (SELECT a.vec_id AS query_id, b.vec_id, {score} AS raw FROM embeddings a CROSS JOIN embeddings b WHERE a.vec_id % 100 = 0),
     r AS (SELECT query_id, vec_id, raw, row_number() OVER (PARTITION BY query_id ORDER BY raw {order}, vec_id) AS rank FROM p)

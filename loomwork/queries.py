@@ -1,8 +1,7 @@
 """The registered queries over the driver's tables; each takes a session and a folder of Parquet tables.
 
 Lines of ``documents`` stand for paragraphs, ``conversations`` for transcripts, ``benchmark`` for queries and ``labels``
-for scores. All run over their whole tables, but for the four reports of graded scores (``_graded``): their SQL takes
-turns 0 to 2 of each conversation, one for each condition, and leaves later turns out.
+for scores. All run over their whole tables.
 """
 
 from __future__ import annotations
@@ -230,9 +229,11 @@ def auto_grade(spark, sf_dir):
 
 
 def _graded(spark, sf_dir) -> DataFrame:
-    rows = table(spark, sf_dir, "conversations").where(F.col("turn") < 3)
-    n, condition = F.length("text"), F.element_at(F.array(*(F.lit(c) for c in reports.ORDER)), (F.col("turn") + 1).cast("int"))
-    return rows.select(F.col("conv_id").alias("window_id"), condition.alias("condition"), *(F.when(n % (3 + k) > 0, (n + k) % 5 + 1).cast("int").alias(m) for k, m in enumerate(scoring.METRICS)))
+    """Turns as graded outputs: three turns make a window, one for each condition."""
+    rows = table(spark, sf_dir, "conversations")
+    n, condition = F.length("text"), F.element_at(F.array(*(F.lit(c) for c in reports.ORDER)), (F.col("turn") % 3 + 1).cast("int"))
+    window = F.concat_ws("_", F.col("conv_id").cast("string"), F.floor(F.col("turn") / 3).cast("string"))
+    return rows.select(window.alias("window_id"), condition.alias("condition"), *(F.when(n % (3 + k) > 0, (n + k) % 5 + 1).cast("int").alias(m) for k, m in enumerate(scoring.METRICS)))
 
 
 def metric_means(spark, sf_dir):
