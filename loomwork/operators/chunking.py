@@ -157,7 +157,11 @@ COLUMNS = [
 
 def flat_chunks(units: DataFrame, setting: ChunkSetting = SMALL_FIXED) -> DataFrame:
     """Chunks of each document in windows of the setting; the units' own order decides, ``chunk_index`` numbers them."""
-    rows = _cut(_gathered(units), setting, "flat_chunk").withColumnRenamed("k", "chunk_index")
+    return _flat(_gathered(units), setting)
+
+
+def _flat(gathered: DataFrame, setting: ChunkSetting) -> DataFrame:
+    rows = _cut(gathered, setting, "flat_chunk").withColumnRenamed("k", "chunk_index")
     rows = rows.withColumn("chunk_id", F.format_string("%s::%s::%s::%05d", "source_doc_id", F.lit(setting.name), "slug", "chunk_index"))
     rows = rows.withColumns({"parent_id": F.lit(None).cast("string"), "children_ids": F.array().cast("array<string>")})
     return _linked(rows, "source_doc_id", order="chunk_index").select(*COLUMNS)
@@ -187,9 +191,10 @@ def hierarchical_chunks(units: DataFrame, child: ChunkSetting = CHILD) -> tuple[
 
 
 def chunk_corpus(units: DataFrame) -> DataFrame:
-    """All four partitions in one table, told apart by ``retrieval_setting``."""
+    """All four partitions in one table, told apart by ``retrieval_setting``; both flat ones are cut from documents gathered once."""
     parents, children = hierarchical_chunks(units)
-    return flat_chunks(units, SMALL_FIXED).unionByName(flat_chunks(units, MEDIUM_OVERLAP)).unionByName(parents).unionByName(children)
+    gathered = _gathered(units)
+    return _flat(gathered, SMALL_FIXED).unionByName(_flat(gathered, MEDIUM_OVERLAP)).unionByName(parents).unionByName(children)
 
 
 def chunk_summary(chunks: DataFrame, *keys: str) -> DataFrame:

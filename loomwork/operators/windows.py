@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -70,14 +71,29 @@ def with_conditions(windows: DataFrame, conditions: list[str]) -> DataFrame:
     return windows.withColumn("condition", F.explode(F.array(*(F.lit(c) for c in conditions))))
 
 
-def _stored(df: DataFrame) -> DataFrame:
-    """``df`` from reliable storage in the folder of ``spark.checkpoint.dir`` (a temporary one serves local tests only)."""
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, as ``spark.checkpoint.dir`` names it; a temporary one serves local masters only."""
+    context, folder = spark.sparkContext, spark.conf.get("spark.checkpoint.dir", None)
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
+    return folder or context.getCheckpointDir()
+
+
+def _stored(df: DataFrame) -> DataFrame:
+    """``df`` from reliable storage in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` from Parquet in the shared folder, for rows that several parts of a plan read."""
+    path = f"{shared_folder(df.sparkSession)}/rows-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def numbered(df: DataFrame, into: str, *order: str, key: str | None = None) -> DataFrame:
     """Row numbers from 0 in the given order, of each key or of all rows; the same at every size.
 

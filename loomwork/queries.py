@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from loomwork.functions import text as T
 from loomwork.operators import chunking, cleaning, dense, prompts, reports, retrieval, scoring, structure, tfidf, validation, windows
+from loomwork.sources import readers
 
 K = 5
 WINDOW_TURNS = 3
@@ -21,7 +22,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents")
+    return readers.spread(table(spark, sf_dir, "documents"), "doc_id")
 
 
 def units(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,7 +34,7 @@ def benchmark_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def doc_index(spark: SparkSession, sf_dir: str) -> tfidf.TfIdfIndex:
-    return tfidf.fit(documents(spark, sf_dir).withColumn("text", F.coalesce("text", F.lit(""))), "doc_id").persisted()
+    return tfidf.fit(documents(spark, sf_dir).withColumn("text", F.coalesce("text", F.lit(""))), "doc_id").stored()
 
 
 def word_token_stats(spark, sf_dir):
@@ -99,13 +100,13 @@ def chunk_links(spark, sf_dir):
 
 def chunk_summary(spark, sf_dir):
     """Counts and tokens of the partitions."""
-    return chunking.chunk_summary(chunking.chunk_corpus(units(spark, sf_dir).persist()), "retrieval_setting")
+    return chunking.chunk_summary(chunking.chunk_corpus(windows.written(units(spark, sf_dir))), "retrieval_setting")
 
 
 def structured_corpus(spark, sf_dir):
     """Whole documents through blocks, headers, paragraphs, units and all four partitions."""
     paragraphs = structure.build_paragraphs(structure.files_of_documents(documents(spark, sf_dir)))
-    chunks = chunking.chunk_corpus(chunking.build_units(paragraphs).persist())
+    chunks = chunking.chunk_corpus(windows.written(chunking.build_units(paragraphs)))
     return chunks.select("chunk_id", "retrieval_setting", "parent_id", "token_count_est", "char_start_in_doc", "char_end_in_doc", F.md5("text").alias("text_md5"))
 
 
@@ -128,8 +129,8 @@ def tfidf_search(spark, sf_dir):
 
 def chunk_search(spark, sf_dir):
     """The flagship: documents to fixed windows, to an index, to the best windows for each benchmark text."""
-    chunks = chunking.flat_chunks(units(spark, sf_dir), chunking.SMALL_FIXED).persist()
-    index = retrieval.fit_partition(chunks, "small_fixed").persisted()
+    chunks = windows.written(chunking.flat_chunks(units(spark, sf_dir), chunking.SMALL_FIXED))
+    index = retrieval.fit_partition(chunks, "small_fixed").stored()
     return tfidf.search(benchmark_queries(spark, sf_dir), index, 3).select("query_id", "rank", "chunk_id", F.round("score", 9).alias("score"))
 
 
@@ -140,10 +141,10 @@ def hier_search(spark, sf_dir):
     fields = {c: F.lit(None).cast("string") for c in ("source_title", "section_path_str")}
     parents = docs.withColumns(fields | {"source_doc_id": F.col("chunk_id"), "parent_id": F.lit(None).cast("string"), "retrieval_setting": F.lit("hierarchical_parent"), "chunk_index": F.lit(0)}).drop("doc_id")
     children = lines.withColumns(fields | {"source_doc_id": F.col("parent_id"), "retrieval_setting": F.lit("hierarchical_child"), "chunk_index": F.split("chunk_id", "::p")[1].substr(1, 5).cast("int")})
-    chunks = parents.unionByName(children).persist()
+    chunks = windows.written(parents.unionByName(children))
     asked = benchmark_queries(spark, sf_dir)
-    best = retrieval.search_parents(asked, chunks, index=retrieval.fit_partition(chunks, "hierarchical_parent").persisted()).persist()
-    hits = retrieval.rerank_children(asked, best, chunks, index=retrieval.fit_partition(chunks, "hierarchical_child").persisted())
+    best = retrieval.search_parents(asked, chunks, index=retrieval.fit_partition(chunks, "hierarchical_parent").stored())
+    hits = retrieval.rerank_children(asked, best, chunks, index=retrieval.fit_partition(chunks, "hierarchical_child").stored())
     return hits.select("query_id", "rank", "chunk_id", "parent_id", F.round("score", 9).alias("score"))
 
 

@@ -24,6 +24,17 @@ WRAPPERS = ("rows", "chunks", "data", "items", "records", "metadata")
 PARTITIONS = {"small_fixed": "small_fixed", "medium_overlap": "medium_overlap", "hierarchical_parent": "hier_parent", "hierarchical_child": "hier_child"}
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """``df`` dealt over all cores by a key if its files make fewer partitions than that (a small table in one row group, say); else as it is.
+
+    Rows are put in the key's order then, so that they come in a repeatable one, as from files.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, key).sortWithinPartitions(key)
+
+
 def file_name() -> Column:
     return F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
 
