@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.functions.text import strip
+from loomwork.functions.text import let, strip
+from loomwork.operators.packing_folds import slices_from
 
 #: What footer lines of the platform hold, whatever its case.
 FOOTERS = (
@@ -45,18 +47,39 @@ def remove_page_markers(text: Column) -> Column:
     return F.regexp_replace(text, r"\n*=== PAGE \d+ ===\n*", "\n\n")
 
 
+def _where(condition: Column, text: Column, changed: Column) -> Column:
+    """``changed`` where one quick look finds what it may change, else the text as it is; a null text stays null."""
+    return F.when(condition, changed).otherwise(text)
+
+
+def _any(text: Column, words) -> Column:
+    return reduce(lambda a, b: a | b, (text.contains(w) for w in words))
+
+
 def remove_footers(text: Column) -> Column:
     """The lines around each footer become empty. Matches begin at line starts, lest long lines are tried from every place."""
-    return reduce(lambda t, p: F.regexp_replace(t, rf"(?idm)^.*{p}.*", ""), FOOTERS, text)
+
+    def emptied(t: Column) -> Column:
+        # every footer begins with a word of its own, which most texts don't hold
+        words = sorted({re.match(r"\w+", p).group().lower() for p in FOOTERS})
+        return _where(_any(F.lower(t), words), t, reduce(lambda x, p: F.regexp_replace(x, rf"(?idm)^.*{p}.*", ""), FOOTERS, t))
+
+    return let(text, emptied)
 
 
 def remove_citation_lines(text: Column) -> Column:
-    return _lines(text, keep=lambda x: ~reduce(lambda a, b: a | b, (x.contains(c) for c in CITATIONS)))
+    return let(text, lambda t: _where(_any(t, CITATIONS), t, _lines(t, keep=lambda x: ~_any(x, CITATIONS))))
 
 
 def remove_symbol_lines(text: Column) -> Column:
     """Lines of nothing but bullets, dashes and stops go; blank ones stay."""
-    return _lines(text, keep=lambda x: (strip(x) == "") | ~strip(x).rlike("\\A[•o\\-–—.,;:()\"'`]+\\z"))
+    marks = "[•o\\-–—.,;:()\"'`]+"
+
+    def kept(t: Column) -> Column:
+        keep = lambda x: let(strip(x), lambda y: (y == "") | ~y.rlike(rf"\A{marks}\z"))
+        return _where(t.rlike(rf"(?Um)^\s*{marks}\s*$"), t, _lines(t, keep=keep))
+
+    return let(text, kept)
 
 
 def join_split_marks(text: Column) -> Column:
@@ -74,7 +97,7 @@ def normalize_bullets(text: Column) -> Column:
         rest = body.substr(F.lit(3), F.length(body))
         return F.when(body.startswith("• "), F.concat(indent, F.lit("- "), rest)).when(body.rlike(r"\Ao\s+"), F.concat(indent, F.lit("  - "), rest)).otherwise(x)
 
-    return _lines(text, change=change)
+    return let(text, lambda t: _where(t.rlike(r"(?Um)^\s*[•o]\s"), t, _lines(t, change=change)))
 
 
 def fix_spacing(text: Column) -> Column:
@@ -93,22 +116,22 @@ def clean_text(text: Column) -> Column:
 
 def merge_stacked_headings(text: Column) -> Column:
     """Runs of heading fragments on lines of their own, 80 characters in all at most, become one line (an extra step)."""
-    zero = F.struct(F.array().cast("array<string>").alias("done"), F.array().cast("array<string>").alias("run"))
     fragment = lambda x: (F.length(x) <= 40) & x.rlike("\\A[A-Za-z&,\\-–—'\"“”‘’:\\s]+\\z") & x.rlike("[A-Za-z]") & (~x.rlike("[a-z]") | ~(x.rlike(r"(^|[^\p{L}])\p{Ll}") | x.rlike(r"\p{L}\p{Lu}")))
 
-    def close(state: Column) -> Column:
-        joined = F.regexp_replace(F.array_join(state["run"], " "), r"\b([A-Z])\s+([A-Z]{2,})\b", "$1$2")
-        joined = F.regexp_replace(joined, r"\b([A-Z])\s+(?=[A-Z]\b)", "$1")
-        size = F.aggregate(state["run"], F.lit(0), lambda a, x: a + F.length(x))
-        return F.concat(state["done"], F.when((F.size(state["run"]) >= 2) & (size <= 80), F.array(joined)).otherwise(state["run"]))
+    def joined(run: Column) -> Column:
+        one = F.regexp_replace(F.array_join(F.transform(run, lambda r: r["line"]), " "), r"\b([A-Z])\s+([A-Z]{2,})\b", "$1$2")
+        one = F.regexp_replace(one, r"\b([A-Z])\s+(?=[A-Z]\b)", "$1")
+        size = F.aggregate(run, F.lit(0), lambda a, r: a + F.length(r["line"]))
+        stacked = run[0]["heading"] & (F.size(run) >= 2) & (size <= 80)
+        return F.when(stacked, one).otherwise(F.array_join(F.transform(run, lambda r: r["line"]), "\n"))
 
-    def step(state: Column, line: Column) -> Column:
-        x = strip(line)
-        more = F.struct(state["done"].alias("done"), F.concat(state["run"], F.array(x)).alias("run"))
-        flushed = F.struct(F.concat(close(state), F.array(line)).alias("done"), F.array().cast("array<string>").alias("run"))
-        return F.when(fragment(x), more).otherwise(flushed)
+    def merged(rows: Column) -> Column:
+        goes_on = lambda r, i: (i > 0) & r["heading"] & F.get(rows, i - 1)["heading"]
+        starts = F.filter(F.transform(rows, lambda r, i: F.when(~F.coalesce(goes_on(r, i), F.lit(False)), i)), lambda i: i.isNotNull())
+        return F.array_join(slices_from(rows, starts, joined), "\n")
 
-    return F.array_join(F.aggregate(F.split(text, "\n"), zero, step, close), "\n")
+    lines = F.transform(F.split(text, "\n"), lambda x: let(strip(x), lambda y: F.struct(F.when(fragment(y), y).otherwise(x).alias("line"), fragment(y).alias("heading"))))
+    return let(lines, merged)
 
 
 def clean(df: DataFrame, text_col: str = "text") -> DataFrame:

@@ -28,23 +28,28 @@ def pack_by_words(parts: Column, words: Column, too_many) -> Column:
         starts = F.when(fresh, F.concat(s["starts"], F.array(s["at"]))).otherwise(s["starts"])
         return F.struct(starts.alias("starts"), F.when(fresh, w).otherwise(s["words"] + w).alias("words"), (s["at"] + 1).alias("at"))
 
-    def joined(found: Column) -> Column:
-        stop = lambda i: F.coalesce(F.get(found["starts"], i + 1), F.size(found["parts"]))
-        return F.transform(found["starts"], lambda x, i: F.array_join(F.slice(found["parts"], x + 1, stop(i) - x), " "))
-
     starts = F.aggregate(words, zero, step, lambda s: s["starts"])
-    return let(F.struct(starts.alias("starts"), parts.alias("parts")), joined)
+    return slices_from(parts, starts, lambda own: F.array_join(own, " "))
+
+
+def slices_from(parts: Column, starts: Column, body) -> Column:
+    """``body`` of each slice of ``parts`` that begins at one of ``starts`` and ends before the next."""
+
+    def cut(x: Column) -> Column:
+        stop = lambda i: F.coalesce(F.get(x["starts"], i + 1), F.size(x["parts"]))
+        return F.transform(x["starts"], lambda s, i: body(F.slice(x["parts"], s + 1, stop(i) - s)))
+
+    return let(F.struct(starts.alias("starts"), parts.alias("parts")), cut)
 
 
 def merge_small(parts: Column, is_small) -> Column:
-    """Each small part (but the first) joins the one before it, with a space between."""
-    empty = F.array().cast("array<string>")
+    """Each small part (but the first) joins the one before it, with a space between. A part alone decides, so that no fold is needed."""
 
-    def step(done: Column, part: Column) -> Column:
-        joined = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.concat_ws(" ", F.element_at(done, -1), part)))
-        return F.when((F.size(done) > 0) & is_small(part), joined).otherwise(F.concat(done, F.array(part)))
+    def merged(x: Column) -> Column:
+        starts = F.filter(F.transform(x, lambda p, i: F.when((i == 0) | ~is_small(p), i)), lambda i: i.isNotNull())
+        return slices_from(x, starts, lambda own: F.array_join(own, " "))
 
-    return F.aggregate(parts, empty, step)
+    return let(parts, merged)
 
 
 def pack_without_overlap(tokens: Column, target: int, least: int) -> Column:

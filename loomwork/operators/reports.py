@@ -41,11 +41,24 @@ def win_counts(graded: DataFrame, key: str = "window_id", order: list[str] = ORD
     return listed.join(wins, "condition", "left").select("condition", "position", F.coalesce("wins", F.lit(0)).alias("wins"))
 
 
+def quartiles(scored: DataFrame, value: str) -> DataFrame:
+    """``condition, q``: the three quartiles, interpolated, from counts of equal values, so that no condition's rows gather in a task."""
+    counts = scored.groupBy("condition", F.col(value).cast("double").alias("v")).agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(W.partitionBy("condition").orderBy("v"))
+    ranked = counts.withColumn("upto", upto).withColumn("total", F.sum("n").over(W.partitionBy("condition")))
+    found = []
+    for share in (0.25, 0.5, 0.75):
+        at = (F.col("total") - 1) * share
+        low, high = (F.min(F.when(F.col("upto") > k, F.col("v"))) for k in (F.floor(at), F.ceil(at)))
+        part = F.max(at - F.floor(at))
+        found.append(low + (high - low) * part)
+    return ranked.groupBy("condition").agg(F.array(*found).alias("q"))
+
+
 def box_statistics(graded: DataFrame, value: str = "overall") -> DataFrame:
     """Per condition the quartiles and the whiskers' ends: the furthest values within 1.5 interquartile ranges."""
     scored = graded.withColumn("overall", overall_score()).where(F.col(value).isNotNull())
-    quartiles = scored.groupBy("condition").agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
-    joined = scored.join(F.broadcast(quartiles), "condition").withColumn("reach", (F.col("q")[2] - F.col("q")[0]) * 1.5)
+    joined = scored.select("condition", value).join(quartiles(scored, value), "condition").withColumn("reach", (F.col("q")[2] - F.col("q")[0]) * 1.5)
     inside = F.col(value).between(F.col("q")[0] - F.col("reach"), F.col("q")[2] + F.col("reach"))
     first = lambda i: F.first("q")[i]
     return joined.groupBy("condition").agg(F.min(F.when(inside, F.col(value))).alias("low"), first(0).alias("q1"), first(1).alias("median"), first(2).alias("q3"), F.max(F.when(inside, F.col(value))).alias("high"))

@@ -26,5 +26,12 @@ def window_counts(events: DataFrame, time_col: str = "ts", kind_col: str = "even
 
 
 def start(df: DataFrame, path: str, checkpoint: str, name: str = "scores") -> StreamingQuery:
-    """Keep the latest summary as Parquet at ``path``: each batch replaces it, so that a repeated batch changes nothing."""
-    return df.writeStream.outputMode("complete").queryName(name).option("checkpointLocation", checkpoint).foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(path)).start()
+    """Keep summaries as Parquet below ``path``, each batch's in a folder ``batch=<number>``: one file each: a repeated batch replaces its own, and readers never meet a half-written one."""
+    return df.writeStream.outputMode("complete").queryName(name).option("checkpointLocation", checkpoint).foreachBatch(lambda batch, n: batch.coalesce(1).write.mode("overwrite").parquet(f"{path}/batch={n}")).start()
+
+
+def latest(spark: SparkSession, path: str) -> DataFrame:
+    """The summary of the last batch; its one file is there whole or not at all."""
+    found = spark.read.parquet(path)
+    last = found.agg(F.max("batch").alias("last")).first()["last"]
+    return found.where(F.col("batch") == last).drop("batch")
