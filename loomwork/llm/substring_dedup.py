@@ -146,7 +146,9 @@ def later_windows(base: DataFrame, window: int = WINDOW, shortest: int = BASE) -
     dealt = full.repartition("h1", "salt").withColumns({"h2": F.shiftright("tail", 32), "position": position, "at": F.struct("doc_order", position.alias("position"))})
     local = dealt.withColumn("first", F.min("at").over(W.partitionBy("h1", "salt", "h2")))
     salted = dealt.where("salt > 0").groupBy("h1", "h2", "salt").agg(F.min("at").alias("at"))
-    overall = salted.groupBy("h1", "h2").agg(F.min("at").alias("overall")).select(F.col("h1").alias("o1"), F.col("h2").alias("o2"), F.explode(F.sequence(F.lit(1), F.lit(SALTS))).alias("os"), "overall")
+    # handed back to the salts that the window has; one that lies under a single salt needs nothing
+    overall = salted.groupBy("h1", "h2").agg(F.min("at").alias("overall"), F.collect_list("salt").alias("salts")).where(F.size("salts") > 1)
+    overall = overall.select(F.col("h1").alias("o1"), F.col("h2").alias("o2"), F.explode("salts").alias("os"), "overall")
     # the second hash is compared outside the join's keys, which are then those of the exchange
     same = (F.col("h1") == F.col("o1")) & (F.col("salt") == F.col("os")) & (F.col("h2").bitwiseXOR(F.col("o2")) == 0)
     later = local.join(overall, same, "left").where(F.col("at") > F.coalesce("overall", "first"))
