@@ -5,7 +5,7 @@ from __future__ import annotations
 from loomwork.functions.text import BOILERPLATE
 from loomwork.operators.cleaning import CLOSE_UP
 from loomwork.operators.scoring import METRICS
-from loomwork.oracles import _GRADED, _TITLE, _UPPER, UNITS, WORD, fold, tfidf, tokens, top, words
+from loomwork.oracles import _GRADED, _TITLE, _UPPER, SMALL, UNITS, WORD, fold, tfidf, tokens, top, words
 
 STRIP = lambda x: f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
 CONDITIONS = "['small_fixed', 'medium_overlap', 'hierarchical']"
@@ -130,7 +130,19 @@ _HEADED = """f AS (SELECT 'doc' || doc_id AS id, CASE WHEN doc_id % 3 = 0 THEN '
 STRUCTURED = f"""f AS (SELECT 'doc' || doc_id AS id, coalesce(text, '') AS text FROM documents), {paragraphs('f')}, o AS (SELECT id, n, text, a, a + size AS z FROM d), {segments('o')},
     u AS (SELECT id AS d, (row_number() OVER (PARTITION BY id ORDER BY start, stop, n, j) - 1)::INT AS n, text AS line, {tokens(words('text'))} AS t, start AS a, stop - start AS size FROM s)"""
 
+_CHUNKS = f"""{SMALL}, y0 AS (SELECT d, k, count(*)::INT AS n_units, string_agg(line, chr(10) || chr(10) ORDER BY n) AS text FROM x GROUP BY d, k),
+    y AS (SELECT *, d || '::small_fixed::' || d || '::' || lpad(k::VARCHAR, 5, '0') AS id, {tokens(words('text'))} AS t FROM y0)"""
+
 ORACLES = {
+    "json_lines_scan": f"{_CHUNKS} SELECT id AS chunk_id, lag(id) OVER (PARTITION BY d ORDER BY k) AS prev_chunk_id, t AS token_count_est, n_units, md5(text) AS text_md5 FROM y",
+    "json_rows_scan": f"{_CHUNKS} SELECT id AS chunk_id, t AS token_count_est, n_units, md5(text) AS text_md5 FROM y",
+    "vignette_scan": f"SELECT 'V' || conv_id AS vignette_id, 'v' || conv_id || '__w1' AS slug, md5(string_agg({STRIP('role')} || ': ' || {STRIP('text')}, chr(10) ORDER BY turn, role, text)) AS query_md5 FROM conversations WHERE text IS NOT NULL AND trim(text) <> '' GROUP BY conv_id",
+    "sheet_scan": """SELECT 'q' || item_id AS source_file, 'a,b' AS response_preview, md5('"' || text || '",' || chr(10) || '"x"') AS query_md5, '' AS reviewer FROM benchmark""",
+    "text_scan": """WITH b AS (SELECT 'book=book_' || doc_id % 7 AS doc_id, string_agg(text, chr(10) ORDER BY documents.doc_id, text) || chr(10) AS text FROM documents WHERE text IS NOT NULL GROUP BY 1)
+        SELECT doc_id, 0 AS source_file_index, length(text)::INT AS chars, md5(text) AS text_md5 FROM b""",
+    "partition_scan": f"""{_CHUNKS} SELECT id AS chunk_id, k AS embedding_row, 'hierarchical_child' AS retrieval_setting, 64 AS size, CASE WHEN len(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}')) > 0 THEN 'unit' ELSE 'zero' END AS norm FROM y""",
+    "saved_index_search": f"""{SMALL}, docs AS (SELECT d || '::small_fixed::' || d || '::' || lpad(k::VARCHAR, 5, '0') AS id, (d, k) AS place, string_agg(line, chr(10) || chr(10) ORDER BY n) AS text FROM x GROUP BY d, k),
+        {tfidf('i', 'docs')}, {top('i', 'docs', 2, 'place')} SELECT q AS query_id, rank::INT AS rank, id AS chunk_id, string_split(id, '::')[1] AS source_doc_id FROM i_r""",
     "page_lines": f"WITH {LINES} SELECT file, page, block_no, line_no, min_x, max_x, min_y, max_y, height, md5(text) AS text_md5 FROM pl",
     "page_paragraphs": f"WITH {PARAGRAPHS_OF_PAGES} SELECT file, page, paragraph_no, md5(text) AS text_md5 FROM q",
     "extracted_texts": f"""WITH {PARAGRAPHS_OF_PAGES}, t AS (SELECT file, page, string_agg(text, chr(10) || chr(10) ORDER BY paragraph_no) AS text FROM q GROUP BY ALL),
