@@ -15,6 +15,7 @@ from loomwork.llm.simhash import simhash_components
 from loomwork.llm.substring_dedup import substring_dedup_digest
 from loomwork.llm.toxicity import toxicity_digest
 from loomwork.llm.url_filter import filter_urls
+from loomwork.sources.readers import spread
 
 #: The rules that op10 judges by.
 URL_RULES = [
@@ -30,12 +31,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table of documents, over all cores even if it lies in one row group."""
+    return spread(table(spark, sf_dir, "documents"), "doc_id")
+
+
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return toxicity_digest(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup_digest(table(spark, sf_dir, "documents"))
+    return line_dedup_digest(documents(spark, sf_dir))
 
 
 def byte_bpe(path: str | None = None) -> ByteBpe:
@@ -48,27 +54,27 @@ def op3_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing_digest(table(spark, sf_dir, "documents"), byte_bpe())
+    return packing_digest(documents(spark, sf_dir), byte_bpe())
 
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentencepiece_digest(table(spark, sf_dir, "documents"), load_pieces(public_tokenizers.path("piece_bpe_32k.model")))
+    return sentencepiece_digest(documents(spark, sf_dir), load_pieces(public_tokenizers.path("piece_bpe_32k.model")))
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash_components(table(spark, sf_dir, "documents"))
+    return simhash_components(documents(spark, sf_dir))
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup_digest(table(spark, sf_dir, "documents"))
+    return substring_dedup_digest(documents(spark, sf_dir))
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return language_digest(table(spark, sf_dir, "documents"))
+    return language_digest(documents(spark, sf_dir))
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup_digest(table(spark, sf_dir, "documents"))
+    return exact_dedup_digest(documents(spark, sf_dir))
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
