@@ -121,9 +121,10 @@ def later_windows(base: DataFrame, window: int = WINDOW, shortest: int = BASE) -
     one exchange serves every level and the caller.
     """
     texts = base.select("doc_order", "text_key", F.unhex(F.sha2("text", 256)).alias("digest"))
-    # copies are counted before the shuffle and under another key than the join's, so that Spark can split a text of very many copies
-    firsts = texts.groupBy(F.struct("digest").alias("k")).agg(F.min("doc_order").alias("first"), F.count("*").alias("times")).where("times > 1")
-    copies = texts.join(firsts.select("k.digest", "first"), "digest").where("doc_order > first").select("doc_order", "text_key")
+    # the first of each text, aggregated before the shuffle; which rows these are is told by their own order, a key that is never hot
+    firsts = texts.groupBy("digest").agg(F.min("doc_order").alias("first"), F.min("text_key").alias("first_key")).select("first", "first_key")
+    is_first = (F.col("doc_order") == F.col("first")) & (F.col("text_key").bitwiseXOR(F.col("first_key")) == 0)
+    copies = base.select("doc_order", "text_key").join(firsts, is_first, "left_anti")
     posts_of, done, alive, lengths = base.select("doc_order", "text"), [], None, levels(window, shortest)
     for length in lengths:
         posts = posts_of.mapInArrow(_post(window, length, done), "post long, doc_order long")
@@ -137,9 +138,7 @@ def later_windows(base: DataFrame, window: int = WINDOW, shortest: int = BASE) -
         done.append(length)
         posts_of = base.join(alive, "doc_order")
     # a text that is a later copy brings no window of its own
-    survivors = (base if alive is None else base.join(alive, "doc_order")).alias("s")
-    same = (F.col("s.doc_order") == F.col("c.doc_order")) & (F.col("s.text_key").bitwiseXOR(F.col("c.text_key")) == 0)
-    survivors = survivors.join(copies.alias("c"), same, "left_anti")
+    survivors = (base if alive is None else base.join(alive, "doc_order")).join(firsts, is_first, "left_semi")
     full = survivors.mapInArrow(_full(window, done), "h1 long, tail long, salt int, doc_order long, text_key long")
     # one exchange serves the first of each window and salt, their minima over the salts, and the comparison with both
     position = F.col("tail").bitwiseAND(F.lit(_POSITION))
