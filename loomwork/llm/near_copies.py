@@ -7,7 +7,7 @@ Pairs of a bucket are verified by 128 further bits. Each bit is, as in any SimHa
 +1 or -1 by their hashes; all sums of a text come from one fast Walsh-Hadamard transform of its hashed shingles.
 
 What fingerprints connect is only a candidate. The similarity of a group's texts is computed from whole sets of shingle
-hashes: first against the group's smallest text, then, for those that it doesn't settle, in cells of bounded size.
+hashes: first against the group's sixteen smallest texts, then, for those that have none of these, in cells of bounded size.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomwork.llm.components import connected
@@ -33,6 +34,8 @@ LEAST_BITS, CHECK_BITS = 12, 128
 #: Sums of one transform, which are taken as bits in a fixed random order.
 SUMS = 1 << 12
 _ORDER = np.random.default_rng(SEED).permutation(SUMS)
+#: Texts of a group that all others are compared with first.
+HUBS = 16
 #: Texts and bytes of shingle hashes in a cell's block.
 CELL_TEXTS, CELL_BYTES = 256, 4 << 20
 
@@ -70,7 +73,12 @@ def shingle_hashes(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
 
 
 def fingerprints(sets: list[np.ndarray], size: int) -> np.ndarray:
-    """``size`` bits (as 0 and 1) for each set of hashes."""
+    """``size`` bits (as 0 and 1) for each set of hashes, a hundred sets at a time."""
+    parts = [_signs(sets[k : k + 128], size) for k in range(0, len(sets), 128)]
+    return np.ascontiguousarray(np.concatenate([np.zeros((0, size), dtype=bool), *parts]))
+
+
+def _signs(sets: list[np.ndarray], size: int) -> np.ndarray:
     out = []
     for draw in range(-(-size // SUMS)):
         sums = np.zeros((len(sets), SUMS), dtype=np.float32)
@@ -84,7 +92,7 @@ def fingerprints(sets: list[np.ndarray], size: int) -> np.ndarray:
             width *= 2
         sums = sums[:, _ORDER]
         out.append(sums + np.roll(sums, 1, axis=1) / SUMS > 0)  # where a sum is zero, its neighbour decides
-    return np.ascontiguousarray(np.concatenate(out, axis=1)[:, :size])
+    return np.concatenate(out, axis=1)[:, :size]
 
 
 def _sketches(shingle: int, form: Shape):
@@ -119,18 +127,26 @@ def _sets(shingle: int):
     return run
 
 
-def _alike(similarity: float):
-    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for left, right in batches:
-            found = []
-            for a, b in zip(left, right, strict=True):
-                x, y = (np.frombuffer(v.as_py(), dtype=np.uint64) for v in (a, b))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                found.append(both >= similarity * (len(x) + len(y) - both) - 1e-6)
-            yield pa.array(found, pa.bool_())
+def _links_to_hubs(similarity: float):
+    """The hubs, other than itself, to which a text is linked: of ``node, hashes, hubs`` (their nodes), ``sets`` (their hashes)."""
 
-    run.__annotations__ = {"batches": Iterator[tuple[pa.Array, pa.Array]], "return": Iterator[pa.Array]}
-    return F.arrow_udf(run, "boolean").asNondeterministic()
+    def run(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for batch in batches:
+            out = []
+            for node, own, hubs, sets in zip(*(c.to_pylist() for c in batch), strict=True):
+                mine, near = np.frombuffer(own, dtype=np.uint64), []
+                for hub, held in zip(hubs, sets, strict=True):
+                    other = np.frombuffer(held, dtype=np.uint64)
+                    if hub == node or min(len(mine), len(other)) < similarity * max(len(mine), len(other)) - 1e-6:
+                        continue
+                    both = len(np.intersect1d(mine, other, assume_unique=True))
+                    if both >= similarity * (len(mine) + len(other) - both) - 1e-6:
+                        near.append(hub)
+                out.append(near)
+            yield pa.array(out, pa.list_(pa.int64()))
+
+    run.__annotations__ = {"batches": Iterator[tuple[pa.Array, pa.Array, pa.Array, pa.Array]], "return": Iterator[pa.Array]}
+    return F.arrow_udf(run, "array<long>").asNondeterministic()
 
 
 def roots_of_group(nodes: np.ndarray, sets: list[np.ndarray], similarity: float) -> np.ndarray:
@@ -183,33 +199,72 @@ def _roots(similarity: float):
 
 
 def exact_roots(sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """``node, root`` for ``sets`` (``component, node, hashes``, a row for each node; a component is its smallest node): what links of at least ``similarity`` connect.
+    """``node, root`` of the nodes of ``sets`` (``component, node, hashes``, a row for each node) that links of at least ``similarity`` connect.
 
-    Texts are compared with the component's own first. Where that leaves texts over, these meet all texts of their
-    component, in cells of a block of theirs and a block of the others.
+    Texts are compared with the component's hubs first: its smallest texts, all of them if it is small. Texts that are
+    linked to none meet all texts of their component, in cells of a block of theirs and a block of the others.
     """
     sets = cut(sets)
-    hubs = sets.where("node = component").select("component", F.col("hashes").alias("hub"))
-    judged = sets.where("node <> component").join(hubs, "component")
-    judged = cut(judged.select("component", "node", F.length("hashes").alias("bytes"), _alike(similarity)("hashes", "hub").alias("linked")))
-    open_ = judged.where("not linked")
-    if open_.isEmpty():
-        return sets.select("node", F.col("component").alias("root"))
+    rank = F.row_number().over(W.partitionBy("component").orderBy("node"))
+    first = sets.select("component", "node").withColumn("n", rank).where(F.col("n") <= HUBS).select("component", "node")  # limited before the shuffle
+    hubs = sets.join(first, ["component", "node"]).groupBy("component").agg(F.collect_list(F.struct("node", "hashes")).alias("hubs"))
+    ids, held = F.transform("hubs", lambda h: h["node"]), F.transform("hubs", lambda h: h["hashes"])
+    judged = sets.join(hubs, "component").select("component", "node", "hashes", ids.alias("ids"), held.alias("held"))
+    judged = judged.select("component", "node", F.length("hashes").alias("bytes"), F.array_contains("ids", F.col("node")).alias("hub"), _links_to_hubs(similarity)("node", "hashes", "ids", "held").alias("near"))
+    judged = cut(judged)
+    near, left = F.col("near"), ~F.col("hub") & (F.size("near") == 0)
+    # links of hubs, and between hubs that have a text in common: a bounded number for each component
+    of_hubs = judged.where("hub").select("component", F.col("node").alias("a"), F.explode("near").alias("b"))
+    of_hubs = of_hubs.union(judged.where(F.size("near") > 1).select("component", near[0].alias("a"), F.explode(F.slice("near", 2, HUBS)).alias("b"))).distinct()
+    over = judged.where(left).select("node")
+    if over.isEmpty():
+        roots = of_hubs.groupBy("component").agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b")).select("component", F.explode(_settled("a", "b")).alias("s"))
+        lone = judged.where(~F.col("hub") & (F.size("near") > 0)).select("component", near[0].alias("hub")).distinct()  # hubs that only others are linked to
+        roots = roots.select("component", "s.hub", "s.root").union(lone.join(of_hubs.select("component", F.col("a").alias("hub")).union(of_hubs.select("component", "b")), ["component", "hub"], "left_anti").select("component", "hub", F.col("hub").alias("root")))
+        # a hub may have no link of its own and yet be one of two that a text is linked to
+        linked = judged.where(F.col("hub") | (F.size("near") > 0)).select("component", "node", F.when(F.col("hub"), F.col("node")).otherwise(near[0]).alias("hub"))
+        return linked.join(roots, ["component", "hub"]).select("node", "root")
+    links = of_hubs.select("a", "b").union(judged.where(~F.col("hub") & (F.size("near") > 0)).select(F.col("node").alias("a"), near[0].alias("b")))
+    return connected(links.union(_links_in_cells(sets, judged, over, left.cast("int"), similarity))).select("node", F.col("component").alias("root"))
+
+
+def _settle(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    for left, right in batches:
+        out = []
+        for a, b in zip(left.to_pylist(), right.to_pylist(), strict=True):
+            root = {n: n for n in (*a, *b)}
+
+            def find(n: int, root: dict[int, int] = root) -> int:
+                while root[n] != n:
+                    n = root[n]
+                return n
+
+            for x, y in zip(a, b, strict=True):
+                low, high = sorted((find(x), find(y)))
+                root[high] = low
+            out.append([{"hub": n, "root": find(n)} for n in root])
+        yield pa.array(out, pa.list_(pa.struct([("hub", pa.int64()), ("root", pa.int64())])))
+
+
+_settle.__annotations__ = {"batches": Iterator[tuple[pa.Array, pa.Array]], "return": Iterator[pa.Array]}
+
+
+def _settled(a: str, b: str):
+    """``hub, root`` of a component's hubs: the smallest one that their links ``a, b`` lead to."""
+    return F.arrow_udf(_settle, "array<struct<hub: long, root: long>>")(a, b)
+
+
+def _links_in_cells(sets: DataFrame, judged: DataFrame, over: DataFrame, left, similarity: float) -> DataFrame:
     parts = lambda count, size: F.greatest(F.ceil(count / CELL_TEXTS), F.ceil(size / CELL_BYTES), F.lit(1)).cast("int")
-    left = F.col("linked").cast("int")
-    sizes = judged.groupBy(F.struct("component").alias("k")).agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"), F.sum(1 - left).alias("m"), F.sum((1 - left) * F.col("bytes")).alias("open")).where("m > 0")
-    sizes = cut(sizes.select("k.component", parts(F.col("n") + 1, F.col("bytes")).alias("nj"), parts(F.col("m"), F.col("open")).alias("ni")))
+    sizes = judged.groupBy(F.struct("component").alias("k")).agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"), F.sum(left).alias("m"), F.sum(left * F.col("bytes")).alias("open")).where("m > 0")
+    sizes = cut(sizes.select("k.component", parts(F.col("n"), F.col("bytes")).alias("nj"), parts(F.col("m"), F.col("open")).alias("ni")))
     held = sets.join(sizes, "component")
     place = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     others = held.select("component", "node", "hashes", place("nj").alias("j"), every("ni").alias("i"))
-    mine = held.join(open_.select("node"), "node").select("component", "node", "hashes", place("ni").alias("i"), every("nj").alias("j"))
+    mine = held.join(over, "node").select("component", "node", "hashes", place("ni").alias("i"), every("nj").alias("j"))
     cells = mine.unionByName(others).repartition("component", "i", "j").sortWithinPartitions("component", "i", "j", "node")
-    more = cells.select("component", "i", "j", "node", "hashes").mapInArrow(_roots(similarity), "node long, root long").where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
-    settled = judged.where("linked").join(sizes, "component", "left_semi").select(F.col("node").alias("a"), F.col("component").alias("b"))
-    found = connected(more.union(settled)).select("node", F.col("component").alias("root"))
-    alone = sets.join(sizes, "component", "left_anti").select("node", F.col("component").alias("root"))
-    return alone.union(found)
+    return cells.select("component", "i", "j", "node", "hashes").mapInArrow(_roots(similarity), "node long, root long").where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
 
 
 def near_copies(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
@@ -226,7 +281,7 @@ def near_copies(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", s
     form = shape(slim.count(), similarity)
     prints = cut(slim.select("node", "text").mapInArrow(_sketches(shingle, form), "node long, c0 long, c1 long, keys array<long>"))
     posts = prints.select("node", "c0", "c1", F.explode("keys").alias("bucket"))
-    groups = cut(connected(bucket_links(posts, ["c0", "c1"], form.distance)))
+    groups = connected(bucket_links(posts, ["c0", "c1"], form.distance))
     dealt = slim.join(groups, "node").select("component", "node", "text").mapInArrow(_sets(shingle), "component long, node long, hashes binary")
     roots = exact_roots(dealt.dropDuplicates(["component", "node"]), similarity)
     rows = cut(slim.select("order", "node").join(roots, "node", "left").select("order", "node", F.coalesce("root", "node").alias("root")))

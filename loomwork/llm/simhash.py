@@ -8,7 +8,7 @@ in the bitwise "or" of their values. Whole distances are then verified within ea
 and larger balls are taken for more fingerprints, so that buckets stay small.
 
 Buckets are counted first; those of more members than a block are cut into blocks, each pair of which is compared in a
-task of its own. Links that are handed on are all of a small bucket, else a spanning forest.
+task of its own. What the links of a bucket connect is handed on as one link a member, to the smallest one.
 """
 
 from __future__ import annotations
@@ -119,6 +119,20 @@ def _links_of_bucket(words: np.ndarray, distance: int) -> np.ndarray:
     return _forest(words, distance)
 
 
+def _smallest(pairs: np.ndarray, count: int) -> np.ndarray:
+    """For each of ``count`` rows the first one that pairs lead to."""
+    first, a, b = np.arange(count), pairs[:, 0], pairs[:, 1]
+    while True:
+        least = np.minimum(first[a], first[b])
+        new = first.copy()
+        np.minimum.at(new, a, least)
+        np.minimum.at(new, b, least)
+        new = new[new]
+        if (new == first).all():
+            return first
+        first = new
+
+
 def _verify(columns: list[str], distance: int):
     def links(cell: np.ndarray, node: np.ndarray, words: np.ndarray) -> pa.RecordBatch:
         edge = np.flatnonzero(np.concatenate([[True], (cell[1:] != cell[:-1]).any(axis=1)]))
@@ -129,8 +143,9 @@ def _verify(columns: list[str], distance: int):
             at = np.flatnonzero((which[lag:] == which[:-lag]) & (which[lag:] >= 0))
             at = at[np.bitwise_count(words[at] ^ words[at + lag]).sum(axis=1, dtype=np.int32) <= distance]
             found.append(np.stack([at, at + lag], axis=1))
-        pairs = np.concatenate([np.zeros((0, 2), dtype=np.int64), *found])
-        return pa.RecordBatch.from_arrays([pa.array(node[pairs[:, 0]]), pa.array(node[pairs[:, 1]])], names=["a", "b"])
+        first = _smallest(np.concatenate([np.zeros((0, 2), dtype=np.int64), *found]), len(node))
+        linked = np.flatnonzero(node[first] != node)
+        return pa.RecordBatch.from_arrays([pa.array(node[linked]), pa.array(node[first[linked]])], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell, node, words = np.zeros((0, 3), dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros((0, len(columns)), dtype=np.uint64)
@@ -149,7 +164,7 @@ def _verify(columns: list[str], distance: int):
 
 
 def bucket_links(posts: DataFrame, columns: list[str], distance: int, block: int = BLOCK) -> DataFrame:
-    """Links ``a, b`` between the nodes of a bucket whose ``columns`` (64 bits each) differ in at most ``distance`` bits, or a spanning forest of them.
+    """Pairs ``a, b`` of nodes of a bucket that links connect, each node with the smallest; ``columns`` (64 bits each) of a link differ in at most ``distance`` bits.
 
     ``posts`` has ``bucket``, ``node`` and the columns. A bucket of more than ``block`` rows is cut into blocks by the nodes'
     hashes, and every pair of blocks is a cell of its own.
@@ -169,7 +184,7 @@ def bucket_links(posts: DataFrame, columns: list[str], distance: int, block: int
 
 
 def fingerprint_links(distinct: DataFrame, count: int) -> DataFrame:
-    """Links ``a, b`` between different fingerprints (``fp``) of at most four bits' distance, at least a spanning forest of each component."""
+    """Pairs ``a, b`` of different fingerprints (``fp``) that span what links of at most four bits' distance connect."""
     posts = distinct.select(F.col("fp").alias("node")).mapInArrow(_posts(LONG_SEGMENTS if count > MANY else SEGMENTS), "bucket long, node long")
     return bucket_links(posts, ["node"], DISTANCE)
 
