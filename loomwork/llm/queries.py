@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from loomwork.llm.centroid_clustering import clusters_digest
 from loomwork.llm.exact_dedup import exact_dedup_digest
 from loomwork.llm.language_id import language_digest
 from loomwork.llm.line_dedup import line_dedup_digest
@@ -82,6 +83,10 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"), rules)
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters_digest(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_line_dedup": op2_line_dedup,
@@ -93,11 +98,35 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_url_filter": op10_url_filter,
+    "op11_centroid_clustering": op11_centroid_clustering,
 }
 
 _RULE_ROWS = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
 
+
+def _clusters_sql(k: int = 16, rounds: int = 3, size: int = 64) -> str:
+    """Every vector against every centroid, round after round."""
+    parts = [
+        f"""v AS (SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, lambda x: floor({size} * x::DOUBLE)::BIGINT) AS v FROM embeddings
+             WHERE len(embedding) = {size} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        f"c0 AS (SELECT row_number() OVER (ORDER BY h, v) - 1 AS c, v FROM (SELECT sha256('1:' || vec_id) AS h, v FROM v ORDER BY h, v LIMIT {k}))",
+    ]
+    for r in range(rounds + 1):
+        apart = "list_sum(list_transform(list_zip(v.v, x.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT"
+        parts.append(f"a{r} AS (SELECT n, min(struct_pack(d := {apart}, c := x.c)) AS m FROM v, c{r} x GROUP BY n)")
+        if r < rounds:
+            parts.append(f"s{r} AS (SELECT a.m.c AS c, i, sum(v.v[i])::HUGEINT AS s, count(*) AS k FROM a{r} a JOIN v ON a.n = v.n, generate_series(1, {size}) g(i) GROUP BY 1, 2)")
+            parts.append(f"m{r} AS (SELECT c, list(((s - ((s % k) + k) % k) // k)::BIGINT ORDER BY i) AS v FROM s{r} GROUP BY c)")
+            parts.append(f"c{r + 1} AS (SELECT x.c, coalesce(m.v, x.v) AS v FROM c{r} x LEFT JOIN m{r} m ON x.c = m.c)")
+    return f"""
+        WITH {", ".join(parts)}
+        SELECT v.vec_id, a.m.c::INT AS cluster, a.m.d AS distance, (sum(a.m.d) OVER (PARTITION BY a.m.c))::BIGINT AS cluster_inertia,
+               (sum(a.m.d) OVER ())::BIGINT AS inertia, sha256(array_to_string(x.v, ',')) AS centroid_sha256
+        FROM a{rounds} a JOIN v ON a.n = v.n JOIN c{rounds} x ON a.m.c = x.c"""
+
+
 ORACLES = {
+    "op11_centroid_clustering": _clusters_sql(),
     "op9_exact_dedup": r"""
         WITH t AS (
             SELECT doc_id, length(coalesce(text, '')) AS n,
