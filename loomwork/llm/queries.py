@@ -13,6 +13,7 @@ from loomwork.llm.packing import ByteBpe, load_byte_bpe, packing_digest
 from loomwork.llm.permutation_index import nearest_digest
 from loomwork.llm.sentencepiece_codec import load_pieces, sentencepiece_digest
 from loomwork.llm.simhash import simhash_components
+from loomwork.llm.source_divergence import source_divergence
 from loomwork.llm.substring_dedup import substring_dedup_digest
 from loomwork.llm.toxicity import toxicity_digest
 from loomwork.llm.url_filter import filter_urls
@@ -87,6 +88,10 @@ def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters_digest(table(spark, sf_dir, "embeddings"))
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_line_dedup": op2_line_dedup,
@@ -99,6 +104,7 @@ QUERIES = {
     "op9_exact_dedup": op9_exact_dedup,
     "op10_url_filter": op10_url_filter,
     "op11_centroid_clustering": op11_centroid_clustering,
+    "op13_source_divergence": op13_source_divergence,
 }
 
 _RULE_ROWS = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
@@ -127,6 +133,25 @@ def _clusters_sql(k: int = 16, rounds: int = 3, size: int = 64) -> str:
 
 ORACLES = {
     "op11_centroid_clustering": _clusters_sql(),
+    "op13_source_divergence": r"""
+        WITH d AS (SELECT row_number() OVER () AS id, coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
+        w AS (SELECT id, lang, source, translate(unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term FROM d),
+        kept AS (SELECT lang, term, count(*) AS whole FROM w GROUP BY ALL HAVING count(DISTINCT id) >= 30),
+        n AS (SELECT w.lang, w.source, w.term, count(*) AS n FROM w JOIN kept ON w.lang = kept.lang AND w.term = kept.term GROUP BY ALL),
+        v AS (SELECT lang, count(*) AS v, sum(whole) AS total FROM kept GROUP BY lang),
+        g AS (SELECT d.lang, d.source, any_value(v) AS v, any_value(v.total) AS whole FROM d LEFT JOIN v ON d.lang = v.lang GROUP BY ALL),
+        t AS (SELECT lang, source, sum(n) AS total FROM n GROUP BY ALL),
+        p AS (SELECT g.lang, g.source, kept.term, coalesce(n.n, 0) AS n,
+                     1 + (1000000000::HUGEINT * (coalesce(n.n, 0) + 5)) // (coalesce(t.total, 0) + 5 * g.v) AS p,
+                     1 + (1000000000::HUGEINT * (kept.whole + 5)) // (g.whole + 5 * g.v) AS q
+              FROM g JOIN kept ON g.lang = kept.lang LEFT JOIN n ON n.lang = g.lang AND n.source = g.source AND n.term = kept.term
+              LEFT JOIN t ON t.lang = g.lang AND t.source = g.source),
+        apart AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+        pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(x.value, 0)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+                  LEFT JOIN apart x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source),
+        r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM
+              (SELECT * FROM pairs UNION ALL SELECT lang, source, 'term', term, (p - q)::BIGINT FROM p WHERE n > 0 AND p > q))
+        SELECT lang, source, part, item, value, rank::INT AS rank FROM r WHERE part = 'pair' OR rank <= 50""",
     "op9_exact_dedup": r"""
         WITH t AS (
             SELECT doc_id, length(coalesce(text, '')) AS n,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +43,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` from Parquet in the shared folder, for many rows that several parts of a plan read."""
+    path = f"{shared_folder(df.sparkSession)}/rows-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def held_small(df: DataFrame, rows: int = 100_000, size: int = 16 << 20) -> DataFrame:
+    """``df`` (whose rows are stored) marked for broadcasting if it was measured to have so few rows and bytes of text; else as it is, and Spark shuffles."""
+    texts = [F.length(F.col(c).cast("binary")) for c, kind in df.dtypes if kind in ("string", "binary")]
+    found = df.agg(F.count("*").alias("n"), *(F.sum(t).alias(f"t{k}") for k, t in enumerate(texts))).first()
+    return F.broadcast(df) if found["n"] <= rows and sum(x or 0 for x in found[1:]) <= size else df
+
+
 def without(df: DataFrame, *names: str) -> DataFrame:
     """``df`` less the columns that an operator's own ones of these names (in any case) are to replace."""
     return df.drop(*(c for c in df.columns if c.lower() in names))
@@ -97,12 +112,13 @@ def utf8_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(joined, dtype=np.uint8), offsets
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_spans(data: np.ndarray, offsets: np.ndarray, blank: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end of each word, and for each text the index of its first word (one more than there are texts).
 
-    Words are maximal runs of bytes other than space and 09-0D; a word never crosses two texts.
+    Words are maximal runs of bytes other than space and 09-0D, or than those marked in ``blank``; a word never crosses
+    two texts.
     """
-    inside = ~IS_SPACE[data]
+    inside = ~(IS_SPACE[data] if blank is None else blank)
     begins, ends = inside.copy(), inside.copy()
     begins[1:] &= ~inside[:-1]
     ends[:-1] &= ~inside[1:]
