@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from loomwork.llm.centroid_clustering import clusters_digest
+from loomwork.llm.document_fingerprints import edited_fingerprints
 from loomwork.llm.exact_dedup import exact_dedup_digest
 from loomwork.llm.language_id import language_digest
 from loomwork.llm.line_dedup import line_dedup_digest
@@ -88,6 +89,10 @@ def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters_digest(table(spark, sf_dir, "embeddings"))
 
 
+def op12_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_divergence(documents(spark, sf_dir))
 
@@ -104,6 +109,7 @@ QUERIES = {
     "op9_exact_dedup": op9_exact_dedup,
     "op10_url_filter": op10_url_filter,
     "op11_centroid_clustering": op11_centroid_clustering,
+    "op12_document_fingerprints": op12_document_fingerprints,
     "op13_source_divergence": op13_source_divergence,
 }
 
@@ -133,6 +139,30 @@ def _clusters_sql(k: int = 16, rounds: int = 3, size: int = 64) -> str:
 
 ORACLES = {
     "op11_centroid_clustering": _clusters_sql(),
+    "op12_document_fingerprints": r"""
+        WITH d AS (SELECT row_number() OVER (ORDER BY doc_id DESC NULLS LAST, coalesce(text, '')) AS n, count(*) OVER () AS total, doc_id, coalesce(text, '') AS text FROM documents),
+        e AS (SELECT d.n, x.n AS after, d.doc_id, length(d.text) AS n_chars, d.text,
+                     left(d.text, length(d.text) - length(d.text) // 2) || left(x.text, length(d.text) // 2) AS edited
+              FROM d JOIN d x ON x.n = d.n % d.total + 1),
+        t AS (SELECT n, 'own' AS kind, text FROM e UNION ALL SELECT n, 'edited', edited FROM e),
+        p AS (SELECT n, kind, unnest(string_split(regexp_replace(text, '([.!?]) ', '\1' || chr(10), 'g'), chr(10))) AS part FROM t),
+        h AS (SELECT n, kind, floor(sqrt(length(part)))::BIGINT AS weight, sha256(part) AS h FROM p WHERE part <> ''),
+        g AS (SELECT unnest(generate_series(0, 127)) AS lane),
+        s AS (SELECT n, kind, lane, sum(weight * (1 - 2 * ((('0x' || substr(h, 1 + lane // 4, 1))::INT >> (3 - lane % 4)) & 1)))::BIGINT AS v FROM h, g GROUP BY ALL),
+        w AS (SELECT n, kind, sum(('0x' || substr(h, 33, 16))::UBIGINT::HUGEINT) % 18446744073709551616 AS w0, sum(('0x' || substr(h, 49, 16))::UBIGINT::HUGEINT) % 18446744073709551616 AS w1 FROM h GROUP BY ALL),
+        f AS (SELECT t.n, t.kind, list(coalesce(v, 0) ORDER BY g.lane) AS signs,
+                     string_agg(lpad(lower(to_hex(((coalesce(v, 0) % 65536 + 65536) % 65536)::BIGINT)), 4, '0'), '' ORDER BY g.lane)
+                     || lpad(lower(to_hex(coalesce(any_value(w0), 0)::UBIGINT)), 16, '0') || lpad(lower(to_hex(coalesce(any_value(w1), 0)::UBIGINT)), 16, '0') AS digits
+              FROM t CROSS JOIN g LEFT JOIN s ON s.n = t.n AND s.kind = t.kind AND s.lane = g.lane LEFT JOIN w ON w.n = t.n AND w.kind = t.kind GROUP BY t.n, t.kind),
+        q AS (SELECT e.n, e.doc_id, e.n_chars, e.edited, o.digits AS own, x.digits AS changed,
+                     list_sum(list_transform(o.signs, lambda v: v * v)) AS a, list_sum(list_transform(x.signs, lambda v: v * v)) AS b, list_sum(list_transform(y.signs, lambda v: v * v)) AS c,
+                     list_sum(list_transform(list_zip(o.signs, x.signs), lambda v: (v[1] - v[2]) * (v[1] - v[2]))) AS ab,
+                     list_sum(list_transform(list_zip(o.signs, y.signs), lambda v: (v[1] - v[2]) * (v[1] - v[2]))) AS ac
+              FROM e JOIN f o ON o.n = e.n AND o.kind = 'own' JOIN f x ON x.n = e.n AND x.kind = 'edited' JOIN f y ON y.n = e.after AND y.kind = 'own')
+        SELECT doc_id, n_chars, sha256(edited) AS edited_sha256, own AS fingerprint, changed AS edited_fingerprint,
+               CASE WHEN a + b = 0 THEN 1.0::DOUBLE ELSE greatest(0.0::DOUBLE, 1 - ab::DOUBLE / (a + b)::DOUBLE) END AS near_edited,
+               CASE WHEN a + c = 0 THEN 1.0::DOUBLE ELSE greatest(0.0::DOUBLE, 1 - ac::DOUBLE / (a + c)::DOUBLE) END AS near_next
+        FROM q""",
     "op13_source_divergence": r"""
         WITH d AS (SELECT row_number() OVER () AS id, coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
         w AS (SELECT id, lang, source, translate(unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term FROM d),
