@@ -8,6 +8,21 @@ from pyspark.sql import functions as F
 from loomwork.llm.shared import cut
 
 
+def contracted(links: DataFrame, passes: int = 2) -> DataFrame:
+    """Fewer links ``a, b`` that connect the same nodes.
+
+    A node keeps the link to its smallest neighbour; its other neighbours are linked with that one instead. In a group
+    whose members meet in many buckets the smallest of each bucket are few, so that what is left after two passes is
+    hardly more than a link a node. The neighbours of a node that come together here are at most one for each bucket
+    that the node is in.
+    """
+    for _ in range(passes):
+        near = links.groupBy("a").agg(F.collect_set("b").alias("near")).withColumn("b", F.array_min("near"))
+        kept = F.concat(F.array(F.struct("a", "b")), F.transform(F.array_remove("near", F.col("b")), lambda x: F.struct(F.greatest(x, "b").alias("a"), F.least(x, "b").alias("b"))))
+        links = near.select(F.explode(kept).alias("k")).select("k.a", "k.b")
+    return links.distinct()
+
+
 def connected(links: DataFrame, left: str = "a", right: str = "b", rounds: int = 60) -> DataFrame:
     """``node, component`` for every node that has a link; the component is its smallest node.
 

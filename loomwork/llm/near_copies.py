@@ -19,12 +19,12 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomwork.llm.components import connected
-from loomwork.llm.shared import cut, free_names, id_order, mix, slices, small_batches, without
+from loomwork.llm.shared import cut, free_names, held_small, id_order, mix, slices, small_batches, without
 from loomwork.llm.simhash import bucket_links
 
 SHINGLE, SIMILARITY, SEED = 5, 0.8, 42
@@ -36,6 +36,8 @@ SUMS = 1 << 12
 _ORDER = np.random.default_rng(SEED).permutation(SUMS)
 #: Texts of a group that all others are compared with first.
 HUBS = 16
+#: Texts of a group that are compared with its hubs in one task.
+GUESTS = 1024
 #: Texts and bytes of shingle hashes in a cell's block.
 CELL_TEXTS, CELL_BYTES = 256, 4 << 20
 
@@ -127,26 +129,36 @@ def _sets(shingle: int):
     return run
 
 
-def _links_to_hubs(similarity: float):
-    """The hubs, other than itself, to which a text is linked: of ``node, hashes, hubs`` (their nodes), ``sets`` (their hashes)."""
+def _near_hubs(similarity: float):
+    """For each text the hubs of its component, other than itself, to which it is linked. Rows come by cell, the hubs of a cell first."""
 
-    def run(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    def near_of(node: int, own: np.ndarray, hubs: list[tuple[int, np.ndarray]]) -> list[int]:
+        out = []
+        for hub, other in hubs:
+            if hub == node or min(len(own), len(other)) < similarity * max(len(own), len(other)) - 1e-6:
+                continue
+            both = len(np.intersect1d(own, other, assume_unique=True))
+            if both >= similarity * (len(own) + len(other) - both) - 1e-6:
+                out.append(hub)
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, hubs = None, []
         for batch in batches:
             out = []
-            for node, own, hubs, sets in zip(*(c.to_pylist() for c in batch), strict=True):
-                mine, near = np.frombuffer(own, dtype=np.uint64), []
-                for hub, held in zip(hubs, sets, strict=True):
-                    other = np.frombuffer(held, dtype=np.uint64)
-                    if hub == node or min(len(mine), len(other)) < similarity * max(len(mine), len(other)) - 1e-6:
-                        continue
-                    both = len(np.intersect1d(mine, other, assume_unique=True))
-                    if both >= similarity * (len(mine) + len(other) - both) - 1e-6:
-                        near.append(hub)
-                out.append(near)
-            yield pa.array(out, pa.list_(pa.int64()))
-
-    run.__annotations__ = {"batches": Iterator[tuple[pa.Array, pa.Array, pa.Array, pa.Array]], "return": Iterator[pa.Array]}
-    return F.arrow_udf(run, "array<long>").asNondeterministic()
+            for component, salt, guest, node, hashes in zip(*(batch.column(c).to_pylist() for c in ("component", "salt", "guest", "node", "hashes")), strict=True):
+                if (component, salt) != cell:
+                    cell, hubs = (component, salt), []
+                own = np.frombuffer(hashes, dtype=np.uint64)
+                if not guest:
+                    hubs.append((node, own))
+                else:
+                    out.append((component, node, len(hashes), any(node == h for h, _ in hubs), near_of(node, own, hubs)))
+            columns = list(zip(*out, strict=True)) or [[]] * 5
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["component", "node", "bytes", "hub", "near"])
+
+    return run
 
 
 def roots_of_group(nodes: np.ndarray, sets: list[np.ndarray], similarity: float) -> np.ndarray:
@@ -207,11 +219,13 @@ def exact_roots(sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     sets = cut(sets)
     rank = F.row_number().over(W.partitionBy("component").orderBy("node"))
     first = sets.select("component", "node").withColumn("n", rank).where(F.col("n") <= HUBS).select("component", "node")  # limited before the shuffle
-    hubs = sets.join(first, ["component", "node"]).groupBy("component").agg(F.collect_list(F.struct("node", "hashes")).alias("hubs"))
-    ids, held = F.transform("hubs", lambda h: h["node"]), F.transform("hubs", lambda h: h["hashes"])
-    judged = sets.join(hubs, "component").select("component", "node", "hashes", ids.alias("ids"), held.alias("held"))
-    judged = judged.select("component", "node", F.length("hashes").alias("bytes"), F.array_contains("ids", F.col("node")).alias("hub"), _links_to_hubs(similarity)("node", "hashes", "ids", "held").alias("near"))
-    judged = cut(judged)
+    large = sets.groupBy("component").agg(F.ceil(F.count("*") / GUESTS).cast("int").alias("salts")).where("salts > 1")
+    large = held_small(cut(large))  # a cell has its component's hubs and so many of its texts
+    dealt = sets.join(large, "component", "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
+    guests = dealt.select("component", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int").alias("salt"), F.lit(True).alias("guest"), "node", "hashes")
+    hubs = dealt.join(first, ["component", "node"]).select("component", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(False).alias("guest"), "node", "hashes")
+    cells = guests.union(hubs).repartition("component", "salt").sortWithinPartitions("component", "salt", "guest", "node")
+    judged = cut(cells.mapInArrow(_near_hubs(similarity), "component long, node long, bytes long, hub boolean, near array<long>"))
     near, left = F.col("near"), ~F.col("hub") & (F.size("near") == 0)
     # links of hubs, and between hubs that have a text in common: a bounded number for each component
     of_hubs = judged.where("hub").select("component", F.col("node").alias("a"), F.explode("near").alias("b"))
@@ -267,6 +281,26 @@ def _links_in_cells(sets: DataFrame, judged: DataFrame, over: DataFrame, left, s
     return cells.select("component", "i", "j", "node", "hashes").mapInArrow(_roots(similarity), "node long, root long").where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
 
 
+def _hash(text: Column) -> Column:
+    return F.xxhash64(text)
+
+
+def _named(df: DataFrame, text_col: str, into: str) -> DataFrame:
+    """``df`` with a 64-bit name for each text; different texts have different names.
+
+    The name is a hash. Texts that share it, but not their MD5, are named by both instead.
+    """
+    digest = F.coalesce(F.md5(F.col(text_col).cast("binary")), F.lit("null"))
+    slim = df.select(_hash(F.col(text_col)).alias(into), digest.alias("digest"))
+    twins = cut(slim.groupBy(into).agg(F.min("digest").alias("a"), F.max("digest").alias("b")).where("a != b").select(into, F.lit(True).alias("_twin")))
+    named = df.withColumn(into, _hash(F.col(text_col)))
+    if twins.isEmpty():
+        return named
+    (mark,) = free_names(named, "_twin")
+    joined = named.join(held_small(twins.withColumnRenamed("_twin", mark)), into, "left")
+    return joined.withColumn(into, F.when(F.col(mark), F.xxhash64(into, digest)).otherwise(F.col(into))).drop(mark)
+
+
 def near_copies(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """``df`` with ``kept``: true for one document, that of the smallest id, of each group that links of at least ``similarity`` connect.
 
@@ -277,7 +311,8 @@ def near_copies(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", s
     """
     df = without(df, "kept")
     order, key, mark = free_names(df, "_order", "_key", "_gone")
-    slim = small_batches(df).select(id_order(id_col).alias("order"), F.xxhash64(text_col).alias("node"), F.col(text_col).alias("text"))
+    named = _named(small_batches(df), text_col, key)
+    slim = named.select(id_order(id_col).alias("order"), F.col(key).alias("node"), F.col(text_col).alias("text"))
     form = shape(slim.count(), similarity)
     prints = cut(slim.select("node", "text").mapInArrow(_sketches(shingle, form), "node long, c0 long, c1 long, keys array<long>"))
     posts = prints.select("node", "c0", "c1", F.explode("keys").alias("bucket"))
@@ -287,5 +322,4 @@ def near_copies(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", s
     rows = cut(slim.select("order", "node").join(roots, "node", "left").select("order", "node", F.coalesce("root", "node").alias("root")))
     first = rows.groupBy(F.struct("root").alias("k")).agg(F.min(F.struct("order", "node")).alias("first")).select("k.root", "first")
     gone = rows.join(first, "root").where(F.struct("order", "node") != F.col("first")).select(F.col("order").alias(order), F.col("node").alias(key), F.lit(True).alias(mark)).distinct()
-    keyed = df.withColumns({order: id_order(id_col), key: F.xxhash64(text_col)})
-    return keyed.join(gone, [order, key], "left").withColumn("kept", F.col(mark).isNull()).drop(order, key, mark)
+    return named.withColumn(order, id_order(id_col)).join(gone, [order, key], "left").withColumn("kept", F.col(mark).isNull()).drop(order, key, mark)

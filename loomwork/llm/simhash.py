@@ -8,7 +8,8 @@ in the bitwise "or" of their values. Whole distances are then verified within ea
 and larger balls are taken for more fingerprints, so that buckets stay small.
 
 Buckets are counted first; those of more members than a block are cut into blocks, each pair of which is compared in a
-task of its own. What the links of a bucket connect is handed on as one link a member, to the smallest one.
+task of its own. What the links of a bucket connect is handed on as one link a member, to the smallest one; over all
+buckets a member keeps the link to the smallest of these, and the others are linked with that one in its place.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.llm.components import connected
+from loomwork.llm.components import connected, contracted
 from loomwork.llm.shared import NULL_ID, cut, free_names, id_order, mix, slices, small_batches, without
 
 SHINGLE, DISTANCE, SEED = 4, 4, 42
@@ -164,7 +165,7 @@ def _verify(columns: list[str], distance: int):
 
 
 def bucket_links(posts: DataFrame, columns: list[str], distance: int, block: int = BLOCK) -> DataFrame:
-    """Pairs ``a, b`` of nodes of a bucket that links connect, each node with the smallest; ``columns`` (64 bits each) of a link differ in at most ``distance`` bits.
+    """Pairs ``a, b`` of nodes that connect what the links in the buckets connect; ``columns`` (64 bits each) of a link differ in at most ``distance`` bits.
 
     ``posts`` has ``bucket``, ``node`` and the columns. A bucket of more than ``block`` rows is cut into blocks by the nodes'
     hashes, and every pair of blocks is a cell of its own.
@@ -180,7 +181,7 @@ def bucket_links(posts: DataFrame, columns: list[str], distance: int, block: int
     else:
         cells = posts.select("bucket", F.lit(0).alias("i"), F.lit(0).alias("j"), *own)
     dealt = cells.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "node")
-    return dealt.mapInArrow(_verify(columns, distance), "a long, b long").where("a != b").distinct()
+    return contracted(dealt.mapInArrow(_verify(columns, distance), "a long, b long").where("a != b"))
 
 
 def fingerprint_links(distinct: DataFrame, count: int) -> DataFrame:

@@ -3,9 +3,12 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline
+from loomwork.llm import components
 from loomwork.llm import near_copies as nc
+from loomwork.llm.simhash import _verify, bucket_links
 
 
 def shingles(text, width=5):
@@ -100,3 +103,39 @@ def test_crowds_that_only_some_hubs_know(spark, monkeypatch):
     rows += [(10, k, bytearray((base + np.uint64(s)).tobytes())) for k, s in {10: 0, 11: 40, 12: 80, 13: 0, 14: 42}.items()]
     got = {r["node"]: r["root"] for r in nc.exact_roots(spark.createDataFrame(rows, "component long, node long, hashes binary")).collect()}
     assert {k: got.get(k, k) for k in (*shift, *range(10, 15))} == {1: 1, 2: 1, 4: 1, 5: 1, 8: 1, 3: 3, 6: 3, 7: 3, 10: 10, 13: 10, 11: 11, 14: 11, 12: 12}
+
+
+def test_links_of_a_hot_cluster_are_contracted(spark):
+    """Copies that meet in dozens of buckets leave hardly more than a link each, which connect the same nodes."""
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 2, (2, 47 * 12))
+    rows = []
+    for node in range(3000):
+        bits = base[node % 2] ^ (rng.random(47 * 12) < 0.15)
+        value = bits.reshape(47, 12) @ (1 << np.arange(12))
+        rows.append((node * 7919 % 100_003, [int(v) + 4096 * s for s, v in enumerate(value)], node % 2))
+    posts = spark.createDataFrame(rows, "node long, keys array<long>, half long").select("node", F.col("half").alias("c0"), F.lit(0).cast("long").alias("c1"), F.explode("keys").alias("bucket"))
+    links = bucket_links(posts, ["c0", "c1"], 0)
+    assert links.count() < 3 * len(rows)
+    cells = posts.select("bucket", F.lit(0).alias("i"), F.lit(0).alias("j"), "node", "c0", "c1").repartition("bucket").sortWithinPartitions("bucket", "node")
+    plain = cells.mapInArrow(_verify(["c0", "c1"], 0), "a long, b long").where("a != b")
+    assert plain.count() > 20 * len(rows)
+    found = {r["node"]: r["component"] for r in components.connected(links).collect()}
+    want = {r["node"]: r["component"] for r in components.connected(plain).collect()}
+    assert found == want and len(set(found.values())) == 2
+
+
+def test_contraction_keeps_components(spark):
+    rng = random.Random(3)
+    pairs = [(rng.randrange(400), rng.randrange(400)) for _ in range(330)]
+    links = spark.createDataFrame([(max(p), min(p)) for p in pairs if p[0] != p[1]], "a long, b long")
+    want = {(r["node"], r["component"]) for r in components.connected(links).collect()}
+    assert {(r["node"], r["component"]) for r in components.connected(components.contracted(links)).collect()} == want
+
+
+def test_texts_that_share_a_hash_stay_apart(spark, monkeypatch):
+    """With a hash that tells nothing, texts are told by their digests."""
+    monkeypatch.setattr(nc, "_hash", lambda text: F.lit(7).cast("long"))
+    rows = [(k, f"text number {k} has words of its own {k * 37}") for k in range(30)] + [(50, None), (51, ""), (52, "text number 3 has words of its own 111")]
+    got = {r["doc_id"]: r["kept"] for r in nc.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {k for k, kept in got.items() if not kept} == {51, 52}

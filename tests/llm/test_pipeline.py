@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from tests.llm.test_dedup import brute_simhash, brute_substrings, squeeze
+from tests.llm.test_dedup import brute_substrings, squeeze
 from tests.llm.test_language import PlainLanguages
 from tests.llm.test_near_copies import kept_by_brute_force
 
@@ -34,37 +34,6 @@ def test_stages_on_a_small_corpus(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path / "sf")).select("doc_id").distinct().count() == 5
 
 
-def test_pipeline_matches_brute_force(spark):
-    """The same five stages in plain Python over whole documents."""
-    from tokenizers import Tokenizer
-
-    sf = "/root/testdata/sf0.001"
-    got = corpus_pipeline.run(spark, sf).collect()
-    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
-    docs = [(k, t) for k, t in docs if t and any(c.isalpha() for c in t)]
-    best = {}
-    for k, t in docs:
-        best[squeeze(t)] = min(best.get(squeeze(t), (1, 0)), (-len(t), k))
-    docs = [(k, t) for k, t in docs if best[squeeze(t)] == (-len(t), k)]
-    prints, group = brute_simhash(docs, 4), list(range(len(docs)))
-    for _ in docs:
-        for i in range(len(docs)):
-            group[i] = min(group[j] for j in range(len(docs)) if (prints[i] ^ prints[j]).bit_count() <= 4)
-    ids = [k for k, _ in docs]
-    first = {g: min(k for k, x in zip(ids, group, strict=True) if x == g) for g in group}
-    docs = [d for d, g in zip(docs, group, strict=True) if first[g] == d[0]]
-    cut = brute_substrings(docs, 20)
-    docs = [(k, t if cut[k][1] == 0 else cut[k][2]) for k, t in docs if cut[k][1] == 0 or cut[k][1] < cut[k][0]]
-    own = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    own.encode_special_tokens = True
-    assert {r["doc_id"] for r in got} == {k for k, _ in docs}
-    for k, t in docs:
-        tokens = np.array([*own.encode(t, add_special_tokens=False).ids, 1], dtype="<u4")
-        mine = sorted((r for r in got if r["doc_id"] == k), key=lambda r: r["start"])
-        assert [r["start"] for r in mine] == np.cumsum([0, *(r["length"] for r in mine)])[:-1].tolist() and {r["doc_tokens"] for r in mine} == {len(tokens)}
-        assert all(zlib.crc32(tokens[r["start"] : r["start"] + r["length"]].tobytes()) == r["ids_crc32"] for r in mine) and sum(r["length"] for r in mine) == len(tokens)
-
-
 def test_pipeline_matches_brute_force_at_the_similarity(spark):
     """The same five stages in plain Python over whole documents, near copies by every pair's similarity of 0.8 over five words."""
     from tokenizers import Tokenizer
@@ -92,11 +61,11 @@ def test_pipeline_matches_brute_force_at_the_similarity(spark):
         assert all(zlib.crc32(tokens[r["start"] : r["start"] + r["length"]].tobytes()) == r["ids_crc32"] for r in mine) and sum(r["length"] for r in mine) == len(tokens)
 
 
-@pytest.mark.parametrize("name", ["op2_line_dedup", "op9_exact_dedup", "op10_url_filter", "op7_substring_dedup"])
+@pytest.mark.parametrize("name", ["op2_line_dedup", "op9_exact_dedup", "op10_url_filter", "op7_substring_dedup", "op11_centroid_clustering", "op12_document_fingerprints", "op13_source_divergence"])
 def test_ops_match_sql(spark, name, tmp_path):
     sf = "/root/testdata/sf0.001"
     db = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "embeddings"):
         db.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     got = entry.queries()[name](spark, sf)
     names = sorted(got.columns)
