@@ -175,6 +175,7 @@ ORACLES = {
                count(*) FILTER (c > 800) AS over_800_words, string_agg(c::VARCHAR, ',' ORDER BY r) FILTER (r <= 10) AS largest FROM w GROUP BY d""",
     "tfidf_df": f"WITH {DOCS}, {tfidf('i', 'docs')} SELECT term, df, round(idf, 9) AS idf FROM i_idf",
     "tfidf_search": f"WITH {DOCS}, {tfidf('i', 'docs')}, {top('i', 'docs', K)} SELECT q AS query_id, rank::INT AS rank, id AS doc_id, round(score, 9) AS score FROM i_r",
+    "tfidf_block_search": f"WITH {DOCS}, {tfidf('i', 'docs')}, {top('i', 'docs', K)} SELECT q AS query_id, rank::INT AS rank, id AS doc_id, round(score, 9) AS score FROM i_r",
     "chunk_search": f"""{SMALL}, docs AS (SELECT d || '::small_fixed::' || d || '::' || lpad(k::VARCHAR, 5, '0') AS id, (d, k) AS place, string_agg(line, chr(10) || chr(10) ORDER BY n) AS text FROM x GROUP BY d, k),
         {tfidf('i', 'docs')}, {top('i', 'docs', 3, 'place')} SELECT q AS query_id, rank::INT AS rank, id AS chunk_id, round(score, 9) AS score FROM i_r""",
     "hier_search": f"""WITH {UNITS}, par AS (SELECT 'doc' || doc_id AS id, coalesce(text, '') AS text FROM documents), kid AS (SELECT d || '::p' || lpad(n::VARCHAR, 5, '0') || '::u00' AS id, d, n, line AS text FROM u),
@@ -207,7 +208,7 @@ ORACLES = {
                round(avg(a) FILTER (g IS NOT NULL), 3) AS mean_ifs_adherence, round(avg(g) FILTER (a IS NOT NULL), 3) AS mean_grounding FROM r GROUP BY condition""",
     "auto_grade": f"""
         WITH i AS (SELECT 'v0' || lpad((doc_id % 12 + 1)::VARCHAR, 2, '0') || '_' || doc_id AS file, lang AS condition, lower(coalesce(b.text, 'nan')) AS q, lower(coalesce(d.text, 'nan')) AS r,
-                          lower(coalesce(source || ' ; ' || substr(b.text, 1, 40), 'nan')) AS s, d.text AS raw FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 20),
+                          lower(coalesce(source || ' ; ' || substr(b.text, 1, 40), 'nan')) AS s, d.text AS raw FROM documents d LEFT JOIN (SELECT row_number() OVER (ORDER BY item_id) - 1 AS n, text FROM benchmark) b ON b.n = d.doc_id % (SELECT count(*) FROM benchmark)),
         g AS (SELECT file, condition,
             {points("contains(r, 'part')", "contains(r, 'protect') OR contains(r, 'positive intention')", "contains(r, 'curious') OR contains(r, 'curiosity')", has('r', CORE_TERMS) + ' >= 6 AND ' + has('r', PATHOLOGIZING) + ' = 0')} AS ifs_adherence_score,
             {points("length(trim(s)) > 20", "contains(s, ';')", "contains(r, 'grounding notes')", has('r', SOURCE_MARKERS) + ' > 0')} AS grounding_score,

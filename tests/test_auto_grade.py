@@ -1,8 +1,12 @@
-"""What auto_grade sends to every executor."""
+"""Which benchmark items auto_grade meets."""
 
-from loomwork.queries import QUERIES
+from loomwork.queries import QUERIES, benchmark_queries
 
 
-def test_only_items_that_documents_can_meet_are_broadcast(spark):
-    plan = QUERIES["auto_grade"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
-    assert "BroadcastExchange" in plan and "abs(item_id" in plan
+def test_all_documents_are_graded_and_nothing_is_forced_to_be_broadcast(spark):
+    sf = "/root/testdata/sf0.001"
+    got = QUERIES["auto_grade"](spark, sf)
+    assert got.count() == spark.read.parquet(f"{sf}/documents.parquet").where("not coalesce(contains(text, '[MOCK OUTPUT]'), false)").count()
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" not in plan and "LeftOuter" in plan
+    assert benchmark_queries(spark, sf).count() > 20

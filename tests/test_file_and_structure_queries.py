@@ -50,7 +50,7 @@ def test_quartiles_are_interpolated(spark):
 def test_stacked_headings_in_runs(spark):
     text = "INTRO\n\nTHE\nB IG\n  IDEA \nplain words that are no heading.\nA\nB\nlower case\n" + "X" * 39 + "\n" + "Y" * 39 + "\n" + "Z" * 39
     (got,) = spark.createDataFrame([(text,)], "t string").select(cleaning.merge_stacked_headings(F.col("t")).alias("m")).first()
-    assert got.split("\n") == ["INTRO", "", "THE BIG IDEA", "plain words that are no heading.", "A B", "lower case", "X" * 39, "Y" * 39, "Z" * 39]
+    assert got.split("\n") == ["INTRO", "", "THE BIG IDEA", "plain words that are no heading.", "AB", "lower case", "X" * 39, "Y" * 39, "Z" * 39]
 
 
 def test_small_tables_are_spread(spark, tmp_path):
