@@ -185,7 +185,9 @@ ORACLES = {
         y AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, d, n) AS rank FROM z QUALIFY rank <= 5)
         SELECT q AS query_id, rank::INT AS rank, id AS chunk_id, d AS parent_id, round(score, 9) AS score FROM y""",
     "dense_ip_topk": _DENSE.format(score=f"list_inner_product(a.embedding{_D}, b.embedding{_D})", order="DESC", k=K),
+    "dense_ip_cells": _DENSE.format(score=f"list_inner_product(a.embedding{_D}, b.embedding{_D})", order="DESC", k=K),
     "dense_l2_topk": _DENSE.format(score=f"list_sum(list_transform(list_zip(a.embedding{_D}, b.embedding{_D}), lambda z: (z[1] - z[2]) * (z[1] - z[2])))", order="ASC", k=K),
+    "dense_l2_cells": _DENSE.format(score=f"list_sum(list_transform(list_zip(a.embedding{_D}, b.embedding{_D}), lambda z: (z[1] - z[2]) * (z[1] - z[2])))", order="ASC", k=K),
     "normalized_vectors": f"WITH v AS (SELECT vec_id, embedding{_D} AS e, sqrt(list_inner_product(embedding{_D}, embedding{_D})) AS n FROM embeddings) SELECT vec_id, len(e)::INT AS size, round(CASE WHEN n = 0 THEN 0 ELSE list_sum(list_transform(e, lambda x: x / n * (x / n))) END, 9) AS norm2 FROM v",
     "window_text": f"""WITH t AS (SELECT conv_id, floor(turn / {WINDOW_TURNS})::INT AS window_no, turn, trim(role) || ': ' || trim(text) AS line, trim(coalesce(text, '')) <> '' AS said FROM conversations)
         SELECT conv_id, window_no, min(turn) AS first_turn, max(turn) AS last_turn, md5(string_agg(line, chr(10) ORDER BY turn) FILTER (said)) AS query_md5 FROM t GROUP BY ALL HAVING count(*) FILTER (said) > 0""",

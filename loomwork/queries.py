@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwork.functions import text as T
-from loomwork.operators import blockmax, chunking, cleaning, dense, prompts, reports, retrieval, scoring, structure, tfidf, validation, windows
+from loomwork.operators import blockmax, cells, chunking, cleaning, dense, prompts, reports, retrieval, scoring, structure, tfidf, validation, windows
 from loomwork.sources import readers
 
 K = 5
@@ -170,6 +170,22 @@ def dense_l2_topk(spark, sf_dir):
     return _dense(spark, sf_dir, "l2")
 
 
+def _dense_cells(spark, sf_dir, metric):
+    vectors = table(spark, sf_dir, "embeddings")
+    queries = vectors.where(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return cells.search(queries, cells.CellIndex.of(vectors), K, metric).withColumn("score", F.round("score", 9))
+
+
+def dense_ip_cells(spark, sf_dir):
+    """Exact inner products by cells of which those that can't matter are left out."""
+    return _dense_cells(spark, sf_dir, "ip")
+
+
+def dense_l2_cells(spark, sf_dir):
+    """Exact squared distances by cells."""
+    return _dense_cells(spark, sf_dir, "l2")
+
+
 def normalized_vectors(spark, sf_dir):
     """Vectors of length one."""
     return table(spark, sf_dir, "embeddings").select("vec_id", F.size("embedding").alias("size"), F.round(dense.dot(dense.normalize(F.col("embedding")), dense.normalize(F.col("embedding"))), 9).alias("norm2"))
@@ -284,6 +300,6 @@ def embedding_report(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     word_token_stats, clean_documents, header_flags, paragraph_types, char_offsets, chunk_small_fixed, chunk_medium_overlap, hier_parents, hier_children, chunk_links, chunk_summary, structured_corpus,
-    quality_report, tfidf_df, tfidf_search, tfidf_block_search, chunk_search, hier_search, dense_ip_topk, dense_l2_topk, normalized_vectors, window_text, prompt_rows, mock_generate, top_sources, score_template, score_summary,
+    quality_report, tfidf_df, tfidf_search, tfidf_block_search, chunk_search, hier_search, dense_ip_topk, dense_l2_topk, dense_ip_cells, dense_l2_cells, normalized_vectors, window_text, prompt_rows, mock_generate, top_sources, score_template, score_summary,
     auto_grade, metric_means, overall_wins, box_statistics, unpivot_metrics, duplicate_ids, orphan_children, embedding_report,
 )}
