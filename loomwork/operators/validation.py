@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from loomwork.operators.windows import numbered
+
 
 def duplicate_ids(df: DataFrame, id_col: str = "chunk_id") -> DataFrame:
     """Ids that occur more than once or are missing, and how often."""
@@ -19,8 +20,7 @@ def orphans(children: DataFrame, parents: DataFrame) -> DataFrame:
 
 def gaps_in_rows(df: DataFrame, row: str = "embedding_row", partition: str = "embedding_partition") -> DataFrame:
     """Rows whose number isn't their place in the partition's order, counted from 0."""
-    place = F.row_number().over(W.partitionBy(partition).orderBy(row)) - 1
-    return df.withColumn("expected_row", place).where(~F.col(row).eqNullSafe(F.col("expected_row")))
+    return numbered(df, "expected_row", row, key=partition).where(~F.col(row).eqNullSafe(F.col("expected_row")))
 
 
 def wrong_sizes(df: DataFrame, vector: str = "embedding") -> DataFrame:

@@ -47,13 +47,27 @@ def turns_to_windows(turns: DataFrame, size: int, key: str = "conv_id", order: s
     return grouped.select(key, "window_no", "first_turn", "last_turn", turn_text(F.col("t")).alias("query")).where("query <> ''")
 
 
+def in_ranges(windows: DataFrame, turns: DataFrame, key: str = "conv_id", order: str = "turn", width: int = 16) -> DataFrame:
+    """The turns that lie in each window (key, ``window_id, start_turn, end_turn``): all columns of ``turns`` and the window's ``window_id``.
+
+    Turns are put into bins of ``width`` numbers and windows into all bins that they reach, so that both meet by key and
+    bin; the range is checked then. Windows end with their key's turns before, so that one of any length makes no more
+    bins than there are. Windows may overlap; null keys and bounds match nothing.
+    """
+    ends = turns.groupBy(F.col(key).alias("_key")).agg(F.min(order).alias("_low"), F.max(order).alias("_high"))
+    bin_of = lambda c: F.floor(c / width)
+    reach = windows.join(ends, F.col(key) == F.col("_key")).select(F.col(key).alias("_key"), "window_id", "start_turn", "end_turn", F.greatest("start_turn", "_low").alias("_from"), F.least("end_turn", "_high").alias("_to"))
+    reach = reach.where("start_turn is not null and end_turn is not null and _from <= _to").withColumn("_bin", F.explode(F.sequence(bin_of(F.col("_from")), bin_of(F.col("_to"))))).drop("_from", "_to")
+    placed = turns.withColumn("_at", bin_of(F.col(order)))
+    joined = placed.join(reach, (F.col(key) == F.col("_key")) & (F.col("_at") == F.col("_bin")))
+    return joined.where(F.col(order).between(F.col("start_turn"), F.col("end_turn"))).select(*turns.columns, "window_id")
+
+
 def range_windows(windows: DataFrame, turns: DataFrame, key: str = "conv_id", order: str = "turn", speaker: str = "role", text: str = "text") -> DataFrame:
-    """Windows given as a table (key, ``window_id, start_turn, end_turn``) joined with the turns in their ranges."""
-    t, w = turns.alias("t"), windows.alias("w")
-    joined = w.join(t, (F.col(f"w.{key}") == F.col(f"t.{key}")) & F.col(f"t.{order}").between(F.col("w.start_turn"), F.col("w.end_turn")))
-    turn = F.struct(F.col(f"t.{order}").alias("turn_id"), F.col(f"t.{speaker}").alias("speaker"), F.col(f"t.{text}").alias("utterance"))
-    grouped = joined.groupBy(F.col(f"w.{key}").alias(key), "window_id").agg(F.sort_array(F.collect_list(turn)).alias("t"))
-    return grouped.select(key, "window_id", turn_text(F.col("t")).alias("query"))
+    """The query text of windows given as a table: ``key, window_id, query``; windows without a turn have no row."""
+    turn = F.struct(F.col(order).alias("turn_id"), F.col(speaker).alias("speaker"), F.col(text).alias("utterance"))
+    joined = in_ranges(windows, turns.select(key, order, speaker, text), key, order)
+    return joined.groupBy(key, "window_id").agg(F.sort_array(F.collect_list(turn)).alias("t")).select(key, "window_id", turn_text(F.col("t")).alias("query"))
 
 
 def one(df: DataFrame, **ids: str) -> DataFrame:

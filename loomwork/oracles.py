@@ -191,6 +191,9 @@ ORACLES = {
     "normalized_vectors": f"WITH v AS (SELECT vec_id, embedding{_D} AS e, sqrt(list_inner_product(embedding{_D}, embedding{_D})) AS n FROM embeddings) SELECT vec_id, len(e)::INT AS size, round(CASE WHEN n = 0 THEN 0 ELSE list_sum(list_transform(e, lambda x: x / n * (x / n))) END, 9) AS norm2 FROM v",
     "window_text": f"""WITH t AS (SELECT conv_id, floor(turn / {WINDOW_TURNS})::INT AS window_no, turn, trim(role) || ': ' || trim(text) AS line, trim(coalesce(text, '')) <> '' AS said FROM conversations)
         SELECT conv_id, window_no, min(turn) AS first_turn, max(turn) AS last_turn, md5(string_agg(line, chr(10) ORDER BY turn) FILTER (said)) AS query_md5 FROM t GROUP BY ALL HAVING count(*) FILTER (said) > 0""",
+    "ranged_windows": """WITH w AS (SELECT conv_id, 'r' || turn AS window_id, turn AS a, turn + turn % 4 AS z FROM conversations UNION ALL SELECT DISTINCT conv_id, 'all', 0, 1000000000000 FROM conversations),
+        t AS (SELECT conv_id, turn, trim(role) || ': ' || trim(text) AS line, trim(coalesce(text, '')) <> '' AS said FROM conversations)
+        SELECT w.conv_id, window_id, md5(string_agg(line, chr(10) ORDER BY turn) FILTER (said)) AS query_md5 FROM w JOIN t ON t.conv_id = w.conv_id AND t.turn BETWEEN a AND z GROUP BY ALL HAVING count(*) FILTER (said) > 0""",
     "prompt_rows": f"""{HITS}, b AS (SELECT q, chr(10) || chr(10) || string_agg('[Rank ' || rank || ']' || chr(10) || 'chunk_id: doc' || doc_id || chr(10) || 'title: ' || source || chr(10) || 'section: ' || lang || chr(10)
             || 'parent_id: None' || chr(10) || 'passage:' || chr(10) || coalesce(text, ''), chr(10) || chr(10) || repeat('-', 80) || chr(10) || chr(10) ORDER BY rank) AS block FROM hits GROUP BY q)
         SELECT 'q' || item_id || '__' || condition || '.json' AS source_file, {len(SYSTEM_PROMPT)}::INT AS system_length,

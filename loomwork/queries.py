@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwork.functions import text as T
-from loomwork.operators import blockmax, cells, chunking, cleaning, dense, prompts, reports, retrieval, scoring, structure, tfidf, validation, windows
+from loomwork.operators import blockmax, cells, chunking, cleaning, dense, latent, prompts, reports, retrieval, scoring, structure, tfidf, validation, windows
 from loomwork.sources import readers
 
 K = 5
@@ -186,6 +186,15 @@ def dense_l2_cells(spark, sf_dir):
     return _dense_cells(spark, sf_dir, "l2")
 
 
+def latent_search(spark, sf_dir):
+    """Documents and benchmark texts as latent vectors of the documents' index, the best documents for each text. No SQL finds singular vectors."""
+    docs = documents(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    model = latent.LatentModel.fit(doc_index(spark, sf_dir), size=24)
+    asked = model.encode(benchmark_queries(spark, sf_dir), "query_id", "query", "vector")
+    hits = cells.search(asked, cells.CellIndex.of(model.encode(docs, "doc_id"), "doc_id"), K)
+    return hits.select("query_id", "rank", F.col("vec_id").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
 def normalized_vectors(spark, sf_dir):
     """Vectors of length one."""
     return table(spark, sf_dir, "embeddings").select("vec_id", F.size("embedding").alias("size"), F.round(dense.dot(dense.normalize(F.col("embedding")), dense.normalize(F.col("embedding"))), 9).alias("norm2"))
@@ -200,6 +209,15 @@ def window_text(spark, sf_dir):
     return _windows(spark, sf_dir).select("conv_id", "window_no", "first_turn", "last_turn", F.md5("query").alias("query_md5"))
 
 
+def ranged_windows(spark, sf_dir):
+    """Overlapping windows as a table, one from each turn and one over everything, joined with the turns in their ranges."""
+    turns = table(spark, sf_dir, "conversations")
+    each = turns.select("conv_id", F.concat(F.lit("r"), F.col("turn").cast("string")).alias("window_id"), F.col("turn").cast("long").alias("start_turn"), (F.col("turn") + F.col("turn") % 4).cast("long").alias("end_turn"))
+    whole = turns.select("conv_id").distinct().select("conv_id", F.lit("all").alias("window_id"), F.lit(0).cast("long").alias("start_turn"), F.lit(10**12).alias("end_turn"))
+    found = windows.range_windows(each.union(whole), turns).where("query <> ''")
+    return found.select("conv_id", "window_id", F.md5("query").alias("query_md5"))
+
+
 def _runs(spark, sf_dir) -> DataFrame:
     """Every benchmark text with its hits among the documents, under each flat condition."""
     docs = documents(spark, sf_dir).select("doc_id", "text", F.col("source").alias("source_title"), F.col("lang").alias("section_path_str"))
@@ -300,6 +318,6 @@ def embedding_report(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     word_token_stats, clean_documents, header_flags, paragraph_types, char_offsets, chunk_small_fixed, chunk_medium_overlap, hier_parents, hier_children, chunk_links, chunk_summary, structured_corpus,
-    quality_report, tfidf_df, tfidf_search, tfidf_block_search, chunk_search, hier_search, dense_ip_topk, dense_l2_topk, dense_ip_cells, dense_l2_cells, normalized_vectors, window_text, prompt_rows, mock_generate, top_sources, score_template, score_summary,
+    quality_report, tfidf_df, tfidf_search, tfidf_block_search, chunk_search, hier_search, dense_ip_topk, dense_l2_topk, dense_ip_cells, dense_l2_cells, latent_search, normalized_vectors, window_text, ranged_windows, prompt_rows, mock_generate, top_sources, score_template, score_summary,
     auto_grade, metric_means, overall_wins, box_statistics, unpivot_metrics, duplicate_ids, orphan_children, embedding_report,
 )}

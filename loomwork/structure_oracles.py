@@ -135,6 +135,7 @@ _CHUNKS = f"""{SMALL}, y0 AS (SELECT d, k, count(*)::INT AS n_units, string_agg(
 
 ORACLES = {
     "json_lines_scan": f"{_CHUNKS} SELECT id AS chunk_id, lag(id) OVER (PARTITION BY d ORDER BY k) AS prev_chunk_id, t AS token_count_est, n_units, md5(text) AS text_md5 FROM y",
+    "observed_manifest": f"{_CHUNKS} SELECT d AS source_doc_id, count(*) AS rows, sum(t)::BIGINT AS tokens, (sum(count(*)) OVER ())::BIGINT AS all_rows, (sum(sum(t)) OVER ())::BIGINT AS all_tokens FROM y GROUP BY d",
     "json_rows_scan": f"{_CHUNKS} SELECT id AS chunk_id, t AS token_count_est, n_units, md5(text) AS text_md5 FROM y",
     "vignette_scan": f"SELECT 'V' || conv_id AS vignette_id, 'v' || conv_id || '__w1' AS slug, md5(string_agg({STRIP('role')} || ': ' || {STRIP('text')}, chr(10) ORDER BY turn, role, text)) AS query_md5 FROM conversations WHERE text IS NOT NULL AND trim(text) <> '' GROUP BY conv_id",
     "sheet_scan": """SELECT 'q' || item_id AS source_file, 'a,b' AS response_preview, md5('"' || text || '",' || chr(10) || '"x"') AS query_md5, '' AS reviewer FROM benchmark""",
@@ -154,7 +155,7 @@ ORACLES = {
         kind AS paragraph_type, w AS word_count, a AS char_start_in_doc, a + size AS char_end_in_doc, md5(text) AS text_md5 FROM d""",
     "section_nodes": rf"""
         WITH r AS (SELECT doc_id AS k, 'book' || doc_id % 7 AS book, CASE doc_id % 5 WHEN 0 THEN 'ch' || doc_id || '_sec' || doc_id % 4 || 'a' WHEN 1 THEN 'ch1_ch' || doc_id || '_the-inner-parts' || doc_id WHEN 2 THEN 'intro_note-' || doc_id
-                          WHEN 3 THEN 'pt2_sec' || doc_id || '_what they_need' ELSE 'odd' || doc_id END AS rest, CASE WHEN doc_id % 13 = 5 THEN '' ELSE coalesce(text, '') END AS text FROM documents),
+                          WHEN 3 THEN 'pt2_sec' || doc_id || '_what they_need' ELSE 'odd' || doc_id END AS rest, coalesce(text, '') AS text FROM documents),
         f AS (SELECT *, k % 11 = 0 AS other, CASE WHEN k % 11 = 0 THEN 'other' ELSE book END || '_' || rest AS stem FROM r),
         t AS (SELECT *, string_split(CASE WHEN starts_with(stem, book || '_') THEN rest ELSE stem END, '_') AS tok FROM f),
         c AS (SELECT *, upper(list_filter(tok, lambda x: regexp_full_match(x, 'ch\d+[a-zA-Z]*'))[-1]) AS ch, upper(list_filter(tok, lambda x: regexp_full_match(x, 'sec\d+[a-zA-Z]*'))[-1]) AS sec,
@@ -193,14 +194,15 @@ ORACLES = {
         SELECT q AS query_id, 'small_fixed' AS condition, string_agg(id || '::small_fixed', ' ' ORDER BY rank) AS hits, '' AS parent_hits FROM a_r GROUP BY q
         UNION ALL SELECT q, 'medium_overlap', string_agg(id, ' ' ORDER BY rank), '' FROM b_r GROUP BY q
         UNION ALL SELECT hp.q, 'hierarchical', coalesce(hits, ''), parent_hits FROM hp LEFT JOIN hc ON hp.q = hc.q""",
-    "vignette_windows": f"""WITH t AS (SELECT *, min(turn) OVER (PARTITION BY conv_id) AS first FROM conversations)
-        SELECT 'V' || conv_id AS vignette_id, 'W1' AS window_id, 'v' || conv_id || '__w1' AS slug, md5(string_agg({STRIP('role')} || ': ' || {STRIP('text')}, chr(10) ORDER BY turn, role, text)) AS query_md5
-        FROM t WHERE turn <= first + 2 AND {STRIP("coalesce(text, '')")} <> '' GROUP BY conv_id""",
+    "vignette_windows": f"""WITH t AS (SELECT *, min(turn) OVER p AS first, max(turn) OVER p AS last FROM conversations WINDOW p AS (PARTITION BY conv_id)),
+        h AS (SELECT *, CASE WHEN turn <= (first + last) // 2 THEN 1 ELSE 2 END AS half FROM t)
+        SELECT 'V' || conv_id AS vignette_id, 'W' || half AS window_id, 'v' || conv_id || '__w' || half AS slug, md5(string_agg({STRIP('role')} || ': ' || {STRIP('text')}, chr(10) ORDER BY turn, role, text)) AS query_md5
+        FROM h WHERE {STRIP("coalesce(text, '')")} <> '' GROUP BY conv_id, half""",
     "metric_heatmap": f"WITH {_GRADED}, x AS (" + " UNION ALL ".join(f"SELECT '{m}' AS metric, condition, {m}::DOUBLE AS v FROM g" for m in METRICS) + ") SELECT metric, " + ", ".join(f"round(avg(v) FILTER (condition = '{c}'), 6) AS {c}" for c in ("small_fixed", "medium_overlap", "hierarchical")) + " FROM x GROUP BY metric",
     "radar_points": f"WITH {_GRADED} " + " UNION ALL ".join(f"SELECT condition, '{m}' AS metric, round({n} * 2 * pi() / {len(METRICS)}, 6) AS angle, round(avg({m}), 2) AS value FROM g GROUP BY condition" for n, m in enumerate(METRICS)),
     "known_metrics": f"WITH {_GRADED} SELECT condition, count(*) AS n FROM g WHERE grounding_score IS NOT NULL GROUP BY condition",
-    "row_gaps": """WITH e AS (SELECT vec_id, label, floor(vec_id / 2)::INT AS row, (row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1)::INT AS expected_row FROM embeddings WHERE vec_id % 2 = 0) SELECT * FROM e WHERE row IS DISTINCT FROM expected_row""",
-    "empty_texts": "SELECT conv_id, turn FROM conversations WHERE turn % 3 = 1 OR text IS NULL OR trim(text) = ''",
+    "row_gaps": """WITH e AS (SELECT vec_id, label, vec_id::INT AS row, (row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1)::INT AS expected_row FROM embeddings) SELECT * FROM e WHERE row IS DISTINCT FROM expected_row""",
+    "empty_texts": "SELECT conv_id, turn FROM conversations WHERE text IS NULL OR trim(text) = ''",
     "prepared_passages": "SELECT item_id, md5('passage: ' || text) AS with_prefix, md5(text) AS without FROM benchmark",
     "validation_slugs": "SELECT item_id, CASE WHEN s = '' THEN 'retrieval_validation' ELSE s END AS slug FROM (SELECT item_id, regexp_replace(regexp_replace(lower(substr(text, 1, 80)), '[^\\p{L}\\p{N}]', '_', 'g'), '^_+|_+$', '', 'g') AS s FROM benchmark)",
 }

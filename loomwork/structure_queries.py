@@ -83,7 +83,7 @@ def section_nodes(spark, sf_dir):
         .otherwise(F.concat(F.lit("odd"), number))
     )
     name = F.concat(F.when(k % 11 == 0, F.lit("other")).otherwise(book), F.lit("_"), rest, F.lit(structure.SUFFIX))
-    files = documents(spark, sf_dir).select(book.alias("doc_id"), book.alias("doc_title"), name.alias("source_file"), k.cast("int").alias("source_file_index"), F.when(k % 13 == 5, "").otherwise(F.coalesce("text", F.lit(""))).alias("text"))
+    files = documents(spark, sf_dir).select(book.alias("doc_id"), book.alias("doc_title"), name.alias("source_file"), k.cast("int").alias("source_file_index"), F.coalesce("text", F.lit("")).alias("text"))
     lines = files.select("doc_id", "source_file", "source_file_index", F.posexplode(F.filter(F.split("text", "\n"), lambda x: T.strip(x) != "")).alias("local", "line"))
     numbered = windows.numbered(lines, "paragraph_id", "source_file_index", "local", key="doc_id")
     named = structure.structure_from_name(files).select("source_file", "node_id")
@@ -137,10 +137,13 @@ def compared_conditions(spark, sf_dir):
 def vignette_windows(spark, sf_dir):
     """Consultation windows of conversations with their query texts and slugs."""
     turn = F.struct(F.col("turn").cast("int").alias("turn_id"), F.col("role").alias("speaker"), F.col("text").alias("utterance"))
-    talks = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("transcript"), F.min("turn").cast("int").alias("first"))
-    window = F.struct(F.lit("W1").alias("window_id"), F.array("first", F.col("first") + 2).alias("turn_range"), F.lit("g").alias("target_ifs_goal"), F.lit("e").alias("expected_retrieval_theme"))
-    talks = talks.where(F.exists("transcript", lambda t: (t["turn_id"] <= F.col("first") + 2) & (T.strip(F.coalesce(t["utterance"], F.lit(""))) != "")))
-    vignettes = talks.select(F.concat(F.lit("V"), F.col("conv_id").cast("string")).alias("vignette_id"), "transcript", F.array(window).alias("consultation_windows"))
+    talks = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("transcript"), F.min("turn").cast("int").alias("first"), F.max("turn").cast("int").alias("last"))
+    middle = F.floor((F.col("first") + F.col("last")) / 2).cast("int")
+    window = lambda name, a, z: F.struct(F.lit(name).alias("window_id"), F.array(a, z).alias("turn_range"), F.lit("g").alias("target_ifs_goal"), F.lit("e").alias("expected_retrieval_theme"))
+    halves = F.array(window("W1", F.col("first"), middle), window("W2", middle + 1, F.col("last")))
+    said = lambda w: F.exists("transcript", lambda t: t["turn_id"].between(w["turn_range"][0], w["turn_range"][1]) & (T.strip(F.coalesce(t["utterance"], F.lit(""))) != ""))
+    talks = talks.withColumn("halves", F.filter(halves, said))
+    vignettes = talks.select(F.concat(F.lit("V"), F.col("conv_id").cast("string")).alias("vignette_id"), "transcript", F.col("halves").alias("consultation_windows"))
     return windows.window_texts(vignettes).select("vignette_id", "window_id", "slug", F.md5("query").alias("query_md5"))
 
 
@@ -165,13 +168,13 @@ def known_metrics(spark, sf_dir):
 
 def row_gaps(spark, sf_dir):
     """Embedded rows whose number isn't their place in the partition."""
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", (F.floor(F.col("vec_id") / 2)).cast("int").alias("row"))
-    return validation.gaps_in_rows(rows.where("vec_id % 2 = 0"), "row", "label").select("vec_id", "label", "row", "expected_row")
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("vec_id").cast("int").alias("row"))
+    return validation.gaps_in_rows(rows, "row", "label").select("vec_id", "label", "row", "expected_row")
 
 
 def empty_texts(spark, sf_dir):
     """Turns without text, blank ones too."""
-    return validation.empty_texts(table(spark, sf_dir, "conversations").withColumn("text", F.when(F.col("turn") % 3 == 1, " ").otherwise(F.col("text")))).select("conv_id", "turn")
+    return validation.empty_texts(table(spark, sf_dir, "conversations")).select("conv_id", "turn")
 
 
 def prepared_passages(spark, sf_dir):

@@ -1,6 +1,7 @@
 """Windows, prompts, runs, scores and reports."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -150,3 +151,27 @@ def test_streaming_summary(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert {r["condition"]: r["scored_outputs"] for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {"a": 1, "b": 1}
+
+
+def test_windows_of_any_length_meet_their_turns(spark):
+    rng = random.Random(5)
+    turns = [(c, rng.randrange(-50, 400), "r", f"text {n}") for c in (1, 2, None) for n in range(120)]
+    spans = [(rng.choice([1, 2, 3, None]), f"w{n}", a := rng.randrange(-60, 400), a + rng.randrange(-3, 200)) for n in range(60)]
+    spans += [(1, "all", -(10**15), 10**15), (2, "none", None, 5), (2, "far", 500, 10**15)]
+    t = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    w = spark.createDataFrame(spans, "conv_id long, window_id string, start_turn long, end_turn long")
+    got = sorted((r["window_id"], r["turn"], r["text"]) for r in windows.in_ranges(w, t).collect())
+    want = sorted((name, turn, text) for c, name, a, z in spans for k, turn, _, text in turns if c is not None and c == k and a is not None and a <= turn <= z)
+    assert got == want and len(want) > 500
+    assert windows.in_ranges(w.limit(0), t).count() == windows.in_ranges(w, t.limit(0)).count() == 0
+
+
+def test_counts_are_measured_while_writing(spark, tmp_path):
+    df = spark.range(1000).selectExpr("id", "concat('chunk', id) chunk_id").repartition(7)
+    assert sinks.write_json_lines(df, str(tmp_path / "lines")) == 1000 == spark.read.json(str(tmp_path / "lines")).count()
+    assert sinks.write_json_lines(df.limit(10), str(tmp_path / "lines"), append=True) == 10
+    assert sinks.write_json_lines(df.where("id < 0"), str(tmp_path / "none")) == 0
+    chunks = spark.range(300).selectExpr("concat('d', id % 7) source_doc_id", "if(id % 2 = 0, 'small_fixed', 'medium_overlap') retrieval_setting", "cast(id as int) token_count_est")
+    each, whole = sinks.write_with_manifest(chunks, str(tmp_path / "m"))
+    assert whole["rows"] == 300 and whole["tokens"] == sum(range(300)) and each.count() == 14
+    assert each.agg(F.sum("rows"), F.sum("tokens")).first()[:] == (300, sum(range(300)))
