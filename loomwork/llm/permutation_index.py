@@ -45,9 +45,9 @@ class Settings:
     most_pivots: int = 16_384
     by_root: float = 26.0
     stored: int = 64
-    location: int = 128
+    location: int = 192
     posted: int = 12
-    probed: int = 128
+    probed: int = 192
     reranked: float = 0.5
     at_least: int = 50
     cell_vectors: int = 4096
