@@ -7,8 +7,9 @@ its segments' radii. Of a ball only the flips from 0 to 1 are enumerated: the ot
 in the bitwise "or" of their values. Whole distances are then verified within each bucket of the table. Longer segments
 and larger balls are taken for more fingerprints, so that buckets stay small.
 
-Buckets are counted first; those of more members than a block are cut into blocks, each pair of which is compared in a
-task of its own. What the links of a bucket connect is handed on as one link a member, to the smallest one; over all
+Buckets are counted first. A pair of a bucket differs in at most four of the bits outside the segment, too, and so agrees in
+one of five pieces of these: members of a bucket that is larger than a block are posted again, under their pieces. What is
+larger than a block even then is cut into blocks, each pair of which is compared in a task of its own. What the links of a bucket connect is handed on as one link a member, to the smallest one; over all
 buckets a member keeps the link to the smallest of these, and the others are linked with that one in its place.
 """
 
@@ -79,20 +80,42 @@ def _masks(bits: int, radius: int) -> np.ndarray:
 
 
 def _posts(segments):
-    """Rows ``bucket, node`` of the table and of the probes; the bucket mixes the segment's number and value."""
+    """Rows ``bucket, node, segment`` of the table and of the probes; the bucket mixes the segment's number and value."""
     masks = [_masks(bits, radius) for _, bits, radius in segments]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 1024):
                 fp = batch.column("node").slice(k, 1024).to_numpy().view(np.uint64)
-                found, owner = [], []
+                found, owner, segment = [], [], []
                 for number, ((first, bits, _), flips) in enumerate(zip(segments, masks, strict=True)):
                     value = (fp >> np.uint64(first)) & np.uint64((1 << bits) - 1)
                     row, flip = np.nonzero((value[:, None] & flips) == 0)
                     found.append(mix((value[row] | flips[flip]) + np.uint64(number << 48)))
                     owner.append(row)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(fp[np.concatenate(owner)].view(np.int64))], names=["bucket", "node"])
+                    segment.append(np.full(len(row), number, dtype=np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(fp[np.concatenate(owner)].view(np.int64)), pa.array(np.concatenate(segment))], names=["bucket", "node", "segment"])
+
+    return run
+
+
+def _pieces(segments, distance: int = DISTANCE):
+    """Members of a bucket under the pieces of their bits outside its segment: ``bucket, node``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bucket, fp = batch.column("bucket").to_numpy().view(np.uint64), batch.column("node").to_numpy().view(np.uint64)
+            out, number = [], batch.column("segment").to_numpy()
+            for n, (first, bits, _) in enumerate(segments):
+                at = np.flatnonzero(number == n)
+                low = fp[at] & np.uint64((1 << first) - 1)
+                rest = low | (fp[at] >> np.uint64(first + bits) << np.uint64(first)) if first + bits < 64 else low
+                width = -(-(64 - bits) // (distance + 1))
+                for p in range(distance + 1):
+                    piece = rest >> np.uint64(p * width) & np.uint64((1 << width) - 1)
+                    out.append((at, mix(bucket[at] ^ mix(piece + np.uint64((p + 1) << 48)))))
+            at, found = (np.concatenate(c) for c in zip(*out, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(fp[at].view(np.int64))], names=["bucket", "node"])
 
     return run
 
@@ -164,30 +187,43 @@ def _verify(columns: list[str], distance: int):
     return run
 
 
-def bucket_links(posts: DataFrame, columns: list[str], distance: int, block: int = BLOCK) -> DataFrame:
+def bucket_links(posts: DataFrame, columns: list[str], distance: int, block: int | None = None, pieces=None) -> DataFrame:
     """Pairs ``a, b`` of nodes that connect what the links in the buckets connect; ``columns`` (64 bits each) of a link differ in at most ``distance`` bits.
 
-    ``posts`` has ``bucket``, ``node`` and the columns. A bucket of more than ``block`` rows is cut into blocks by the nodes'
-    hashes, and every pair of blocks is a cell of its own.
+    ``posts`` has ``bucket``, ``node`` and the columns. Buckets of more than ``block`` rows are posted anew by ``pieces``, if
+    that is given (it takes and gives rows of ``posts``); else they are cut into blocks by the nodes' hashes, and every
+    pair of blocks is a cell of its own.
     """
+    return contracted(_links(posts, columns, distance, block or BLOCK, pieces))
+
+
+def _links(posts: DataFrame, columns: list[str], distance: int, block: int, pieces) -> DataFrame:
     own = list(dict.fromkeys(["node", *columns]))
     large = posts.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > block)
     large = cut(large.select("bucket", F.ceil(F.col("n") / block).cast("int").alias("blocks")))
     count = large.count()
+    held = F.broadcast(large) if count <= BROADCAST_BUCKETS else large
+    if count and pieces:
+        again = posts.join(held, "bucket", "left_semi").mapInArrow(pieces, f"bucket long, {', '.join(f'{c} long' for c in own)}")
+        rest = posts.join(held, "bucket", "left_anti")
+        return _cells(rest.select("bucket", F.lit(0).alias("i"), F.lit(0).alias("j"), *own), columns, distance).union(_links(again, columns, distance, block, None))
     if count:
-        held = posts.join(F.broadcast(large) if count <= BROADCAST_BUCKETS else large, "bucket", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-        held = held.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).select("bucket", *own, "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-        cells = held.select("bucket", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), *own)
-    else:
-        cells = posts.select("bucket", F.lit(0).alias("i"), F.lit(0).alias("j"), *own)
+        spread = posts.join(held, "bucket", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+        spread = spread.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).select("bucket", *own, "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+        return _cells(spread.select("bucket", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), *own), columns, distance)
+    return _cells(posts.select("bucket", F.lit(0).alias("i"), F.lit(0).alias("j"), *own), columns, distance)
+
+
+def _cells(cells: DataFrame, columns: list[str], distance: int) -> DataFrame:
     dealt = cells.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "node")
-    return contracted(dealt.mapInArrow(_verify(columns, distance), "a long, b long").where("a != b"))
+    return dealt.mapInArrow(_verify(columns, distance), "a long, b long").where("a != b")
 
 
-def fingerprint_links(distinct: DataFrame, count: int) -> DataFrame:
-    """Pairs ``a, b`` of different fingerprints (``fp``) that span what links of at most four bits' distance connect."""
-    posts = distinct.select(F.col("fp").alias("node")).mapInArrow(_posts(LONG_SEGMENTS if count > MANY else SEGMENTS), "bucket long, node long")
-    return bucket_links(posts, ["node"], DISTANCE)
+def fingerprint_links(distinct: DataFrame, count: int, block: int | None = None) -> DataFrame:
+    """Pairs ``a, b`` of different fingerprints (``fp``) that connect what links of at most four bits' distance connect."""
+    segments = LONG_SEGMENTS if count > MANY else SEGMENTS
+    posts = distinct.select(F.col("fp").alias("node")).mapInArrow(_posts(segments), "bucket long, node long, segment int")
+    return bucket_links(posts, ["node"], DISTANCE, block, _pieces(segments))
 
 
 def _components(prints: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from loomwork.llm import components
 from loomwork.llm import near_copies as nc
-from loomwork.llm.simhash import _verify, bucket_links
+from loomwork.llm.simhash import LONG_SEGMENTS, MANY, _verify, bucket_links, fingerprint_links
 
 
 def shingles(text, width=5):
@@ -139,3 +139,25 @@ def test_texts_that_share_a_hash_stay_apart(spark, monkeypatch):
     rows = [(k, f"text number {k} has words of its own {k * 37}") for k in range(30)] + [(50, None), (51, ""), (52, "text number 3 has words of its own 111")]
     got = {r["doc_id"]: r["kept"] for r in nc.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert {k for k, kept in got.items() if not kept} == {51, 52}
+
+
+def test_hot_buckets_are_posted_again_by_pieces(spark):
+    """Fingerprints that agree in whole segments: each bucket is far larger than a block, and no link is lost."""
+    rng = np.random.default_rng(4)
+    for many, fixed in ((False, (0, 21)), (False, (42, 64)), (True, (0, 32)), (True, (32, 64))):
+        mask = np.uint64((1 << fixed[1]) - (1 << fixed[0]))
+        base = (rng.integers(0, 2**64, 60, dtype=np.uint64) & ~mask) | np.uint64(0x5555555555555555) & mask
+        prints = np.unique(np.concatenate([base] + [base ^ (np.uint64(1) << rng.integers(0, 64, 60).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 60).astype(np.uint64)) for _ in range(4)])).view(np.int64)
+        df = spark.createDataFrame([(int(x),) for x in prints], "fp long")
+        links = fingerprint_links(df, MANY + 1 if many else 10, block=20)
+        found = {r["node"]: r["component"] for r in components.connected(links).collect()}
+        near = np.bitwise_count(prints.view(np.uint64)[:, None] ^ prints.view(np.uint64)[None]) <= 4
+        want = {}
+        for k in range(len(prints)):
+            reach, todo = {k}, [k]
+            while todo:
+                more = set(np.flatnonzero(near[todo.pop()]).tolist()) - reach
+                reach |= more
+                todo += more
+            want[int(prints[k])] = min(int(prints[j]) for j in reach)
+        assert {k: found.get(k, k) for k in want} == want and len(LONG_SEGMENTS) == 2
