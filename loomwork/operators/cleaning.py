@@ -116,6 +116,7 @@ def clean_text(text: Column) -> Column:
 
 def merge_stacked_headings(text: Column) -> Column:
     """Runs of heading fragments on lines of their own, 80 characters in all at most, become one line (an extra step)."""
+    # fixed values: the pattern of a fragment, its length, and that of a run
     fragment = lambda x: (F.length(x) <= 40) & x.rlike("\\A[A-Za-z&,\\-–—'\"“”‘’:\\s]+\\z") & x.rlike("[A-Za-z]") & (~x.rlike("[a-z]") | ~(x.rlike(r"(^|[^\p{L}])\p{Ll}") | x.rlike(r"\p{L}\p{Lu}")))
 
     def joined(run: Column) -> Column:
