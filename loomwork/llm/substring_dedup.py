@@ -25,7 +25,8 @@ from pyspark.sql import Window as W
 from loomwork.llm.shared import id_order, mix, same_text, slices, small_batches, span_hashes, utf8_bytes, window_hashes, without, word_spans
 
 WINDOW, BASE = 20, 10
-#: A window that may occur more often than this, as the window that represents it does, is dealt over so many tasks.
+#: A window that may occur more often than this, as the window that represents it does, is dealt over so many groups at
+#: least, and over half the square root of the count: neither a group's rows nor a window's groups grow faster than that.
 HOT, SALTS = 5_000, 32
 #: The lower half of a window's second hash gives way to its position: 96 bits remain to tell windows apart.
 _POSITION = (1 << 32) - 1
@@ -33,11 +34,10 @@ _COPY = -1  # as a position: the whole text has an earlier copy
 
 
 def levels(window: int = WINDOW, base: int = BASE) -> list[int]:
-    """The lengths below ``window``: ``base``, twice that, and so on."""
-    out = []
-    while base < window:
-        out.append(base)
-        base *= 2
+    """The lengths below ``window``: ``base``, twice that, and so on; of a window no longer than ``base`` its own."""
+    out = [min(base, window)]
+    while 2 * out[-1] < window:
+        out.append(2 * out[-1])
     return out
 
 
@@ -104,9 +104,13 @@ def _full(window: int, done: list[int]):
             text = w.text_of(at)
             h1, h2 = (h.view(np.int64) for h in w.digests(at))
             take = pa.array(text)
-            hot = np.isin(w.post[at], w.listed(part, "hot")) if done else np.ones(len(at), dtype=bool)
-            docs = mix(part.column("doc_order").to_numpy().view(np.uint64))
-            salt = np.where(hot, 1 + (docs[text] % np.uint64(SALTS)).astype(np.int64), 0)
+            docs = mix(part.column("doc_order").to_numpy().view(np.uint64))[text]
+            salt = np.zeros(len(at), dtype=np.int64)
+            hot, first = np.unique(w.listed(part, "hot"), return_index=True)
+            if len(hot):
+                groups = part.column("groups").flatten().to_numpy(zero_copy_only=False)[first].astype(np.uint64)
+                place = np.minimum(np.searchsorted(hot, w.post[at]), len(hot) - 1)
+                salt = np.where(hot[place] == w.post[at], 1 + (docs % groups[place]).astype(np.int64), 0)
             tail = (h2 & ~_POSITION) | (at - w.first_word[text])  # a row is a few bytes shorter than with two columns
             columns = [pa.array(h1), pa.array(tail), pa.array(salt.astype(np.int32)), part.column("doc_order").take(take), part.column("text_key").take(take)]
             yield pa.RecordBatch.from_arrays(columns, names=["h1", "tail", "salt", "doc_order", "text_key"])
@@ -132,8 +136,10 @@ def later_windows(base: DataFrame, window: int = WINDOW, shortest: int = BASE) -
         repeated = posts.groupBy(F.struct("post").alias("k")).agg(F.count("*").alias("times")).where("times > 1").select("k.post", "times")
         found = [F.collect_set("post").alias(f"hits{length}")]
         if length == lengths[-1]:
-            found.append(F.collect_set(F.when(F.col("times") > HOT, F.col("post"))).alias("hot"))
+            found.append(F.collect_set(F.when(F.col("times") > HOT, F.struct("post", F.greatest(F.lit(SALTS), F.ceil(F.sqrt("times") / 2)).cast("int").alias("groups")))).alias("many"))
         hits = posts.join(repeated, "post").groupBy("doc_order").agg(*found)
+        if length == lengths[-1]:
+            hits = hits.select("doc_order", f"hits{length}", F.col("many.post").alias("hot"), F.col("many.groups").alias("groups"))
         alive = hits if alive is None else alive.join(hits, "doc_order")
         done.append(length)
         posts_of = base.join(alive, "doc_order")

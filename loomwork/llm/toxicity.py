@@ -26,6 +26,8 @@ from loomwork.llm.shared import SpanHasher, mix, slices, small_batches, window_h
 
 #: Labelled documents to learn from at most, of either label.
 PER_LABEL = 1_200
+#: And so many bytes of text of each label at most.
+LABEL_BYTES = 10 << 20
 TABLE = 1 << 21
 PREFIXES, SUFFIXES = (2, 3, 4, 5, 6, 7, 8), (3, 4)
 #: A feature marks toxic words if at least this share of the toxic documents has it (and so many), and this many times the share of the clean ones.
@@ -282,21 +284,36 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 50
     return w
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", label_col: str = "toxic", per_label: int = PER_LABEL) -> ToxicityModel:
-    """Learn from ``labels`` (id and 0 or 1) of ``docs``: of each label ``per_label`` rows at most, by the hash of their id.
+def _within(rows: list, most: int) -> list:
+    """Of (id, label, bytes) in order the ids whose bytes together stay within ``most`` for their label; a text that doesn't fit is passed over."""
+    room, kept = {0: most, 1: most}, []
+    for row in rows:
+        if row["bytes"] <= room[row["label"]]:
+            room[row["label"]] -= row["bytes"]
+            kept.append(row["_id"])
+    return kept
 
-    Whole texts of these rows are used, whatever their length: the driver holds them and some sixty bytes a word. Four
-    fifths train the chain, the rest (near copies lie on one side) fits the logistic function, in which the labels weigh
-    as they occur among all labelled rows. Of several texts of an id the first in order counts, of several labels the
-    larger. Without both labels every score is the labels' mean (0 if there are none).
+
+def fit_toxicity(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", label_col: str = "toxic", per_label: int = PER_LABEL, label_bytes: int = LABEL_BYTES) -> ToxicityModel:
+    """Learn from ``labels`` (id and 0 or 1) of ``docs``: of each label ``per_label`` rows and ``label_bytes`` of text at most, by the hash of their id.
+
+    Whole texts of these rows are used: the driver holds them and some sixty bytes a word. A text that alone has more
+    than ``label_bytes`` isn't learnt from. Four fifths train the chain, the rest (near copies lie on one side) fits the
+    logistic function, in which the labels weigh as they occur among all labelled rows. Of several texts of an id the
+    first in order counts, of several labels the larger. Without both labels every score is the labels' mean (0 if there
+    are none).
     """
     known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label")).where("_id is not null and _label in (0, 1)")
     totals = {r["_label"]: r["n"] for r in known.groupBy("_label").agg(F.count("*").alias("n")).collect()}
     chosen = [known.where(F.col("_label") == k).orderBy(F.xxhash64("_id"), "_id").limit(per_label) for k in (0, 1)]
     chosen = F.broadcast(chosen[0].union(chosen[1]).groupBy("_id").agg(F.max("_label").alias("_label")))  # 2 * per_label rows at most
     usable = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where("_text is not null")
-    rows = usable.join(chosen, "_id").groupBy("_id").agg(F.min("_text").alias("text"), F.first("_label").alias("label"))
-    rows = rows.orderBy(F.xxhash64(F.lit(1), "_id"), "_id").select("text", "label").toArrow()
+    order = [F.xxhash64(F.lit(1), "_id"), F.col("_id")]
+    # sizes first: which texts the driver may hold is told by 2 * per_label numbers
+    sizes = usable.join(chosen, "_id").groupBy("_id").agg(F.first("_label").alias("label"), F.max(F.octet_length("_text")).alias("bytes")).orderBy(*order).collect()
+    fitting = labels.sparkSession.createDataFrame([(k,) for k in _within(sizes, label_bytes)], known.select("_id").schema)
+    rows = usable.join(chosen.join(F.broadcast(fitting), "_id", "left_semi"), "_id").groupBy("_id").agg(F.min("_text").alias("text"), F.first("_label").alias("label"))
+    rows = rows.orderBy(*order).select("text", "label").toArrow()
     texts, y = rows["text"].to_pylist(), rows["label"].to_numpy() == 1
     if not len(y) or y.all() or not y.any():
         mean = float(y.mean()) if len(y) else 0.0

@@ -242,3 +242,15 @@ def test_digests_have_the_contract_columns(spark):
     docs = table(spark, [(1, "a b c")]).select("doc_id", "text", F.lit("en").alias("lang"))
     assert ed.exact_dedup_digest(docs).columns == ["doc_id", "keep_id", "group_size", "kept", "text_sha256"]
     assert substring_dedup.substring_dedup_digest(docs).columns == ["doc_id", "n_words", "n_removed", "kept_sha256"]
+
+
+def test_groups_of_a_hot_window_follow_its_count(spark, monkeypatch):
+    """A passage in 3,000 documents, dealt by its measured count: the first keeps it, all others lose it, their own words stay."""
+    monkeypatch.setattr(substring_dedup, "HOT", 50)
+    monkeypatch.setattr(substring_dedup, "SALTS", 2)
+    passage = " ".join(f"p{k}" for k in range(25))
+    rows = spark.range(3_000, numPartitions=6).selectExpr("id doc_id", f"concat('a', id, ' {passage} z', id) text")
+    got = substring_dedup.substring_dedup(rows)
+    assert got.where("n_removed = 25 and kept_text = concat('a', doc_id, ' z', doc_id)").count() == 2_999
+    assert got.where("n_removed = 0").select("doc_id").collect() == [(0,)]
+    assert substring_dedup.levels(6, 10) == [6] and substring_dedup.levels(20, 5) == [5, 10] and substring_dedup.levels(40, 10) == [10, 20]

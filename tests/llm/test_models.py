@@ -278,3 +278,18 @@ def test_url_rules(spark):
         assert (r["verdict"], r["rule"]) == urls[r["page_id"]][1:], urls[r["page_id"]]
     assert url_filter.filter_urls(pages.limit(0), rules).count() == 0
     assert {r["verdict"] for r in url_filter.filter_urls(pages, rules.limit(0)).collect()} == {"allow"}
+
+
+def test_toxicity_learns_within_a_bound_of_bytes(spark):
+    from loomwork.llm import toxicity
+
+    rows = [{"_id": k, "label": k % 2, "bytes": size} for k, size in enumerate((60, 100, 50, 10, 40, 1))]
+    assert toxicity._within(rows, 100) == [0, 1, 4] and toxicity._within(rows, 0) == [] and toxicity._within([], 5) == []
+    words = lambda k: " ".join(f"{chr(97 + (k * 7 + j * j) % 26)}{chr(97 + (k + j * 3) % 26)}{chr(97 + k * j % 26)}" for j in range(40))
+    docs = spark.createDataFrame([(k, words(k) + (" vile filth" if k % 2 else " calm water")) for k in range(60)] + [(60, "calm vile " * 50_000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(61)], "doc_id long, toxic int")
+    model = toxicity.fit_toxicity(docs, labels, label_bytes=20_000)
+    got = {r["doc_id"]: r["toxicity"]["score"] >= 0.5 for r in toxicity.score_toxicity(docs, model).collect()}
+    assert all(got[k] == bool(k % 2) for k in range(60))
+    nothing = toxicity.fit_toxicity(docs, labels, label_bytes=5)
+    assert {r["toxicity"]["score"] for r in toxicity.score_toxicity(docs, nothing).collect()} != set()
