@@ -238,3 +238,5 @@ ORACLES = {
     "embedding_report": """SELECT label AS embedding_partition, count(*) AS rows, min(len(embedding))::INT AS min_size, max(len(embedding))::INT AS max_size,
         arg_min(vec_id, vec_id)::VARCHAR AS first_id, arg_max(vec_id, vec_id)::VARCHAR AS last_id FROM embeddings GROUP BY label""",
 }
+# the same windows, made over rows
+ORACLES |= {"row_chunks_small": ORACLES["chunk_small_fixed"], "row_chunks_overlap": ORACLES["chunk_medium_overlap"]}

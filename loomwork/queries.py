@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwork.functions import text as T
-from loomwork.operators import blockmax, cells, chunking, cleaning, dense, latent, prompts, reports, retrieval, scoring, structure, tfidf, validation, windows
+from loomwork.operators import blockmax, cells, chunking, cleaning, dense, jumps, latent, prompts, reports, retrieval, scoring, structure, tfidf, validation, windows
 from loomwork.sources import readers
 
 K = 5
@@ -66,8 +66,8 @@ def char_offsets(spark, sf_dir):
     return units(spark, sf_dir).select("source_doc_id", F.col("parent_paragraph_id").alias("n"), "char_start_in_doc", "char_end_in_doc")
 
 
-def _shown(chunks: DataFrame) -> DataFrame:
-    return chunks.select("source_doc_id", "chunk_index", F.size("paragraph_ids").alias("n_units"), F.element_at("paragraph_ids", 1).alias("first_unit"), "token_count_est", "char_start_in_doc", "char_end_in_doc", F.md5("text").alias("text_md5"))
+def _shown(chunks: DataFrame, *more: str) -> DataFrame:
+    return chunks.select("source_doc_id", "chunk_index", F.size("paragraph_ids").alias("n_units"), F.element_at("paragraph_ids", 1).alias("first_unit"), "token_count_est", "char_start_in_doc", "char_end_in_doc", F.md5("text").alias("text_md5"), *more)
 
 
 def chunk_small_fixed(spark, sf_dir):
@@ -93,6 +93,16 @@ def hier_children(spark, sf_dir):
     return _shown(children).join(children.select("source_doc_id", "chunk_index", "parent_id"), ["source_doc_id", "chunk_index"])
 
 
+def row_chunks_small(spark, sf_dir):
+    """G2, A3 over rows: fixed windows by jumps, no document in one row."""
+    return _shown(jumps.flat_chunks(units(spark, sf_dir), chunking.SMALL_FIXED))
+
+
+def row_chunks_overlap(spark, sf_dir):
+    """G3, A3, W6 over rows: overlapping windows by jumps, with what neighbours share."""
+    return _shown(jumps.flat_chunks(units(spark, sf_dir), chunking.MEDIUM_OVERLAP), "overlap_with_prev_tokens", "overlap_with_next_tokens")
+
+
 def chunk_links(spark, sf_dir):
     """Chunks and their neighbours."""
     return chunking.flat_chunks(units(spark, sf_dir), chunking.SMALL_FIXED).select("chunk_id", "prev_chunk_id", "next_chunk_id")
@@ -317,7 +327,7 @@ def embedding_report(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    word_token_stats, clean_documents, header_flags, paragraph_types, char_offsets, chunk_small_fixed, chunk_medium_overlap, hier_parents, hier_children, chunk_links, chunk_summary, structured_corpus,
+    word_token_stats, clean_documents, header_flags, paragraph_types, char_offsets, chunk_small_fixed, chunk_medium_overlap, row_chunks_small, row_chunks_overlap, hier_parents, hier_children, chunk_links, chunk_summary, structured_corpus,
     quality_report, tfidf_df, tfidf_search, tfidf_block_search, chunk_search, hier_search, dense_ip_topk, dense_l2_topk, dense_ip_cells, dense_l2_cells, latent_search, normalized_vectors, window_text, ranged_windows, prompt_rows, mock_generate, top_sources, score_template, score_summary,
     auto_grade, metric_means, overall_wins, box_statistics, unpivot_metrics, duplicate_ids, orphan_children, embedding_report,
 )}
