@@ -206,3 +206,5 @@ ORACLES = {
     "prepared_passages": "SELECT item_id, md5('passage: ' || text) AS with_prefix, md5(text) AS without FROM benchmark",
     "validation_slugs": "SELECT item_id, CASE WHEN s = '' THEN 'retrieval_validation' ELSE s END AS slug FROM (SELECT item_id, regexp_replace(regexp_replace(lower(substr(text, 1, 80)), '[^\\p{L}\\p{N}]', '_', 'g'), '^_+|_+$', '', 'g') AS s FROM benchmark)",
 }
+# the same rows, from files that a manifest names
+ORACLES["manifest_scan"] = ORACLES["json_lines_scan"]
