@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from loomwork.operators import windows
 from loomwork.operators.scoring import METRICS
 
 ORDER = ["small_fixed", "medium_overlap", "hierarchical"]
@@ -41,18 +42,37 @@ def win_counts(graded: DataFrame, key: str = "window_id", order: list[str] = ORD
     return listed.join(wins, "condition", "left").select("condition", "position", F.coalesce("wins", F.lit(0)).alias("wins"))
 
 
+def order_statistics(scored: DataFrame, value: str, shares: tuple[float, ...], key: str = "condition") -> DataFrame:
+    """``key, share, low, high, part``: the values on either side of each share's place among a key's, and how far it lies between.
+
+    Equal values are counted first and dealt by ranges of key and value; sums of ranges tell which range holds a place, and
+    only these are ranked, each by itself. No key's values gather in a task. Nulls take no part.
+    """
+    counts = scored.select(F.col(key).alias("_key"), F.col(value).cast("double").alias("v")).where("v is not null").groupBy("_key", "v").agg(F.count("*").alias("n"))
+    dealt = windows.stored(counts.repartitionByRange("_key", "v").withColumn("_range", F.spark_partition_id()))
+    held = dealt.groupBy("_key", "_range").agg(F.sum("n").alias("_n"))
+    ranges = W.partitionBy("_key").orderBy("_range")
+    held = held.withColumns({"_upto": F.sum("_n").over(ranges), "_total": F.sum("_n").over(W.partitionBy("_key"))}).withColumn("_before", F.col("_upto") - F.col("_n"))
+    places = F.explode(F.array(*(F.struct(F.lit(s).alias("share"), ((F.col("_total") - 1) * s).alias("at")) for s in shares)))
+    asked = held.select("*", places.alias("p")).select("_key", "_range", "_before", "_upto", "p.share", "p.at", F.explode(F.array(F.floor("p.at"), F.ceil("p.at"))).alias("place"))
+    asked = asked.where("_before <= place and place < _upto").distinct()
+    same = [F.col("_key").eqNullSafe(F.col("_asked")), F.col("_range") == F.col("_in")]
+    cells = asked.select(F.col("_key").alias("_asked"), F.col("_range").alias("_in"), "_before").distinct()
+    ranked = dealt.join(cells, same).withColumn("_to", F.col("_before") + F.sum("n").over(W.partitionBy("_key", "_range").orderBy("v")))
+    ranked = ranked.select(F.col("_key").alias("_asked"), F.col("_range").alias("_in"), "v", F.col("_to") - F.col("n"), "_to").toDF("_asked", "_in", "v", "_from", "_to")
+    found = asked.join(ranked, [*same, F.col("_from") <= F.col("place"), F.col("place") < F.col("_to")])
+    return found.groupBy(F.col("_key").alias(key), "share", (F.col("at") - F.floor("at")).alias("part")).agg(F.min("v").alias("low"), F.max("v").alias("high"))
+
+
+def quantiles(scored: DataFrame, value: str, shares: tuple[float, ...], key: str = "condition") -> DataFrame:
+    """``key, share, q``: exact quantiles, interpolated between neighbours."""
+    return order_statistics(scored, value, shares, key).select(key, "share", (F.col("low") + (F.col("high") - F.col("low")) * F.col("part")).alias("q"))
+
+
 def quartiles(scored: DataFrame, value: str) -> DataFrame:
-    """``condition, q``: the three quartiles, interpolated, from counts of equal values, so that no condition's rows gather in a task."""
-    counts = scored.groupBy("condition", F.col(value).cast("double").alias("v")).agg(F.count("*").alias("n"))
-    upto = F.sum("n").over(W.partitionBy("condition").orderBy("v"))
-    ranked = counts.withColumn("upto", upto).withColumn("total", F.sum("n").over(W.partitionBy("condition")))
-    found = []
-    for share in (0.25, 0.5, 0.75):
-        at = (F.col("total") - 1) * share
-        low, high = (F.min(F.when(F.col("upto") > k, F.col("v"))) for k in (F.floor(at), F.ceil(at)))
-        part = F.max(at - F.floor(at))
-        found.append(low + (high - low) * part)
-    return ranked.groupBy("condition").agg(F.array(*found).alias("q"))
+    """``condition, q``: the three quartiles."""
+    found = quantiles(scored, value, (0.25, 0.5, 0.75))
+    return found.groupBy("condition").agg(F.transform(F.sort_array(F.collect_list(F.struct("share", "q"))), lambda x: x["q"]).alias("q"))
 
 
 def box_statistics(graded: DataFrame, value: str = "overall") -> DataFrame:

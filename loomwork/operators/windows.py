@@ -95,7 +95,7 @@ def shared_folder(spark: SparkSession) -> str:
     return folder or context.getCheckpointDir()
 
 
-def _stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame) -> DataFrame:
     """``df`` from reliable storage in the shared folder."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
@@ -114,7 +114,7 @@ def numbered(df: DataFrame, into: str, *order: str, key: str | None = None) -> D
     Rows are dealt by ranges of key and order, so that no key lies whole in one task; what is summed up is one row for each range and key in it.
     """
     keys = [key] if key else []
-    dealt = _stored(df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order).withColumn("_at", F.monotonically_increasing_id()))
+    dealt = stored(df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order).withColumn("_at", F.monotonically_increasing_id()))
     dealt = dealt.withColumn("_range", F.shiftright("_at", 33))
     held = dealt.groupBy("_range", *keys).agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(W.partitionBy(*keys).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
