@@ -208,3 +208,12 @@ ORACLES = {
 }
 # the same rows, from files that a manifest names
 ORACLES["manifest_scan"] = ORACLES["json_lines_scan"]
+ORACLES["text_tree_scan"] = """WITH x AS (SELECT *, 'Book_' || doc_id % 13 AS b, CASE WHEN doc_id % 2 = 0 THEN 'words' ELSE 'blocks' END AS m FROM documents WHERE doc_id IS NOT NULL),
+    y AS (SELECT *, b || CASE WHEN doc_id % 5 > 0 THEN '/part' ELSE '' END || '/doc' || doc_id || '.pdf' AS r FROM x)
+    SELECT 'doc' || doc_id || '.txt' AS file, 'source_book: ' || b AS book, 'relative_path: ' || r AS relative, 'extraction_mode: ' || m AS mode,
+        md5(concat_ws(chr(10), '=== SOURCE METADATA ===', 'source_book: ' || b, 'source_file: doc' || doc_id || '.pdf', 'relative_path: ' || r, 'extraction_mode: ' || m,
+            'top_margin_ratio: 0.05', 'bottom_margin_ratio: 0.03', '=== BEGIN EXTRACTED TEXT ===', coalesce(text, ''), '')) AS md5 FROM y"""
+ORACLES["streamed_summary"] = """WITH s AS (SELECT conv_id, role AS condition, turn, length(coalesce(text, '')) AS n FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+    v AS (SELECT *, CASE WHEN n % 3 > 0 THEN n % 5 + 1 END AS a, CASE WHEN n % 4 > 0 THEN (n + 1) % 5 + 1 END AS g FROM s),
+    l AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, a DESC NULLS LAST, g DESC NULLS LAST, condition DESC NULLS LAST) = 1)
+    SELECT condition, count(*) AS total_outputs, count(a + g) AS scored_outputs, round(avg(a) FILTER (g IS NOT NULL), 3) AS mean_ifs_adherence, round(avg(g) FILTER (a IS NOT NULL), 3) AS mean_grounding FROM l GROUP BY condition"""
