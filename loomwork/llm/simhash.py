@@ -157,13 +157,14 @@ def _smallest(pairs: np.ndarray, count: int) -> np.ndarray:
         first = new
 
 
-def _verify(columns: list[str], distance: int):
+def _verify(columns: list[str], distance: int, within=None):
     def links(cell: np.ndarray, node: np.ndarray, words: np.ndarray) -> pa.RecordBatch:
         edge = np.flatnonzero(np.concatenate([[True], (cell[1:] != cell[:-1]).any(axis=1)]))
         size = np.diff(np.append(edge, len(cell)))
-        found = [edge[k] + _links_of_bucket(words[edge[k] : edge[k] + size[k]], distance) for k in np.flatnonzero(size > TINY)]
-        which = np.repeat(np.where(size <= TINY, np.arange(len(size)), -1), size)
-        for lag in range(1, int(size[size <= TINY].max(initial=1))):  # neighbours at each lag, over all tiny buckets
+        tiny = 1 if within else TINY
+        found = [edge[k] + (within or _links_of_bucket)(words[edge[k] : edge[k] + size[k]], distance) for k in np.flatnonzero(size > tiny)]
+        which = np.repeat(np.where(size <= tiny, np.arange(len(size)), -1), size)
+        for lag in range(1, int(size[size <= tiny].max(initial=1))):  # neighbours at each lag, over all tiny buckets
             at = np.flatnonzero((which[lag:] == which[:-lag]) & (which[lag:] >= 0))
             at = at[np.bitwise_count(words[at] ^ words[at + lag]).sum(axis=1, dtype=np.int32) <= distance]
             found.append(np.stack([at, at + lag], axis=1))
@@ -187,17 +188,17 @@ def _verify(columns: list[str], distance: int):
     return run
 
 
-def bucket_links(posts: DataFrame, columns: list[str], distance: int, block: int | None = None, pieces=None) -> DataFrame:
+def bucket_links(posts: DataFrame, columns: list[str], distance: int, block: int | None = None, pieces=None, within=None) -> DataFrame:
     """Pairs ``a, b`` of nodes that connect what the links in the buckets connect; ``columns`` (64 bits each) of a link differ in at most ``distance`` bits.
 
     ``posts`` has ``bucket``, ``node`` and the columns. Buckets of more than ``block`` rows are posted anew by ``pieces``, if
     that is given (it takes and gives rows of ``posts``); else they are cut into blocks by the nodes' hashes, and every
-    pair of blocks is a cell of its own.
+    pair of blocks is a cell of its own. ``within``, if given, finds a bucket's pairs of rows by the columns and the distance in its own way.
     """
-    return contracted(_links(posts, columns, distance, block or BLOCK, pieces))
+    return contracted(_links(posts, columns, distance, block or BLOCK, pieces, within))
 
 
-def _links(posts: DataFrame, columns: list[str], distance: int, block: int, pieces) -> DataFrame:
+def _links(posts: DataFrame, columns: list[str], distance: int, block: int, pieces, within) -> DataFrame:
     own = list(dict.fromkeys(["node", *columns]))
     large = posts.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > block)
     large = cut(large.select("bucket", F.ceil(F.col("n") / block).cast("int").alias("blocks")))
@@ -206,17 +207,17 @@ def _links(posts: DataFrame, columns: list[str], distance: int, block: int, piec
     if count and pieces:
         again = posts.join(held, "bucket", "left_semi").mapInArrow(pieces, f"bucket long, {', '.join(f'{c} long' for c in own)}")
         rest = posts.join(held, "bucket", "left_anti")
-        return _cells(rest.select("bucket", F.lit(0).alias("i"), F.lit(0).alias("j"), *own), columns, distance).union(_links(again, columns, distance, block, None))
+        return _cells(rest.select("bucket", F.lit(0).alias("i"), F.lit(0).alias("j"), *own), columns, distance, within).union(_links(again, columns, distance, block, None, within))
     if count:
         spread = posts.join(held, "bucket", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
         spread = spread.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).select("bucket", *own, "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-        return _cells(spread.select("bucket", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), *own), columns, distance)
-    return _cells(posts.select("bucket", F.lit(0).alias("i"), F.lit(0).alias("j"), *own), columns, distance)
+        return _cells(spread.select("bucket", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), *own), columns, distance, within)
+    return _cells(posts.select("bucket", F.lit(0).alias("i"), F.lit(0).alias("j"), *own), columns, distance, within)
 
 
-def _cells(cells: DataFrame, columns: list[str], distance: int) -> DataFrame:
+def _cells(cells: DataFrame, columns: list[str], distance: int, within) -> DataFrame:
     dealt = cells.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "node")
-    return dealt.mapInArrow(_verify(columns, distance), "a long, b long").where("a != b")
+    return dealt.mapInArrow(_verify(columns, distance, within), "a long, b long").where("a != b")
 
 
 def fingerprint_links(distinct: DataFrame, count: int, block: int | None = None) -> DataFrame:

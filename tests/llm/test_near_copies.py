@@ -161,3 +161,41 @@ def test_hot_buckets_are_posted_again_by_pieces(spark):
                 todo += more
             want[int(prints[k])] = min(int(prints[j]) for j in reach)
         assert {k: found.get(k, k) for k in want} == want and len(LONG_SEGMENTS) == 2
+
+def test_probes_reach_what_shares_no_segment(spark):
+    """A pair with a bit of each segment flipped agrees in none, and is found; one that agrees in a segment, but is too far apart as a whole, is not."""
+    form, rng = nc.shape(200_000), np.random.default_rng(8)
+    size = form.segments * form.bits
+    base = rng.integers(0, 2, (4, size)).astype(bool)
+    flip = np.zeros(size, dtype=bool)
+    flip[np.arange(form.segments) * form.bits + rng.integers(0, form.bits, form.segments)] = True
+    far = np.zeros(size, dtype=bool)
+    far[form.bits : form.bits + form.distance + 1] = True
+    rows = [*base, base[0] ^ flip, base[1] ^ far, base[2] ^ np.roll(far, -1) & far, base[3] ^ flip]
+    words = np.packbits(np.pad(np.array(rows), ((0, 0), (0, -size % 64))), axis=1, bitorder="little").view("<i8")
+    prints = spark.createDataFrame([(k, False, *map(int, w)) for k, w in enumerate(words)], f"node long, few boolean, {', '.join(f'{c} long' for c in form.words)}")
+    assert {(r["a"], r["b"]) for r in nc.fingerprint_links(prints, form).collect()} == {(4, 0), (6, 2), (7, 3)}
+    assert form.distance >= 2 * form.segments - 1
+
+
+def test_fingerprint_bits_are_majorities():
+    sets = [np.array([], dtype=np.uint64), np.array([5], dtype=np.uint64), np.arange(40_000, dtype=np.uint64)]
+    got = nc.fingerprints(sets, 2)
+    for own, words in zip(sets, got, strict=True):
+        for k in range(128):
+            ones = sum(int(h) >> k % 64 & 1 for h in nc.mix(own + np.uint64(k // 64)))
+            assert int(words[k // 64]) >> k % 64 & 1 == (2 * ones > len(own))
+
+
+def test_pairs_at_the_similarity_are_linked_at_every_size(spark):
+    """Pairs of a similarity of 0.8 or hardly more, by the sizes whose fingerprints differ most: 400 of each, of which at most two are missed."""
+    rows, form = [], nc.shape(200_000)
+    for n, (a, b, shared) in enumerate(((4, 5, 4), (12, 15, 12), (21, 24, 20), (100, 100, 89))):
+        for k in range(400):
+            own = np.random.default_rng(1000 * n + k).integers(0, 2**63, a + b - shared, dtype=np.uint64)
+            rows += [np.sort(own[:a]), np.sort(own[a - shared :])]
+    words = nc.fingerprints(rows, len(form.words)).view(np.int64)
+    prints = spark.createDataFrame([(k, len(rows[k]) <= nc.FEW, *map(int, w)) for k, w in enumerate(words)], f"node long, few boolean, {', '.join(f'{c} long' for c in form.words)}")
+    found = {r["node"]: r["component"] for r in components.connected(nc.fingerprint_links(prints, form)).collect()}
+    missed = [k // 400 for k in range(1600) if 2 * k not in found or found[2 * k] != found.get(2 * k + 1)]
+    assert all(missed.count(n) <= 2 for n in range(4))
