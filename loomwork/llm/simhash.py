@@ -157,8 +157,11 @@ def _smallest(pairs: np.ndarray, count: int) -> np.ndarray:
         first = new
 
 
-def _verify(columns: list[str], distance: int, within=None):
-    def links(cell: np.ndarray, node: np.ndarray, words: np.ndarray) -> pa.RecordBatch:
+def _verify(columns: list[str], distance: int, within=None, elsewhere=None):
+    def values(batch: pa.RecordBatch, names: list[str]) -> np.ndarray:
+        return np.stack([batch.column(c).to_numpy().astype(np.int64) if c in batch.schema.names else np.zeros(batch.num_rows, dtype=np.int64) for c in names], axis=1)
+
+    def links(cell: np.ndarray, side: np.ndarray, node: np.ndarray, words: np.ndarray) -> pa.RecordBatch:
         edge = np.flatnonzero(np.concatenate([[True], (cell[1:] != cell[:-1]).any(axis=1)]))
         size = np.diff(np.append(edge, len(cell)))
         tiny = 1 if within else TINY
@@ -169,36 +172,42 @@ def _verify(columns: list[str], distance: int, within=None):
             at = at[np.bitwise_count(words[at] ^ words[at + lag]).sum(axis=1, dtype=np.int32) <= distance]
             found.append(np.stack([at, at + lag], axis=1))
         first = _smallest(np.concatenate([np.zeros((0, 2), dtype=np.int64), *found]), len(node))
-        linked = np.flatnonzero(node[first] != node)
+        linked = node[first] != node
+        if elsewhere:  # one row stands for those that another cell links
+            stands = _smallest(elsewhere(first, side, words, distance), len(node))
+            linked &= (stands == np.arange(len(node))) & (stands[first] != stands)
+        linked = np.flatnonzero(linked)
         return pa.RecordBatch.from_arrays([pa.array(node[linked]), pa.array(node[first[linked]])], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cell, node, words = np.zeros((0, 3), dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros((0, len(columns)), dtype=np.uint64)
+        cell, side, node, words = np.zeros((0, 3), dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros((0, len(columns)), dtype=np.uint64)
         for batch in batches:
-            new = [np.stack([batch.column(c).to_numpy().astype(np.int64) for c in names], axis=1) for names in (("bucket", "i", "j"), columns)]
-            cell, node, words = np.concatenate([cell, new[0]]), np.concatenate([node, batch.column("node").to_numpy()]), np.concatenate([words, new[1].view(np.uint64)])
+            new = values(batch, ["bucket", "i", "j"]), values(batch, ["side"])[:, 0], batch.column("node").to_numpy(), values(batch, columns).view(np.uint64)
+            cell, side, node, words = (np.concatenate(c) for c in zip((cell, side, node, words), new, strict=True))
             done = np.flatnonzero((cell[1:] != cell[:-1]).any(axis=1))  # the last cell may go on
             if len(done):
                 stop = done[-1] + 1
-                yield links(cell[:stop], node[:stop], words[:stop])
-                cell, node, words = cell[stop:], node[stop:], words[stop:]
+                yield links(cell[:stop], side[:stop], node[:stop], words[:stop])
+                cell, side, node, words = cell[stop:], side[stop:], node[stop:], words[stop:]
         if len(cell):
-            yield links(cell, node, words)
+            yield links(cell, side, node, words)
 
     return run
 
 
-def bucket_links(posts: DataFrame, columns: list[str], distance: int, block: int | None = None, pieces=None, within=None) -> DataFrame:
+def bucket_links(posts: DataFrame, columns: list[str], distance: int, block: int | None = None, pieces=None, within=None, elsewhere=None) -> DataFrame:
     """Pairs ``a, b`` of nodes that connect what the links in the buckets connect; ``columns`` (64 bits each) of a link differ in at most ``distance`` bits.
 
     ``posts`` has ``bucket``, ``node`` and the columns. Buckets of more than ``block`` rows are posted anew by ``pieces``, if
     that is given (it takes and gives rows of ``posts``); else they are cut into blocks by the nodes' hashes, and every
     pair of blocks is a cell of its own. ``within``, if given, finds a bucket's pairs of rows by the columns and the distance in its own way.
+    ``elsewhere``, if given, tells which pairs of a cell's rows come with the links of other cells, by the first row that each
+    is linked to, its ``side`` (1 or 2 where two blocks meet, else 0), the columns and the distance; these are not linked again.
     """
-    return contracted(_links(posts, columns, distance, block or BLOCK, pieces, within))
+    return contracted(_links(posts, columns, distance, block or BLOCK, pieces, within, elsewhere))
 
 
-def _links(posts: DataFrame, columns: list[str], distance: int, block: int, pieces, within) -> DataFrame:
+def _links(posts: DataFrame, columns: list[str], distance: int, block: int, pieces, within, elsewhere) -> DataFrame:
     own = list(dict.fromkeys(["node", *columns]))
     large = posts.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > block)
     large = cut(large.select("bucket", F.ceil(F.col("n") / block).cast("int").alias("blocks")))
@@ -207,17 +216,18 @@ def _links(posts: DataFrame, columns: list[str], distance: int, block: int, piec
     if count and pieces:
         again = posts.join(held, "bucket", "left_semi").mapInArrow(pieces, f"bucket long, {', '.join(f'{c} long' for c in own)}")
         rest = posts.join(held, "bucket", "left_anti")
-        return _cells(rest.select("bucket", F.lit(0).alias("i"), F.lit(0).alias("j"), *own), columns, distance, within).union(_links(again, columns, distance, block, None, within))
+        return _cells(rest.select("bucket", F.lit(0).alias("i"), F.lit(0).alias("j"), *own), columns, distance, within, elsewhere).union(_links(again, columns, distance, block, None, within, elsewhere))
     if count:
         spread = posts.join(held, "bucket", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
         spread = spread.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).select("bucket", *own, "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-        return _cells(spread.select("bucket", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), *own), columns, distance, within)
-    return _cells(posts.select("bucket", F.lit(0).alias("i"), F.lit(0).alias("j"), *own), columns, distance, within)
+        side = F.when(F.col("mine") < F.col("other"), 1).when(F.col("mine") > F.col("other"), 2).otherwise(0).alias("side")
+        return _cells(spread.select("bucket", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), *[side][: 1 if elsewhere else 0], *own), columns, distance, within, elsewhere)
+    return _cells(posts.select("bucket", F.lit(0).alias("i"), F.lit(0).alias("j"), *own), columns, distance, within, elsewhere)
 
 
-def _cells(cells: DataFrame, columns: list[str], distance: int, within) -> DataFrame:
+def _cells(cells: DataFrame, columns: list[str], distance: int, within, elsewhere) -> DataFrame:
     dealt = cells.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "node")
-    return dealt.mapInArrow(_verify(columns, distance, within), "a long, b long").where("a != b")
+    return dealt.mapInArrow(_verify(columns, distance, within, elsewhere), "a long, b long").where("a != b")
 
 
 def fingerprint_links(distinct: DataFrame, count: int, block: int | None = None) -> DataFrame:

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from loomwork.llm import components
+from loomwork.llm import components, simhash
 from loomwork.llm import near_copies as nc
 from loomwork.llm.simhash import LONG_SEGMENTS, MANY, _verify, bucket_links, fingerprint_links
 
@@ -199,3 +199,23 @@ def test_pairs_at_the_similarity_are_linked_at_every_size(spark):
     found = {r["node"]: r["component"] for r in components.connected(nc.fingerprint_links(prints, form)).collect()}
     missed = [k // 400 for k in range(1600) if 2 * k not in found or found[2 * k] != found.get(2 * k + 1)]
     assert all(missed.count(n) <= 2 for n in range(4))
+
+
+def test_probes_of_a_hot_group_make_no_links_again(spark, monkeypatch):
+    """Near copies, also some of few shingles, meet in the buckets that they probe, too: rows made are a few for each segment, in blocks as well, and connect the same."""
+    monkeypatch.setattr(simhash, "contracted", lambda links: links)
+    form, rng = nc.shape(200_000), np.random.default_rng(9)
+    size, width = form.segments * form.bits, 64 * len(form.words)
+    columns = [*form.words, "kind"]
+    for n, block in ((300, 16_384), (400, 150)):
+        monkeypatch.setattr(nc, "BLOCK", block)
+        bits = rng.integers(0, 2, (3, width)).astype(bool)[rng.integers(0, 3, n)] ^ (rng.random((n, width)) < rng.choice([0.03, 0.13], n)[:, None])
+        bits[:, size:] = False
+        rows = [(int(k), bool(k % 5 == 0), *map(int, w)) for k, w in zip(rng.permutation(n), np.packbits(bits, axis=1, bitorder="little").view("<i8"), strict=True)]
+        prints = spark.createDataFrame(rows, f"node long, few boolean, {', '.join(f'{c} long' for c in form.words)}")
+        links = nc.fingerprint_links(prints, form).localCheckpoint()
+        posts = prints.mapInArrow(nc._posts(form), f"bucket long, node long, {', '.join(f'{c} long' for c in columns)}")
+        plain = simhash.bucket_links(posts, columns, form.distance, within=nc._pairs(form.few)).localCheckpoint()
+        assert links.count() < 40 * n and plain.count() > 80 * n
+        found, want = ({r["node"]: r["component"] for r in components.connected(x).collect()} for x in (links, plain))
+        assert found == want and len(want) > 0.9 * n
