@@ -23,14 +23,15 @@ def contracted(links: DataFrame, passes: int = 2) -> DataFrame:
     return links.distinct()
 
 
-def connected(links: DataFrame, left: str = "a", right: str = "b", rounds: int = 60) -> DataFrame:
+def connected(links: DataFrame, left: str = "a", right: str = "b", rounds: int = 60, rows: int | None = None) -> DataFrame:
     """``node, component`` for every node that has a link; the component is its smallest node.
 
     Large-star links each larger neighbour to the smallest of a node's neighbourhood, small-star each smaller one and the
     node itself. The links converge to stars in a logarithmic number of rounds; the sum of the smaller ends tells when
     nothing changes. Minima are aggregated before the shuffle, so a hub costs one row per partition; they are grouped
     under another key than that of the join that hands them back, so that the join gets exchanges which Spark splits when
-    a key is skewed.
+    a key is skewed. What a round hands to the next has a partition for ``rows`` links, if that is given, and no more than
+    the shuffle has: few links else make as many tiny files and tasks as there are shuffle partitions, in every round.
     """
     edges = links.select(F.greatest(left, right).alias("u"), F.least(left, right).alias("v")).where("u != v").distinct()
     edges, before = cut(edges), None
@@ -45,7 +46,7 @@ def connected(links: DataFrame, left: str = "a", right: str = "b", rounds: int =
         down = large.groupBy(F.struct("u").alias("k")).agg(F.min("v").alias("m")).select("k.u", "m")
         small = large.join(down, "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(down.select("u", "m")).where("u != v").distinct()
-        edges = cut(small)
+        edges = cut(small.coalesce(-(-state["n"] // rows)) if rows else small)
     else:
         raise RuntimeError(f"components did not settle within {rounds} rounds")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select("v", "v").distinct())

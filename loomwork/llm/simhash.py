@@ -195,24 +195,29 @@ def _verify(columns: list[str], distance: int, within=None, elsewhere=None):
     return run
 
 
-def bucket_links(posts: DataFrame, columns: list[str], distance: int, block: int | None = None, pieces=None, within=None, elsewhere=None) -> DataFrame:
+def bucket_links(posts: DataFrame, columns: list[str], distance: int, block: int | None = None, pieces=None, within=None, elsewhere=None, dealt: DataFrame | None = None) -> DataFrame:
     """Pairs ``a, b`` of nodes that connect what the links in the buckets connect; ``columns`` (64 bits each) of a link differ in at most ``distance`` bits.
 
     ``posts`` has ``bucket``, ``node`` and the columns. Buckets of more than ``block`` rows are posted anew by ``pieces``, if
     that is given (it takes and gives rows of ``posts``); else they are cut into blocks by the nodes' hashes, and every
     pair of blocks is a cell of its own. ``within``, if given, finds a bucket's pairs of rows by the columns and the distance in its own way.
     ``elsewhere``, if given, tells which pairs of a cell's rows come with the links of other cells, by the first row that each
-    is linked to, its ``side`` (1 or 2 where two blocks meet, else 0), the columns and the distance; these are not linked again.
+    is linked to, its ``side`` (1 or 2 where two blocks meet, else 0), the columns and the distance; these are not linked again. ``dealt``, if given, has the rows of ``posts`` with each bucket in one
+    partition; only the rows of large buckets are shuffled then.
     """
-    return contracted(_links(posts, columns, distance, block or BLOCK, pieces, within, elsewhere))
+    return contracted(_links(posts, columns, distance, block or BLOCK, pieces, within, elsewhere, dealt))
 
 
-def _links(posts: DataFrame, columns: list[str], distance: int, block: int, pieces, within, elsewhere) -> DataFrame:
+def _links(posts: DataFrame, columns: list[str], distance: int, block: int, pieces, within, elsewhere, dealt=None) -> DataFrame:
     own = list(dict.fromkeys(["node", *columns]))
     large = posts.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > block)
     large = cut(large.select("bucket", F.ceil(F.col("n") / block).cast("int").alias("blocks")))
     count = large.count()
     held = F.broadcast(large) if count <= BROADCAST_BUCKETS else large
+    if dealt is not None and count <= BROADCAST_BUCKETS:
+        rest = dealt.join(held, "bucket", "left_anti") if count else dealt
+        rest = _verified(rest.sortWithinPartitions("bucket", "node"), columns, distance, within, elsewhere)
+        return rest.union(_links(posts.join(held, "bucket", "left_semi"), columns, distance, block, pieces, within, elsewhere)) if count else rest
     if count and pieces:
         again = posts.join(held, "bucket", "left_semi").mapInArrow(pieces, f"bucket long, {', '.join(f'{c} long' for c in own)}")
         rest = posts.join(held, "bucket", "left_anti")
@@ -226,7 +231,10 @@ def _links(posts: DataFrame, columns: list[str], distance: int, block: int, piec
 
 
 def _cells(cells: DataFrame, columns: list[str], distance: int, within, elsewhere) -> DataFrame:
-    dealt = cells.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "node")
+    return _verified(cells.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "node"), columns, distance, within, elsewhere)
+
+
+def _verified(dealt: DataFrame, columns: list[str], distance: int, within, elsewhere) -> DataFrame:
     return dealt.mapInArrow(_verify(columns, distance, within, elsewhere), "a long, b long").where("a != b")
 
 

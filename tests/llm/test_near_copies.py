@@ -219,3 +219,46 @@ def test_probes_of_a_hot_group_make_no_links_again(spark, monkeypatch):
         assert links.count() < 40 * n and plain.count() > 80 * n
         found, want = ({r["node"]: r["component"] for r in components.connected(x).collect()} for x in (links, plain))
         assert found == want and len(want) > 0.9 * n
+
+
+def test_balls_are_shuffled_by_zones(spark, monkeypatch):
+    """Little more than half of the posts' rows are shuffled, give all posts, each bucket's in one partition, and connect what posts do; large buckets, too."""
+    monkeypatch.setattr(simhash, "contracted", lambda links: links)
+    form, rng = nc.shape(200_000), np.random.default_rng(12)
+    bits = rng.integers(0, 2, (150, 64 * len(form.words))).astype(bool)[np.arange(600) % 150] ^ (rng.random((600, 64 * len(form.words))) < 0.06)
+    value = bits[:, : form.segments * form.bits].reshape(600, form.segments, form.bits) @ (1 << np.arange(form.bits))
+    rows = [(k, k % 7 == 0, *map(int, w)) for k, w in enumerate(np.packbits(bits, axis=1, bitorder="little").view("<i8"))]
+    columns = ", ".join(f"{c} long" for c in form.words)
+    prints = spark.createDataFrame(rows, f"node long, few boolean, {columns}")
+    posts = prints.mapInArrow(nc._posts(form), f"bucket long, node long, {columns}, kind long")
+    zones = prints.mapInArrow(nc._zones(form), f"zone long, value long, node long, few boolean, {columns}").repartition(9, "zone")
+    dealt = nc._of_zones(zones, form).withColumn("part", F.spark_partition_id()).localCheckpoint()
+    want = set()
+    for k in range(600):
+        for s, v in enumerate(value[k].tolist()):
+            for flips in nc._masks(form.bits, 2 if k % 7 == 0 else 1).tolist():
+                if not v & flips:
+                    want.add(((s << form.bits) + (v | flips), k, 2 * flips + (k % 7 == 0)))
+    got = [(r["bucket"], r["node"], r["kind"]) for r in dealt.collect()]
+    assert len(got) == len(want) and set(got) == want and {(r["bucket"], r["node"], r["kind"]) for r in posts.collect()} == want
+    assert zones.count() < 0.6 * len(got)
+    assert dealt.groupBy("bucket").agg(F.countDistinct("part").alias("n")).where("n > 1").isEmpty()
+    for block in (16_384, 12):
+        plain = simhash.bucket_links(posts, [*form.words, "kind"], form.distance, block, within=nc._pairs(form.few))
+        monkeypatch.setattr(nc, "BLOCK", block)
+        found, all_found = ({r["node"]: r["component"] for r in components.connected(x).collect()} for x in (nc.fingerprint_links(prints, form), plain))
+        assert found == all_found and len(found) > 500
+
+
+def test_few_links_make_few_files(spark):
+    """The rounds of the components hand on a partition for so many links, not one for each shuffle partition, and find the same."""
+    rng = random.Random(4)
+    links = spark.createDataFrame([(rng.randrange(900), rng.randrange(900)) for _ in range(600)], "a long, b long")
+    want = {(r["node"], r["component"]) for r in components.connected(links).collect()}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        few = components.connected(links, rows=200)
+        assert few.rdd.getNumPartitions() <= 3 + 4 and {(r["node"], r["component"]) for r in few.collect()} == want
+        assert components.connected(links).rdd.getNumPartitions() > few.rdd.getNumPartitions()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
