@@ -84,13 +84,19 @@ def with_prefix(text: Column, model: str, prefix: str) -> Column:
 
 
 def hashed_embedding(text: Column, size: int = 64) -> Column:
-    """A deterministic stand-in for a trained encoder: signed counts of hashed terms, of length one."""
+    """A deterministic stand-in for a trained encoder: signed counts of hashed terms, of length one.
 
-    def counts(hashes: Column) -> Column:
-        signed = lambda h: F.when(F.shiftright(h, 40).bitwiseAND(F.lit(1)) == 1, 1.0).otherwise(-1.0)
-        return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.aggregate(F.filter(hashes, lambda h: F.pmod(h, F.lit(size)) == i), F.lit(0.0), lambda s, h: s + signed(h)))
+    Where these cancel out, plain counts stand in for them: only a text without a term has the zero vector.
+    """
+
+    def counts(hashes: Column, weight) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.aggregate(F.filter(hashes, lambda h: F.pmod(h, F.lit(size)) == i), F.lit(0.0), lambda s, h: s + weight(h)))
+
+    def vector(hashes: Column) -> Column:
+        signed = counts(hashes, lambda h: F.when(F.shiftright(h, 40).bitwiseAND(F.lit(1)) == 1, 1.0).otherwise(-1.0))
+        return let(signed, lambda v: F.when(F.exists(v, lambda x: x != 0), v).otherwise(counts(hashes, lambda h: F.lit(1.0))))
 
-    return normalize(let(F.transform(terms(text), lambda t: F.xxhash64(t)), counts))
+    return normalize(let(F.transform(terms(text), lambda t: F.xxhash64(t)), vector))
 
 
 def embed(df: DataFrame, encoder=None, text_col: str = "text", into: str = "embedding") -> DataFrame:

@@ -91,3 +91,12 @@ def test_embedding(spark):
     with pytest.raises(Exception, match="empty"):
         dense.embed(spark.createDataFrame([(" ",)], "text string")).collect()
     assert spark.range(1).select(dense.with_prefix(F.lit("x"), "some-bge-model", "p: ")).first()[0] == "p: x"
+
+
+def test_signed_counts_that_cancel_leave_a_unit_vector(spark):
+    """Two terms of one place and opposite signs add up to nothing; the text still has a direction, and one without terms has none."""
+    texts = [(f"ab{k} cd{k}",) for k in range(2000)] + [("! ?",)]
+    v = dense.hashed_embedding(F.col("text"))
+    plain = dense.dot(v, v)
+    got = {r["text"]: r["n"] for r in spark.createDataFrame(texts, "text string").select("text", F.round(plain, 9).alias("n")).collect()}
+    assert got.pop("! ?") == 0.0 and set(got.values()) == {1.0}
