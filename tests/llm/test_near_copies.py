@@ -105,6 +105,18 @@ def test_crowds_that_only_some_hubs_know(spark, monkeypatch):
     assert {k: got.get(k, k) for k in (*shift, *range(10, 15))} == {1: 1, 2: 1, 4: 1, 5: 1, 8: 1, 3: 3, 6: 3, 7: 3, 10: 10, 13: 10, 11: 11, 14: 11, 12: 12}
 
 
+def test_parts_of_different_hubs_are_linked_by_their_other_texts(spark, monkeypatch):
+    """Each text is linked to a hub, and two texts of hubs that are far apart to each other: one group; a text that is linked to no hub may join parts, too."""
+    monkeypatch.setattr(nc, "HUBS", 2)
+    base = np.arange(100, dtype=np.uint64)
+    # neighbours at 10 of a line are alike (90/110), those at 20 are not (80/120)
+    shift = {1: 0, 2: 30, 3: 10, 4: 20, 10: 0, 11: 40, 12: 10, 13: 30, 14: 20, 15: 10, 20: 0, 21: 60, 22: 10, 23: 50}
+    rows = [(k // 10, k, bytearray((base + np.uint64(s)).tobytes())) for k, s in shift.items()]
+    got = {r["node"]: r["root"] for r in nc.exact_roots(spark.createDataFrame(rows, "component long, node long, hashes binary")).collect()}
+    want = {1: 1, 2: 1, 3: 1, 4: 1, **dict.fromkeys(range(10, 16), 10), 20: 20, 22: 20, 21: 21, 23: 21}
+    assert {k: got.get(k, k) for k in shift} == want
+
+
 def test_links_of_a_hot_cluster_are_contracted(spark):
     """Copies that meet in dozens of buckets leave hardly more than a link each, which connect the same nodes."""
     rng = np.random.default_rng(5)
