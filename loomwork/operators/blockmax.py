@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomwork.operators.tfidf import PLACES, TfIdfIndex, query_vectors, with_blanks
+from loomwork.operators.tfidf import PLACES, TfIdfIndex, exploded, posting_weight, query_vectors, with_blanks, with_idf
 from loomwork.operators.windows import numbered, shared_folder
 
 #: Chunks of a block, and blocks that are scored first for each query (as many more as hold ``k`` chunks).
@@ -39,8 +39,12 @@ class BlockIndex:
         path = path or f"{shared_folder(spark)}/blocks-{uuid.uuid4().hex}"
         heaviest = index.postings.groupBy("chunk_id").agg(F.max_by("term", F.struct("weight", "term")).alias("about"))
         placed = numbered(heaviest, "place", "about", "chunk_id").select("chunk_id", F.floor(F.col("place") / size).cast("int").alias("block"))
-        postings = index.postings.join(placed, "chunk_id").select("term", "block", "chunk_id", "row", "weight")
-        postings.write.mode("overwrite").parquet(f"{path}/postings")
+        if index.held is None:
+            postings = index.postings.join(placed, "chunk_id")
+        else:  # a chunk's terms get their block together
+            postings = with_idf(exploded(index.held.join(placed, "chunk_id")), index.idf, index.common).withColumn("weight", posting_weight())
+        postings = postings.select("term", "block", "chunk_id", "row", "weight")
+        postings.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/postings")
         postings = spark.read.parquet(f"{path}/postings")
         postings.groupBy("term", "block").agg(F.max("weight").alias("top")).write.mode("overwrite").parquet(f"{path}/tops")
         return cls(index, postings, spark.read.parquet(f"{path}/tops"))
