@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.operators.tfidf import TfIdfIndex, query_vectors
+from loomwork.operators.tfidf import TfIdfIndex, exploded, posting_weight, query_vectors, term_counts, with_idf
 from loomwork.operators.windows import written
 
 #: Vectors beyond those wanted, and rounds over the matrix; both sharpen what is found.
@@ -65,9 +65,22 @@ def _times(rows: DataFrame, key: str, matrix: np.ndarray) -> DataFrame:
     return rows.select(key, *_names(before)).mapInArrow(run, ", ".join([f"`{key}` {kind}", *(f"{c} double" for c in _names(after))]))
 
 
-def _carried(postings: DataFrame, vectors: DataFrame, by: str, to: str, width: int) -> DataFrame:
-    """The matrix (or its transpose) times a block of vectors: joined on one key, summed by the other."""
-    return postings.select("term", "chunk_id", "weight").join(vectors, by).groupBy(to).agg(*(F.sum(F.col("weight") * F.col(c)).alias(c) for c in _names(width)))
+def _carried(index: TfIdfIndex, vectors: DataFrame, by: str, to: str, width: int) -> DataFrame:
+    """The matrix (or its transpose) times a block of vectors: joined on one key, summed by the other.
+
+    Of a stored index, whose chunks have their terms in one row, no posting is shuffled with a vector, save those of rare
+    terms: common terms' vectors go to where the chunks lie, whose sums are whole there; and a chunk's vector meets all its
+    terms at once, whose sums leave a task as one row each.
+    """
+    sums = [F.sum(F.col("weight") * F.col(c)).alias(c) for c in _names(width)]
+    if index.held is None:
+        return index.postings.select("term", "chunk_id", "weight").join(vectors, by).groupBy(to).agg(*sums)
+    if by == "term":
+        table = written(index.idf.select("term", "idf").join(vectors, "term"))
+        rows = with_idf(exploded(index.held.select("chunk_id", "length", "runs")), table, written(table.join(F.broadcast(index.common.select("term")), "term", "left_semi")))
+    else:
+        rows = with_idf(exploded(index.held.select("chunk_id", "length", "runs").join(vectors, "chunk_id")), index.idf, index.common)
+    return rows.withColumn("weight", posting_weight()).groupBy(to).agg(*sums)
 
 
 @dataclass
@@ -85,15 +98,15 @@ class LatentModel:
         sign = lambda k: F.when(F.xxhash64("term", F.lit(seed), F.lit(k)) > 0, 1.0).otherwise(-1.0)
         basis = index.idf.select("term", *(sign(k).alias(c) for k, c in enumerate(_names(width))))
         for _ in range(rounds):
-            at_chunks = _carried(index.postings, basis, "term", "chunk_id", width)
-            raw = written(_carried(index.postings, at_chunks, "chunk_id", "term", width))
+            at_chunks = written(_carried(index, basis, "term", "chunk_id", width))
+            raw = written(_carried(index, at_chunks, "chunk_id", "term", width))
             square, turn = np.linalg.eigh(gram(raw, width))
             kept = square > 1e-12 * max(square.max(initial=0.0), 1e-300)
             basis, width = _times(raw, "term", turn[:, kept] / np.sqrt(square[kept])), int(kept.sum())
             if not width:
                 return cls(index, index.idf.select("term", F.array().cast("array<double>").alias("vector")), np.zeros(0))
         basis = written(basis)
-        square, turn = np.linalg.eigh(gram(_carried(index.postings, basis, "term", "chunk_id", width), width))
+        square, turn = np.linalg.eigh(gram(_carried(index, basis, "term", "chunk_id", width), width))
         kept = np.argsort(-square)[: min(size, width)]
         kept = kept[square[kept] > 1e-12 * max(square.max(initial=0.0), 1e-300)]
         terms = _times(basis, "term", turn[:, kept]).select("term", F.array(*_names(len(kept))).alias("vector"))
@@ -104,8 +117,14 @@ class LatentModel:
         size = len(self.values)
         if not size:
             return df.select(id_col, F.array().cast("array<float>").alias(into))
-        weights = query_vectors(df, self.index, id_col, text_col)
-        parts = weights.join(self.terms, "term").select("query_id", *((F.col("weight") * F.col("vector")[k]).alias(c) for k, c in enumerate(_names(size))))
+        if self.index.held is None:
+            weights = query_vectors(df, self.index, id_col, text_col).join(self.terms, "term")
+        else:  # the text's own length doesn't matter: what is summed up is made one long
+            counts = term_counts(df.select(F.col(id_col).alias("query_id"), F.col(text_col).alias("text")), "text", self.index.stop_words)
+            table = written(self.index.idf.select("term", "idf").join(self.terms, "term"))
+            common = written(table.join(F.broadcast(self.index.common.select("term")), "term", "left_semi"))
+            weights = with_idf(counts, table, common).withColumn("weight", F.col("tf") * F.col("idf"))
+        parts = weights.select("query_id", *((F.col("weight") * F.col("vector")[k]).alias(c) for k, c in enumerate(_names(size))))
         sums = parts.groupBy("query_id").agg(*(F.sum(c).alias(c) for c in _names(size)))
         length = F.sqrt(sum((F.col(c) * F.col(c) for c in _names(size)), F.lit(0.0)))
         unit = F.array(*(F.when(F.col("length") > 0, F.col(c) / F.col("length")).otherwise(0.0).cast("float") for c in _names(size)))
