@@ -76,7 +76,7 @@ def _carried(index: TfIdfIndex, vectors: DataFrame, by: str, to: str, width: int
     if index.held is None:
         return index.postings.select("term", "chunk_id", "weight").join(vectors, by).groupBy(to).agg(*sums)
     if by == "term":
-        table = written(index.idf.select("term", "idf").join(vectors, "term"))
+        table = index.idf.select("term", "idf").join(vectors, "term")
         rows = with_idf(exploded(index.held.select("chunk_id", "length", "runs")), table, written(table.join(F.broadcast(index.common.select("term")), "term", "left_semi")))
     else:
         rows = with_idf(exploded(index.held.select("chunk_id", "length", "runs").join(vectors, "chunk_id")), index.idf, index.common)
@@ -121,7 +121,7 @@ class LatentModel:
             weights = query_vectors(df, self.index, id_col, text_col).join(self.terms, "term")
         else:  # the text's own length doesn't matter: what is summed up is made one long
             counts = term_counts(df.select(F.col(id_col).alias("query_id"), F.col(text_col).alias("text")), "text", self.index.stop_words)
-            table = written(self.index.idf.select("term", "idf").join(self.terms, "term"))
+            table = self.index.idf.select("term", "idf").join(self.terms, "term")
             common = written(table.join(F.broadcast(self.index.common.select("term")), "term", "left_semi"))
             weights = with_idf(counts, table, common).withColumn("weight", F.col("tf") * F.col("idf"))
         parts = weights.select("query_id", *((F.col("weight") * F.col("vector")[k]).alias(c) for k, c in enumerate(_names(size))))
